@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.quality_rules import assess
+from tessera.llm.sharding import assign_shards
 from tessera.llm.shared import table
 from tessera.llm.simhash import near_duplicates
 
@@ -14,8 +16,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
+_QUERIES = (op1_simhash, op5_quality_rules, op8_sharding)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
