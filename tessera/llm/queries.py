@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.mixing import mix_report
 from tessera.llm.quality_rules import assess
 from tessera.llm.sharding import assign_shards
 from tessera.llm.shared import table
@@ -24,7 +25,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
-_QUERIES = (op1_simhash, op5_quality_rules, op8_sharding)
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (op1_simhash, op5_quality_rules, op8_sharding, op9_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.prefix import default_buckets, running_start
 from tessera.llm.shared import staged, text_or_empty
 
 
@@ -67,29 +68,6 @@ class Tree:
         return pick(("region",), regions)
 
 
-def gapless(rows: DataFrame, group: str, order: list[str], slot: str, buckets: int) -> DataFrame:
-    """``rows`` with ``slot``: 0, 1, ... without a gap in each ``group``, as a long.
-
-    Rows of a group are numbered within ``buckets`` hash buckets of their ``order`` columns, and a bucket
-    starts where the buckets before it end; so no task holds a group, and only counts per group and bucket meet.
-    Equal rows may exchange their slots.
-    """
-    bucket = "_bucket"
-    placed = rows.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = placed.groupBy(group, bucket).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col(group).alias("_group"), F.col(bucket).alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    number = F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order)) - 1
-    return (
-        placed.withColumn("_number", number)
-        .join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col(bucket) == F.col("_of")))
-        .withColumn(slot, F.col("_start") + F.col("_number"))
-        .drop(bucket, "_number", "_group", "_of", "_start")
-    )
-
-
 def assign_shards(
     docs: DataFrame, shards: int = 16, tree: Tree | None = None, id_col: str = "doc_id", text_col: str = "text", *, buckets: int | None = None
 ) -> DataFrame:
@@ -104,7 +82,7 @@ def assign_shards(
     gives an empty result.
     """
     tree = tree or Tree.balanced(shards)
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    buckets = buckets or default_buckets(docs.sparkSession)
     key = F.col(id_col)
     text = text_or_empty(text_col)
     rows = docs.select(
@@ -112,6 +90,6 @@ def assign_shards(
         F.lit("key").alias("law"), tree.shard_of(key).alias("shard"), tree.grown().shard_of(key).alias("grown_shard"),
     )
     rows = staged(rows, "shards")
-    return gapless(rows, "shard", [id_col, "text_crc32", "size"], "slot", buckets).select(
+    return running_start(rows, "shard", [id_col, "text_crc32", "size"], F.lit(1), "slot", buckets).select(
         id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
