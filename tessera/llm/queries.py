@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.mixing import mix_report
+from tessera.llm.nbsvm import classify_quality
 from tessera.llm.quality_rules import assess
 from tessera.llm.sharding import assign_shards
 from tessera.llm.shared import table
@@ -21,6 +22,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
@@ -29,7 +34,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_simhash, op5_quality_rules, op8_sharding, op9_mixing)
+_QUERIES = (op1_simhash, op5_quality_rules, op7_quality_classifier, op8_sharding, op9_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
