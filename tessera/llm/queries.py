@@ -12,6 +12,7 @@ from tessera.llm.quality_rules import assess
 from tessera.llm.sharding import assign_shards
 from tessera.llm.shared import table
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.toxicity import score_toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_simhash, op5_quality_rules, op7_quality_classifier, op8_sharding, op9_mixing)
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_QUERIES = (op1_simhash, op5_quality_rules, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
