@@ -6,23 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.line_dedup import OP6_SQL, remove_boilerplate
 from tessera.llm.mixing import mix_report
 from tessera.llm.nbsvm import classify_quality
 from tessera.llm.quality_rules import assess
 from tessera.llm.sharding import assign_shards
 from tessera.llm.shared import table
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.token_files import tokenize_to_files
 from tessera.llm.toxicity import score_toxicity
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary lies: files of an installed package, the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize_to_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_QUERIES = (op1_simhash, op5_quality_rules, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity)
+_QUERIES = (op1_simhash, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -47,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": OP6_SQL}
