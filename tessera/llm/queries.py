@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.ann import nearest
 from tessera.llm.line_dedup import OP6_SQL, remove_boilerplate
 from tessera.llm.mixing import mix_report
 from tessera.llm.nbsvm import classify_quality
@@ -28,6 +30,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_to_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
@@ -56,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_QUERIES = (op1_simhash, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity)
+_QUERIES = (op1_simhash, op3_nearest_neighbours, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
