@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import base64
 import json
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import staged, text_or_empty
+from tessera.llm.shared import staged
 
 _NO_RANK = 2**31 - 1
 _SECOND_CHOICE = 40
@@ -23,11 +26,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern with Unicode white space for ``\\s``, as the tokenizer libraries read it."""
-    return f"(?U){pattern}"
-
-
 class LiteralMap:
     """A literal map, as two flat arrays of keys and values: a key is in one of the two places its hash names.
 
@@ -68,13 +66,10 @@ class LiteralMap:
         return F.get(F.transform(F.array(self.literal), lambda t: use(lambda key: self._get(t, key))), F.lit(0))
 
     def _get(self, t: Column, key: Column) -> Column:
-        def find(k: Column) -> Column:
-            at = lambda place: F.when(F.get(t["keys"], place) == k, F.get(t["values"], place))
-            first = F.xxhash64(k).bitwiseAND(F.lit(self.mask)).cast("int")
-            second = F.shiftrightunsigned(F.xxhash64(k), _SECOND_CHOICE).bitwiseAND(F.lit(self.mask)).cast("int")
-            return F.coalesce(at(first), at(second))
-
-        return F.get(F.transform(F.array(key), find), F.lit(0))
+        at = lambda place: F.when(F.get(t["keys"], place) == key, F.get(t["values"], place))
+        first = F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int")
+        second = F.shiftrightunsigned(F.xxhash64(key), _SECOND_CHOICE).bitwiseAND(F.lit(self.mask)).cast("int")
+        return F.coalesce(at(first), at(second))
 
 
 class Bpe:
@@ -92,37 +87,31 @@ class Bpe:
 
     def _word_ids(self, rank, word: Column) -> Column:
         """A word of the vocabulary is its rank. Else a fold over its bytes joins the pair of pieces of least
-        rank, the first of equals, until no neighbours join to a piece of the vocabulary; the state
-        holds the pieces, the ranks of neighbours joined, and the least of these. A step looks up two
-        new ranks and copies the arrays, so a word of n bytes takes at most n steps of O(n).
+        rank, the first of equals, until no neighbours join to a piece of the vocabulary.
+
+        The state holds the pieces, and the ranks of neighbours joined; both ends count as neighbours that never join, so
+        rank q is that of pieces q - 1 and q. A step looks up two new ranks and copies the arrays, so a word of n
+        bytes takes at most n steps of O(n).
         """
-        rank_or_none = lambda piece: F.coalesce(rank(piece), F.lit(_NO_RANK))
+        none, rest = F.lit(_NO_RANK), F.lit(1 << 30)
+        rank_or_none = lambda piece: F.coalesce(rank(piece), none)
         size = F.octet_length(word)
         each = lambda last, length: F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, F.lit(length)))
-        with_least = lambda pieces, ranks: F.get(
-            F.transform(F.array(F.struct(pieces.alias("a"), ranks.alias("b"))), lambda x: F.struct(x["a"].alias("pieces"), x["b"].alias("ranks"), F.coalesce(F.array_min(x["b"]), F.lit(_NO_RANK)).alias("least"))),
-            F.lit(0),
-        )
-        start = with_least(each(size, 1), F.transform(each(size - 1, 2), rank_or_none))
-
-        def join_at(s: Column, p: Column) -> Column:
-            joined = F.concat(F.get(s["pieces"], p - 1), F.get(s["pieces"], p))
-            count = F.size(s["pieces"])
-            pieces = F.concat(F.slice(s["pieces"], F.lit(1), p - 1), F.array(joined), F.slice(s["pieces"], p + 2, count))
-            none = F.slice(s["ranks"], 1, 0)
-            ranks = F.concat(
-                F.slice(s["ranks"], F.lit(1), F.greatest(p - 2, F.lit(0))),
-                F.when(p > 1, F.array(rank_or_none(F.concat(F.get(s["pieces"], p - 2), joined)))).otherwise(none),
-                F.when(p + 1 < count, F.array(rank_or_none(F.concat(joined, F.get(s["pieces"], p + 1))))).otherwise(none),
-                F.slice(s["ranks"], p + 2, count),
+        start = F.struct(each(size, 1).alias("p"), F.concat(F.array(none), F.transform(each(size - 1, 2), rank_or_none), F.array(none)).alias("r"))
+
+        def join_at(s: Column, q: Column) -> Column:
+            piece = lambda i: F.get(s["p"], i)
+            new = F.array(F.concat(piece(q - 3), piece(q - 2), piece(q - 1)), F.concat(piece(q - 2), piece(q - 1), piece(q)))
+            return F.struct(
+                F.concat(F.slice(s["p"], F.lit(1), q - 2), F.array(F.concat(piece(q - 2), piece(q - 1))), F.slice(s["p"], q + 1, rest)).alias("p"),
+                F.concat(F.slice(s["r"], F.lit(1), q - 2), F.transform(new, rank_or_none), F.slice(s["r"], q + 2, rest)).alias("r"),
             )
-            return with_least(pieces, ranks)
 
         def step(s: Column, _: Column) -> Column:
-            at = F.array_position(s["ranks"], s["least"]).cast("int")
-            return F.when(s["least"] == _NO_RANK, s).otherwise(F.get(F.transform(F.array(at), lambda p: join_at(s, p)), F.lit(0)))
+            at = F.array_position(s["r"], F.nullif(F.array_min(s["r"]), none)).cast("int")
+            return F.get(F.transform(F.array(at), lambda q: F.when(q.isNull(), s).otherwise(join_at(s, q))), F.lit(0))
 
-        folded = F.aggregate(F.sequence(F.lit(2), size), start, step, lambda s: F.transform(s["pieces"], rank))
+        folded = F.aggregate(F.sequence(F.lit(2), size), start, step, lambda s: F.transform(s["p"], rank))
         whole = lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded)
         return F.when(size > 0, F.get(F.transform(F.array(rank(word)), whole), F.lit(0))).otherwise(F.array().cast("array<int>"))
 
@@ -131,13 +120,34 @@ class Bpe:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""))
 
 
-def common_words(words: DataFrame, most: int) -> DataFrame:
-    """The most frequent of ``words`` (word), counted over all rows: at most ``most``, all of a count or none.
+def common_words(docs: DataFrame, pattern: str, text_col: str, known: frozenset[str], most: int, at_once: int = 300_000) -> DataFrame:
+    """The most frequent words of all texts but the ``known``, at most ``most``: (word), all of a count or none.
 
-    The count from which words are common is read off a histogram of rounded logarithms of counts,
-    which has a few hundred rows at any size.
+    Tasks count the words of their texts, passing counts on whenever they hold ``at_once`` words, and Spark adds them up. The
+    count from which words are common is read off a histogram of rounded logarithms of counts, which has
+    a few hundred rows at any size. Words that occur once are never common.
     """
-    counted = staged(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "bpe-words")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import regex
+
+        find, counts = regex.compile(pattern).findall, Counter()
+        flushed = lambda: pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+        for batch in batches:
+            for text in batch["text"]:
+                if text:
+                    counts.update(find(text))
+                if len(counts) > at_once:
+                    for w in known & counts.keys():
+                        del counts[w]
+                    yield flushed()
+                    counts.clear()
+        for w in known & counts.keys():
+            del counts[w]
+        yield flushed()
+
+    partial = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n long")
+    counted = staged(partial.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
     level = F.floor(F.log2("n") * 16)
     histogram = counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()
     least, total = None, 0
@@ -149,38 +159,58 @@ def common_words(words: DataFrame, most: int) -> DataFrame:
     return counted.where(level >= least if least is not None else F.lit(False)).select("word")
 
 
-def encode_documents(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 16,
-) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 19) -> DataFrame:
     """One row for each row of ``docs``: (``id_col``, ids: string, the decimal ids joined by one space).
 
-    Each match of ``pattern`` is encoded on its own, without special tokens. Words are counted over all
-    documents; the ``dictionary_words`` most frequent at most (which bounds the literal at a few MB) are
-    folded once each and kept as a literal map from word to ids, and documents take their words from
-    it. A rarer word is folded by the same expression where it stands: most of these occur once
-    or twice, so folding them on the spot costs what folding distinct words would, without
-    moving every token of the corpus through a shuffle. No text or token is shuffled, only partial
-    counts of words.
+    Each match of ``pattern`` is encoded on its own, without special tokens. A word of the vocabulary is its rank. Words
+    are counted over all documents; the most frequent, ``dictionary_words`` at most, which bounds the
+    dictionary at some 100 MB in a task, are folded once each, and documents take their ids from there. The rest, of which most
+    occur once or twice in all, are folded by the same expression where they stand: about as many folds
+    as distinct words need, without sending every token of the corpus through a shuffle. No text is shuffled, only counts.
 
     Null and empty texts have no ids (an empty string). Repeated rows, and null ids of documents,
     keep a row each; other columns are not read. An empty input gives an empty result.
     """
     bpe = Bpe(ranks)
-    found = F.regexp_extract_all(text_or_empty(text_col), F.lit(java_pattern(pattern)), F.lit(0))
+    vocabulary = {}
+    for piece, rank in ranks.items():
+        try:
+            vocabulary[piece.decode()] = str(rank)
+        except UnicodeDecodeError:  # never a whole word
+            pass
     joined = lambda ids: F.array_join(ids.cast("array<string>"), " ")
-    common = common_words(docs.select(F.explode(found).alias("word")), dictionary_words)
-    known = common.select("word", bpe.with_ranks(lambda ids_of: joined(ids_of(F.col("word").cast("binary")))).alias("ids")).collect()
-    words = [r["word"] for r in known]  # at most dictionary_words
-    dictionary = LiteralMap([w.encode() for w in words], words, [r["ids"] for r in known], "string", "string")
-    each = lambda look_up, ids_of: F.transform(found, lambda w: F.coalesce(look_up(w), joined(ids_of(w.cast("binary")))))
-    ids = dictionary.bound(lambda look_up: bpe.with_ranks(lambda ids_of: F.array_join(each(look_up, ids_of), " ")))
-    return docs.select(F.col(id_col), ids.alias("ids"))
-
-
-def encode_and_decode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 16,
-) -> DataFrame:
-    """``encode_documents``, and back: (``id_col``, ids: array<int>, decoded: binary); nulls and empty texts alike."""
+    common = common_words(docs, pattern, text_col, frozenset(vocabulary), dictionary_words)
+    folded = common.select("word", bpe.with_ranks(lambda ids_of: joined(ids_of(F.col("word").cast("binary")))).alias("ids"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary | {r["word"]: r["ids"] for r in folded.toLocalIterator()})  # at most dictionary_words and the vocabulary
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import regex
+
+        find, look_up = regex.compile(pattern).findall, shared.value.get
+        for batch in batches:
+            known, rare = [], []
+            for text in batch["text"]:
+                words = find(text) if text else []
+                ids = list(map(look_up, words))
+                if None in ids:
+                    gaps = [i for i, x in enumerate(ids) if x is None]
+                    known.append([" ".join(ids[a:b]) for a, b in zip([0, *(g + 1 for g in gaps)], [*gaps, len(ids)])])
+                    rare.append([words[g].encode() for g in gaps])
+                else:
+                    known.append([" ".join(ids)])
+                    rare.append([])
+            yield pd.DataFrame({"id": batch["id"], "known": known, "rare": rare})
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    parts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(split, f"id {id_type}, known array<string>, rare array<binary>")
+    coded = bpe.with_ranks(lambda ids_of: F.transform("rare", lambda word: joined(ids_of(word))))
+    pairs = F.flatten(F.zip_with("known", coded, lambda k, c: F.array(k, c)))
+    return parts.select(F.col("id").alias(id_col), F.array_join(F.filter(pairs, lambda x: F.length(x) > 0), " ").alias("ids"))
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 19) -> DataFrame:
+    """``encode_documents``, and back from the ids: (``id_col``, ids: string, n_tokens: long, decoded: binary); nulls and empty texts alike."""
     coded = encode_documents(docs, ranks, pattern, id_col, text_col, dictionary_words=dictionary_words)
-    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
-    return coded.select(id_col, ids.alias("ids")).select(id_col, "ids", Bpe(ranks).decoded(F.col("ids")).alias("decoded"))
+    ids = F.when(F.col("ids") != "", F.split("ids", " ").cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    split = coded.select(id_col, "ids", ids.alias("each"))
+    return split.select(id_col, "ids", F.size("each").cast("long").alias("n_tokens"), Bpe(ranks).decoded(F.col("each")).alias("decoded"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.ann import nearest
+from tessera.llm.bpe import encode_and_decode, read_ranks
 from tessera.llm.line_dedup import OP6_SQL, remove_boilerplate
 from tessera.llm.mixing import mix_report
 from tessera.llm.nbsvm import classify_quality
@@ -30,6 +31,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = encode_and_decode(table(spark, sf_dir, "documents"), read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -62,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_QUERIES = (op1_simhash, op3_nearest_neighbours, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity)
+_QUERIES = (op1_simhash, op2_byte_bpe, op3_nearest_neighbours, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
