@@ -69,42 +69,110 @@ def block_masks(max_distance: int, blocks: int) -> list[int]:
 
 
 def hamming_links(prints: DataFrame, max_distance: int = 2, blocks: int = 4, bucket_cap: int = 16) -> DataFrame:
-    """Links (u, v) that connect exactly what lies within ``max_distance`` (at most 2) bits.
-
-    ``prints``: one long column ``fp``, distinct, without null. Every fingerprint goes to one bucket for
-    each choice of blocks that may agree. Buckets of up to ``bucket_cap`` fingerprints are joined
-    with themselves and each pair's distance verified. The fingerprints of larger buckets are
-    linked through what lies between them instead: with d = 2 each is sent to itself and to
-    its 64 neighbours at one bit; two meet there if, and only if, they are within two bits. At most
-    65 different fingerprints can meet, so no group is large, and the work is linear in their number.
-    These links are a star to the least of them, so pairs are not all listed, but all are connected.
+    """Links (u, v), each within ``max_distance`` bits, among ``prints``: one long column ``fp``, distinct, without null.
+
+    Every fingerprint goes to one bucket for each choice of blocks that may agree. Buckets of up to ``bucket_cap``
+    fingerprints are joined with themselves and each pair's distance is verified. Larger ones are never listed by pairs:
+
+    - For distances up to 2 their fingerprints are linked through what lies between them: each is sent to itself and to
+      its 64 neighbours at one bit; two meet there if, and only if, they are within two bits. At most 65 different
+      fingerprints can meet. The links are stars, so not all pairs are listed, but what is within reach is connected:
+      components are exact, and the work is linear.
+    - For longer distances each is compared with the bucket's least, and with some ``bucket_cap`` others that
+      a hash deals to it, another set in every bucket that both share. A group of copies is connected by
+      these with near certainty; a pair that meets in crowded buckets only may be missed.
     """
-    if not 0 < max_distance <= 2:
-        raise ValueError("max_distance must be 1 or 2")
+    if not 0 < max_distance < blocks:
+        raise ValueError("max_distance must be at least 1, and less than blocks")
     keys = F.explode(F.array(*[
         F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
         for i, m in enumerate(block_masks(max_distance, blocks))
     ]))
     keyed = prints.select("fp", keys.alias("k")).select("fp", "k.choice", "k.key")
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("members"), F.min("fp").alias("least")).where("members > 1")
     shared = staged(keyed.join(sizes, ["choice", "key"]), "simhash-buckets")
     small = shared.where(F.col("members") <= bucket_cap)
-    pairs = (
-        small.select("choice", "key", F.col("fp").alias("u"))
-        .join(small.select("choice", "key", F.col("fp").alias("v")), ["choice", "key"])
-        .where(F.col("u") < F.col("v")).where(hamming("u", "v") <= max_distance).select("u", "v")
-    )
-    crowded = shared.where(F.col("members") > bucket_cap).select("fp").distinct()
-    flips = [0, *((1 << i) - (1 << BITS if i == BITS - 1 else 0) for i in range(BITS))]
-    if max_distance == 1:  # two at one bit: one of them is the other's neighbour
-        near = F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])
-        meet = crowded.select("fp", F.explode(near).alias("at"))
-        between = meet.join(crowded.select(F.col("fp").alias("at")), "at").select(F.col("fp").alias("u"), F.col("at").alias("v"))
+    crowded = shared.where(F.col("members") > bucket_cap)
+
+    def paired(rows: DataFrame, on: list[str]) -> DataFrame:
+        close = (F.col("u") < F.col("v")) & (hamming("u", "v") <= max_distance)
+        return rows.select(*on, F.col("fp").alias("u")).join(rows.select(*on, F.col("fp").alias("v")), on).where(close).select("u", "v")
+
+    pairs = paired(small, ["choice", "key"])
+    if max_distance <= 2:
+        reach = F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in (0, *((1 << i) - (1 << BITS if i == BITS - 1 else 0) for i in range(BITS)))])
+        met = crowded.select("fp").distinct().select("fp", F.explode(reach).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("fps"))
+        if max_distance == 1:  # only what meets at one of the two is at one bit
+            met = met.where(F.array_contains("fps", F.col("at")))
+            far = met.select(F.col("at").alias("u"), F.explode("fps").alias("v"))
+        else:
+            far = met.where(F.size("fps") > 1).select(F.array_min("fps").alias("u"), F.explode("fps").alias("v"))
     else:
-        meet = crowded.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])).alias("at"))
-        met = meet.groupBy("at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-        between = met.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v"))
-    return pairs.unionByName(between).where("u <> v").distinct()
+        dealt = crowded.withColumn("hand", F.pmod(F.xxhash64("fp", "choice", "key"), F.ceil(F.col("members") * 2 / F.lit(bucket_cap))))
+        star = crowded.select(F.col("least").alias("u"), F.col("fp").alias("v")).where(hamming("u", "v") <= max_distance)
+        far = star.unionByName(paired(dealt, ["choice", "key", "hand"]))
+    return pairs.unionByName(far).where("u <> v").distinct()
+
+
+def _words_and_shingles(text: str | None, shingle_words: int, sketch: int) -> tuple[int, str, np.ndarray]:
+    words = text.encode().lower().split() if text else []
+    digest = xxhash.xxh64_intdigest
+    if not words:
+        return 0, "", np.zeros(0, np.int64)
+    kinds = np.array([digest(w, 42) for w in set(words)], dtype="<u8")
+    ones = sum(
+        (np.unpackbits(kinds[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(kinds), _CHUNK)),
+        np.zeros(BITS, np.int64),
+    )
+    runs = {b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))}
+    least = np.unique(np.array([digest(r, 42) for r in runs], dtype=np.uint64))[:sketch].view(np.int64)
+    fp = int(np.packbits(2 * ones > len(kinds), bitorder="little").view("<i8")[0])
+    return fp, xxhash.xxh128_hexdigest(b" ".join(words)), least
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, min_similarity: float = 0.8, max_distance: int = 6, blocks: int = 9, sketch: int = 128
+) -> DataFrame:
+    """``docs`` without near copies: of each group of them the row of least id stays, with all its columns.
+
+    Texts equal but for case (A-Z) and white space are one. Others are candidates if the SimHash fingerprints of their
+    distinct words are within ``max_distance`` bits (found on blocks that agree, then verified), and near copies if,
+    besides, the Jaccard similarity of their runs of ``shingle_words`` words is ``min_similarity`` or more. Similarity is
+    taken from the ``sketch`` least shingle hashes of each (exact for texts with no more, else within a few hundredths).
+    Groups are what such links connect. Fingerprints of single words are candidates' keys because
+    those of long shingles lie 10 bits apart at a similarity of 0.8, which no blocks can meet.
+
+    Texts without words are never copies of each other and all stay. Rows with a null id stay. Rows repeated with
+    one id: all of the id that stays stay. An empty input gives an empty result.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    @F.pandas_udf("fp long, same string, least array<long>")
+    def view(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_words_and_shingles(t, shingle_words, sketch) for t in texts], columns=["fp", "same", "least"])
+
+    seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(id_type).alias("id"), view(F.col(text_col)).alias("v")).select("id", "v.*")
+    seen = staged(seen.where("same <> ''"), "near-copies")
+    # one node for each different text: the least id with it
+    texts = staged(seen.groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("least").alias("least")), "near-texts")
+    links = hamming_links(texts.select("fp").distinct(), max_distance, blocks)
+    by_print = texts.groupBy("fp").agg(F.min("id").alias("lead"))
+    # texts with one fingerprint are linked by their least; texts of linked fingerprints by the least of either
+    inside = texts.join(by_print, "fp").where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v"))
+    across = (
+        links.join(by_print.select(F.col("fp").alias("u"), F.col("lead").alias("a")), "u")
+        .join(by_print.select(F.col("fp").alias("v"), F.col("lead").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    )
+    sketches = texts.select("id", "least")
+    pairs = inside.unionByName(across).join(sketches.select(F.col("id").alias("u"), F.col("least").alias("x")), "u").join(sketches.select(F.col("id").alias("v"), F.col("least").alias("y")), "v")
+    either = F.slice(F.array_sort(F.array_union("x", "y")), 1, sketch)
+    alike = F.size(F.array_intersect(F.array_intersect(either, "x"), "y")) >= min_similarity * F.size(either)
+    parts = connected_components(pairs.where(alike).select("u", "v"))
+    first = parts.groupBy("root").agg(F.min("node").alias("first"))
+    copies = parts.join(first, "root").where("node <> first").select(F.col("node").alias("id"))
+    repeats = seen.join(texts.select("same", F.col("id").alias("lead")), "same").where("id <> lead").select("id")
+    drop = staged(copies.unionByName(repeats).distinct().select(F.col("id").alias("_drop_id")), "near-drop")
+    return docs.join(drop, F.col(id_col) == F.col("_drop_id"), "left_anti").select(*docs.columns)
 
 
 def near_duplicates(
