@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -29,13 +31,14 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "tessera.zip")
-        with zipfile.ZipFile(path, "w") as archive:
-            for where, _, names in os.walk(top):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(where, name)
-                        archive.write(full, os.path.join("tessera", os.path.relpath(full, top)))
-        context.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="spark-tessera-")  # the driver serves the file from there as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tessera.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for where, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(where, name)
+                    archive.write(full, os.path.join("tessera", os.path.relpath(full, top)))
+    context.addPyFile(path)
     _shipped.add(context.applicationId)
