@@ -14,13 +14,13 @@ def stretch(v: Column, low: Column, high: Column) -> Column:
     """
     clamped = F.least(F.greatest(v, low), high)
     spread = F.floor((clamped - low) * 254 / F.when(high > low, high - low)) + 1
-    return F.when(v == 0, 0).otherwise(spread).cast("int")
+    return F.when(v == 0, 0).when(v.isNotNull(), spread).cast("int")
 
 
 def white_balance(v: Column, reference: Column, largest: Column) -> Column:
     """A value times largest / reference, truncated, within 1 to 255; 0 stays 0. A zero reference gives null."""
     scaled = F.floor(F.try_divide(largest.cast("double"), reference) * v)
-    return F.when(v == 0, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(255), scaled))).cast("int")
+    return F.when(v == 0, 0).when(scaled.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(255), scaled))).cast("int")
 
 
 def balance_bands(pixels: DataFrame, references: dict[str, float]) -> DataFrame:

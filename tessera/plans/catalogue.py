@@ -260,7 +260,7 @@ def features_srgb16(spark, d):
 
 
 _WHITE, _BLACK = [210.0, 205, 200, 195, 190, 185, 180, 0], [0.0, 12, 14, 16, 18, 20, 22, 24]
-_MS_REFS = ", ".join([f"round(m{b}/{_WHITE[b]:g},6) f{16 + b}" for b in range(7)] + [f"round(m{b}/nullif({_BLACK[b]:g},0),6) f{23 + b}" for b in range(8)])
+_MS_REFS = ", ".join([f"round(m{b}/{_WHITE[b]:g}+1e-9,6) f{16 + b}" for b in range(7)] + [f"round(m{b}/nullif({_BLACK[b]:g},0)+1e-9,6) f{23 + b}" for b in range(8)])
 
 
 @_query(
@@ -271,7 +271,8 @@ _MS_REFS = ", ".join([f"round(m{b}/{_WHITE[b]:g},6) f{16 + b}" for b in range(7)
     "ms",
 )
 def features_ms31(spark, d):
-    return _rounded(segments.features_ms(fx.ms(spark, d), HEIGHT, 8, _WHITE, _BLACK))
+    rows = segments.features_ms(fx.ms(spark, d), HEIGHT, 8, _WHITE, _BLACK)
+    return rows.select("block", "seg", *(F.round(F.col(f"f{k}") + (0.0 if k < 16 else 1e-9), 6).alias(f"f{k}") for k in range(31)))  # few digits over few: off ties
 
 
 @_query(

@@ -109,7 +109,7 @@ SQL = {
     "painted": "select s.x,s.y,s.block,s.seg, case when s.b0=0 and s.b1=0 and s.b2=0 then 0 else p.cls end cls from scene s join pred p on s.block=p.block and s.seg=p.seg",
     "qscores": "select user_id image_id, event_id block_id, value/1000 score from events",
     "bins": """select cast(floor(value) as bigint) dn, count(*) n from events group by 1""",
-    "hist": """select row_number() over (order by r.dn) - 1 i, r.dn, coalesce(b.n, 0) h from (select unnest(range((select min(dn) from bins), (select cast(max(value) as bigint) from events))) dn) r left join bins b on r.dn = b.dn""",
+    "hist": """select row_number() over (order by r.dn) - 1 i, r.dn, coalesce(b.n, 0) h from (select unnest(range((select min(dn) from bins), (select cast(floor(max(value)) as bigint) from events))) dn) r left join bins b on r.dn = b.dn""",
 }
 _NEEDS = {"scene": ("px",), "pred": ("px", "scene"), "painted": ("px", "scene", "pred"), "hist": ("bins",)}
 
