@@ -75,12 +75,14 @@ def remove_boilerplate(docs: DataFrame, rule: Boilerplate = Boilerplate(), id_co
         occurrences.join(shared, "key").where(~F.col("id").eqNullSafe(F.col("first_id")))
         .groupBy("id").agg(F.collect_set("key").alias("_lose")).withColumnRenamed("id", "_lose_id")
     )
-    joined = docs.join(lose, F.col(id_col).eqNullSafe(F.col("_lose_id")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda line: ~F.array_contains(F.col("_lose"), _line_key(line)))
-    cleaned = joined.withColumn("_kept", F.when(F.col("_lose").isNotNull(), kept))
-    text = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text_col))
-    removed = F.when(F.col("_kept").isNotNull(), F.size(F.split(F.col(text_col), "\n", -1)) - F.size("_kept")).otherwise(0).cast("long")
-    return cleaned.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), removed.alias("removed_lines"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no name of theirs meets ours
+    joined = rows.join(lose, F.col("row")[id_col].eqNullSafe(F.col("_lose_id")), "left")
+    before = F.col("row")[text_col]
+    kept = F.filter(F.split(before, "\n", -1), lambda line: ~F.array_contains(F.col("_lose"), _line_key(line)))
+    cleaned = joined.select("row", F.when(F.col("_lose").isNotNull(), kept).alias("kept"))
+    text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(before)
+    removed = F.when(F.col("kept").isNotNull(), F.size(F.split(before, "\n", -1)) - F.size("kept")).otherwise(0).cast("long")
+    return cleaned.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns), removed.alias("removed_lines"))
 
 
 #: What ``op6_line_dedup`` returns, for DuckDB, by exact counts of all lines.

@@ -86,6 +86,5 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns as they were."""
     trees = fit_rules(docs, labels)
-    names = docs.columns
-    judged = docs.withColumn("_quality_rules", quality_rules(trees, F.col("text"), **options))
-    return judged.where(F.col("_quality_rules.kept")).select(*names)
+    judged = docs.select(F.struct(*docs.columns).alias("row"), quality_rules(trees, F.col("text"), **options).alias("rules"))
+    return judged.where(F.col("rules.kept")).select("row.*")

@@ -172,7 +172,7 @@ def drop_near_copies(
     copies = parts.join(first, "root").where("node <> first").select(F.col("node").alias("id"))
     repeats = seen.join(texts.select("same", F.col("id").alias("lead")), "same").where("id <> lead").select("id")
     drop = staged(copies.unionByName(repeats).distinct().select(F.col("id").alias("_drop_id")), "near-drop")
-    return docs.join(drop, F.col(id_col) == F.col("_drop_id"), "left_anti").select(*docs.columns)
+    return docs.join(drop, docs[id_col] == drop["_drop_id"], "left_anti").select(*docs.columns)
 
 
 def near_duplicates(
