@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -41,29 +44,98 @@ class Layout:
         }
 
 
+#: What Python's split takes for white space, but the tokenizer does not.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
+
+
 class WordEncoder:
     """Encodes whole texts by a tokenizer file whose tokens never span white space.
 
-    Its pre-tokenizer drops white space and its normalizer works within words, so a text's ids are its
-    words' ids, one after the other; words are encoded once, by the library, and remembered up to a bound.
+    Its pre-tokenizer drops white space and parts letters from punctuation, and its normalizer works within words and folds
+    case, so a text's ids are its words' ids, one after the other. A Latin word's are those that the library's model gives its
+    lower-case letters, byte by byte in the model's alphabet, and then those of the punctuation behind them; all other words are
+    encoded by the library as texts. Words are remembered: at first among the ``young``, which go when they are many, and
+    for good, up to ``remember`` words, when they occur again.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True, remember: int = 300_000):
+    _PUNCTUATION = ".,!?;:"
+
+    def __init__(self, path: str, special_as_text: bool = True, remember: int = 300_000, young: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.remember = remember
-        self.known: dict[str, list[int]] = {}
+        self.model = self.tokenizer.model
+        self.remember, self.most_young = remember, young
+        self.known: dict[str, list[int]] = {"": []}
+        self.young: dict[str, list[int]] = {}
+        self.letters: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {}
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = str.maketrans({b: chr(256 + i) for i, b in enumerate(others)})
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.young) > self.most_young:
+            self.young, self.letters = {}, {}
+        young, known, letters, tails, odd = self.young, self.known, self.letters, self.tails, []
+        room = self.remember - len(known)
+        for w in words:
+            if (ids := young.get(w)) is not None:
+                if room > 0:
+                    known[w] = young.pop(w)
+                    room -= 1
+                continue
+            core = w.rstrip(self._PUNCTUATION)
+            if not core.isalpha() or not (core.isascii() or max(core) < "\u0130"):
+                odd.append(w)
+                continue
+            core = core.lower()
+            if (ids := letters.get(core)) is None:
+                ids = letters[core] = [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.alphabet))]
+            if len(core) < len(w):
+                tail = w[len(core) :]
+                if tail not in tails:
+                    tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+                ids = ids + tails[tail]
+            young[w] = ids
+        if odd:
+            young.update(zip(odd, (e.ids for e in self.tokenizer.encode_batch(odd, add_special_tokens=False))))
+        if len(tails) > 10_000:
+            tails.clear()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > self.remember:
-            self.known = {}
-        if new := list({w for words in parts for w in words} - self.known.keys()):
-            self.known |= {w: e.ids for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in parts]
+        words = [t.split() if not any(c in t for c in _NO_SPACE) else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        found = [list(map(self.known.get, w)) for w in words]
+        unknown = [i for i, f in enumerate(found) if None in f]
+        gaps = {i: [j for j, x in enumerate(found[i]) if x is None] for i in unknown}
+        missing = {words[i][j] for i in unknown for j in gaps[i]}
+        if missing:
+            self._learn(missing)
+            for i in unknown:
+                for j in gaps[i]:
+                    w = words[i][j]
+                    found[i][j] = self.known[w] if w in self.known else self.young[w]
+        return [list(chain.from_iterable(f)) for f in found]
+
+
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without searches for garbage cycles: words' ids are hundreds of thousands of lists, and none refers back."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """One encoder for a worker, with what it remembers, for all of its tasks."""
+    return WordEncoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", *, layout: Layout = Layout(), rows_at_once: int = 256) -> None:
@@ -74,11 +146,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, shard, start = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, shard, start = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, len(batch), rows_at_once):
                 part = batch.iloc[at : at + rows_at_once]
-                ids = [np.array([*x, end_id], np.int32) for x in encoder.encode([t or "" for t in part["text"]])]
+                with _no_cycles():
+                    ids = [np.array([*x, end_id], np.int32) for x in encoder.encode([t or "" for t in part["text"]])]
                 counts = np.array([len(x) for x in ids], np.int64)
                 starts = start + np.concatenate([[0], np.cumsum(counts)[:-1]])
                 start += int(counts.sum())
