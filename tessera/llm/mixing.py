@@ -179,7 +179,8 @@ def pieces(placed: DataFrame, table: DataFrame, mix: Mix) -> DataFrame:
     parts = filled.withColumn("block", block).withColumn("first_word", low - F.col("start")).withColumn("words", high - low)
     if "text" in placed.columns:
         parts = parts.withColumn("text", F.array_join(F.slice("text", (F.col("first_word") + 1).cast("int"), F.col("words").cast("int")), ""))
-    return parts.join(draw_slots(placed.sparkSession, table, mix), ["source_no", "block"])
+    # slots grow with the corpus, which Spark cannot see from the few shards that they are drawn for: never broadcast them
+    return parts.join(draw_slots(placed.sparkSession, table, mix).hint("merge"), ["source_no", "block"])
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
