@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.prefix import default_buckets
 from tessera.llm.shared import staged
 
 
@@ -19,7 +20,7 @@ class Index:
     """``tables`` of ``hashes`` p-stable hashes of cell width ``width`` (vectors are scaled into the unit ball); a query visits
     ``probes`` buckets of each table. ``part_rows``: index rows that a task takes together, about."""
 
-    tables: int = 14
+    tables: int = 12
     hashes: int = 8
     width: float = 2.0
     probes: int = 96
@@ -97,38 +98,63 @@ def _best(scores: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray
     return of[order], score[order]
 
 
+def _best_rows(scores: np.ndarray, ids: list[np.ndarray], first: np.ndarray, single: bool, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``_best`` of every row of ``scores``, together where no tie crosses the k-th place and no vector has several ids."""
+    if not single or scores.shape[1] <= k:
+        return [_best(row, ids, k) for row in scores]
+    top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    value = np.take_along_axis(scores, top, axis=1)
+    least = value.min(axis=1)
+    tied = (least > -np.inf) & ((scores >= least[:, None]).sum(axis=1) > k)
+    found = first[top]
+    return [_best(scores[i], ids, k) if tied[i] else (found[i][keep := value[i] > -np.inf], value[i][keep]) for i in range(len(scores))]
+
+
 def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int, index: Index | None, chunk: int = 256) -> pd.DataFrame:
-    """The k best of ``rows`` for each query: among its probed buckets, or all if ``index`` is None."""
-    none = pd.DataFrame({"rep": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    if not len(rows) or not len(queries):
-        return none
-    x, ids = _matrix(rows["vector"]), [np.asarray(i, dtype=np.int64) for i in rows["ids"]]
-    out = []
-    if index:
-        keys, bucket = np.unique(rows["key"].to_numpy(np.int64), return_inverse=True)
-        members = np.split(np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket))[:-1])
-    for at in range(0, len(queries), chunk):
-        part = queries.iloc[at : at + chunk]
-        q = _matrix(part["vector"])
+    """(rep, ids, scores): the k best of ``rows`` for each query, among its probed buckets, or all if ``index`` is None."""
+    reps, best = [], []
+    if len(rows) and len(queries):
+        x, ids = _matrix(rows["vector"]), [np.asarray(i, dtype=np.int64) for i in rows["ids"]]
+        first, single = np.array([i[0] for i in ids]), all(len(i) == 1 for i in ids)
         if index:
-            visits = index.keys(int(rows["tab"].iloc[0]), _unit(q), probe=True)
-            place = np.minimum(np.searchsorted(keys, visits), len(keys) - 1)
-            scores = np.full((len(q), len(x)), -np.inf)
-            who, which = np.nonzero(keys[place] == visits)
-            at_bucket = place[who, which]
-            order = np.argsort(at_bucket, kind="stable")
-            who, at_bucket = who[order], at_bucket[order]
-            for run in np.split(np.arange(len(who)), np.flatnonzero(np.diff(at_bucket)) + 1):
-                if len(run):
-                    mine, found = np.unique(who[run]), members[at_bucket[run[0]]]
-                    scores[np.ix_(mine, found)] = q[mine] @ x[found].T
-        else:
-            scores = q @ x.T
-        for i, rep in enumerate(part["rep"].tolist()):
-            best, score = _best(scores[i], ids, k)
-            if len(best):
-                out.append(pd.DataFrame({"rep": rep, "vec_id": best, "score": score}))
-    return pd.concat(out) if out else none
+            keys, bucket = np.unique(rows["key"].to_numpy(np.int64), return_inverse=True)
+            members = np.split(np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket))[:-1])
+        for at in range(0, len(queries), chunk):
+            part = queries.iloc[at : at + chunk]
+            q = _matrix(part["vector"])
+            if index:
+                visits = index.keys(int(rows["tab"].iloc[0]), _unit(q), probe=True)
+                place = np.minimum(np.searchsorted(keys, visits), len(keys) - 1)
+                scores = np.full((len(q), len(x)), -np.inf)
+                who, which = np.nonzero(keys[place] == visits)
+                at_bucket = place[who, which]
+                order = np.argsort(at_bucket, kind="stable")
+                who, at_bucket = who[order], at_bucket[order]
+                for run in np.split(np.arange(len(who)), np.flatnonzero(np.diff(at_bucket)) + 1):
+                    if len(run):
+                        mine, found = np.unique(who[run]), members[at_bucket[run[0]]]
+                        scores[np.ix_(mine, found)] = q[mine] @ x[found].T
+            else:
+                scores = q @ x.T
+            reps += part["rep"].tolist()
+            best += _best_rows(scores, ids, first, single, k)
+    hit = [i for i, (found, _) in enumerate(best) if len(found)]
+    return pd.DataFrame({"rep": np.array([reps[i] for i in hit], np.int64), "ids": [best[i][0] for i in hit], "scores": [best[i][1] for i in hit]})
+
+
+def _merge(group: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(rep, vec_id, score): the k best of what was found for each query, an id once."""
+    counts = [len(i) for i in group["ids"]]
+    rep, ids, score = np.repeat(group["rep"].to_numpy(), counts), np.concatenate(group["ids"].to_list()), np.concatenate(group["scores"].to_list())
+    order = np.lexsort((-score, ids, rep))
+    rep, ids, score = rep[order], ids[order], score[order]
+    once = np.concatenate([[True], (rep[1:] != rep[:-1]) | (ids[1:] != ids[:-1])])
+    rep, ids, score = rep[once], ids[once], score[once]
+    order = np.lexsort((ids, -score, rep))
+    rep, ids, score = rep[order], ids[order], score[order]
+    start = np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1]]))
+    place = np.arange(len(rep)) - np.repeat(start, np.diff([*start, len(rep)]))
+    return pd.DataFrame({"rep": rep, "vec_id": ids, "score": score})[place < k]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", *, index: Index = Index()) -> DataFrame:
@@ -187,11 +213,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     sizes = placed.groupBy("tab", "part").agg(F.ceil(F.count("*") / F.lit(4.0 * index.part_rows)).cast("int").alias("shares"))
     placed = placed.join(sizes, ["tab", "part"]).withColumn("share", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.col("shares")).cast("int")).drop("shares")
     sent = sent.join(sizes, ["tab", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    result = "rep long, vec_id long, score double"
+    result = "rep long, ids array<long>, scores array<double>"
     group = ["tab", "part", "share"]
     found = placed.groupBy(*group).cogroup(sent.groupBy(*group)).applyInPandas(lambda a, b: _search(a, b, k + 1, index), result)
-    ordered = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
-    merge = lambda hits: hits.groupBy("rep", "vec_id").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= k + 1)
+    deal = F.pmod(F.xxhash64("rep"), F.lit(max(parts, default_buckets(spark))))
+    merge = lambda hits: hits.groupBy(deal).applyInPandas(lambda g: _merge(g, k + 1), "rep long, vec_id long, score double")
     merged = staged(merge(found), "ann-found")
     enough = merged.groupBy("rep").count().where(F.col("count") > k).select("rep")
     short = staged(asked.join(enough, "rep", "left_anti"), "ann-short")
