@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import staged
+from tessera.llm.shared import staged, text_batches
 
 _NO_RANK = 2**31 - 1
 _SECOND_CHOICE = 40
@@ -171,6 +171,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     Null and empty texts have no ids (an empty string). Repeated rows, and null ids of documents,
     keep a row each; other columns are not read. An empty input gives an empty result.
     """
+    text_batches(docs.sparkSession)
     bpe = Bpe(ranks)
     vocabulary = {}
     for piece, rank in ranks.items():

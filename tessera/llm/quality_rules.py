@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.gbt import Trees, fit_trees
 from tessera.llm.labelled import labelled_sample
 from tessera.llm.quality_stats import BASE, MORE, document_stats
+from tessera.llm.shared import text_batches
 
 #: Feature and its constraint: -1 where more of it may never make a document better.
 FEATURES = {
@@ -37,6 +38,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000) -
 
     The statistics are taken in Spark; what reaches the driver is a few numbers for each document of the sample.
     """
+    text_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", train_rows)
     of = _stats_udf()
     rows = sample.select("doc_id", "label", of("text").alias("s")).select("doc_id", "label", "s.*").toPandas().sort_values("doc_id")

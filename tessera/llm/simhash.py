@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import staged
+from tessera.llm.prefix import default_buckets
+from tessera.llm.shared import staged, text_batches
 
 BITS = 64
 _CHUNK = 1 << 16
@@ -88,7 +89,8 @@ def hamming_links(prints: DataFrame, max_distance: int = 2, blocks: int = 4, buc
         F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
         for i, m in enumerate(block_masks(max_distance, blocks))
     ]))
-    keyed = prints.select("fp", keys.alias("k")).select("fp", "k.choice", "k.key")
+    # a few MB of fingerprints become many keys: dealt out first, or a task or two would make them all
+    keyed = prints.repartition(default_buckets(prints.sparkSession), "fp").select("fp", keys.alias("k")).select("fp", "k.choice", "k.key")
     sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("members"), F.min("fp").alias("least")).where("members > 1")
     shared = staged(keyed.join(sizes, ["choice", "key"]), "simhash-buckets")
     small = shared.where(F.col("members") <= bucket_cap)
@@ -146,6 +148,7 @@ def drop_near_copies(
     one id: all of the id that stays stay. An empty input gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("fp long, same string, least array<long>")
     def view(texts: pd.Series) -> pd.DataFrame:
@@ -188,6 +191,7 @@ def near_duplicates(
     component of such rows alone has a null component_id. Repeated rows stay repeated. Other columns
     of ``docs`` are not read. An empty input gives an empty result.
     """
+    text_batches(docs.sparkSession)
     prints = staged(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), shingle_words).alias("fp")), "simhash")
     nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
     parts = connected_components(hamming_links(nodes.select("fp"), max_distance, blocks))
