@@ -158,10 +158,12 @@ def placed_documents(docs: DataFrame, mix: Mix, id_col: str, text_col: str, sour
     """Documents with their source's figures and their place among its words; and the sources."""
     spark = docs.sparkSession
     text = text_or_empty(text_col)
-    rows = staged(docs.select(
+    rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
         F.xxhash64(text).alias("text_hash"), *([text.alias("text")] if with_text else []),
-    ), "mix")
+    )
+    if not with_text:  # texts are read again rather than written
+        rows = staged(rows, "mix")
     table = sources(spark, rows, mix)
     known = rows.alias("r").join(F.broadcast(table.alias("s")), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "source_no", "source_size", "target")
     return running_start(known, "source_no", ["doc_id", "text_hash", "size"], F.col("size"), "start", default_buckets(spark)), table

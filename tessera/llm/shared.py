@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _own_folders: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,9 +47,22 @@ def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """
     path = staged_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_so_far() -> int:
+    return len(_written)
+
+
+def keep_last_staged(spark: SparkSession, since: int) -> None:
+    """Deletes the tables staged after the first ``since`` but for the last, when nothing reads them any more."""
+    for path in _written[since:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _written[since:-1]
+
+
 def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Sends Python workers at most ``rows`` rows at once from now on: texts are long, and a worker holds a batch whole."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.prefix import default_buckets
-from tessera.llm.shared import staged, text_batches
+from tessera.llm.shared import keep_last_staged, staged, staged_so_far, text_batches
 
 BITS = 64
 _CHUNK = 1 << 16
@@ -149,6 +149,7 @@ def drop_near_copies(
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     text_batches(docs.sparkSession)
+    before = staged_so_far()
 
     @F.pandas_udf("fp long, same string, least array<long>")
     def view(texts: pd.Series) -> pd.DataFrame:
@@ -175,6 +176,7 @@ def drop_near_copies(
     copies = parts.join(first, "root").where("node <> first").select(F.col("node").alias("id"))
     repeats = seen.join(texts.select("same", F.col("id").alias("lead")), "same").where("id <> lead").select("id")
     drop = staged(copies.unionByName(repeats).distinct().select(F.col("id").alias("_drop_id")), "near-drop")
+    keep_last_staged(docs.sparkSession, before)
     return docs.join(drop, docs[id_col] == drop["_drop_id"], "left_anti").select(*docs.columns)
 
 
