@@ -69,19 +69,33 @@ def block_masks(max_distance: int, blocks: int) -> list[int]:
     return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
 
 
+def tiled_pairs(rows: DataFrame, on: list[str], item: str, side: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(on, u, v, and each of ``also`` as u_ and v_): every pair u < v of the different ``item`` of ``rows`` equal in ``on``, once.
+
+    ``members``, a column of ``rows``, is the number of rows equal in ``on``. These are dealt into groups of some ``side`` rows; each two groups, and each
+    with itself, are a tile, which is a key of the join. So a crowded key is many small ones, and no pair is left out.
+    """
+    groups = F.ceil(F.col("members") / F.lit(side)).cast("int")
+    dealt = rows.withColumns({"_groups": groups, "_own": F.pmod(F.xxhash64(item), groups).cast("int")})
+    one = dealt.select(*on, F.col(item).alias("a"), F.struct(item, *also).alias("_one"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_groups") - 1)).alias("_j"))
+    two = dealt.select(*on, F.col(item).alias("b"), F.struct(item, *also).alias("_two"), F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"))
+    met = one.join(two, [*on, "_i", "_j"]).where(F.when(F.col("_i") == F.col("_j"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    less, more = F.least("_one", "_two"), F.greatest("_one", "_two")  # by the item, which differs
+    return met.select(*on, less[item].alias("u"), more[item].alias("v"), *(less[c].alias(f"u_{c}") for c in also), *(more[c].alias(f"v_{c}") for c in also))
+
+
 def hamming_links(prints: DataFrame, max_distance: int = 2, blocks: int = 4, bucket_cap: int = 16) -> DataFrame:
     """Links (u, v), each within ``max_distance`` bits, among ``prints``: one long column ``fp``, distinct, without null.
 
     Every fingerprint goes to one bucket for each choice of blocks that may agree. Buckets of up to ``bucket_cap``
-    fingerprints are joined with themselves and each pair's distance is verified. Larger ones are never listed by pairs:
+    fingerprints are joined with themselves and each pair's distance is verified. No link is lost in larger ones:
 
     - For distances up to 2 their fingerprints are linked through what lies between them: each is sent to itself and to
       its 64 neighbours at one bit; two meet there if, and only if, they are within two bits. At most 65 different
       fingerprints can meet. The links are stars, so not all pairs are listed, but what is within reach is connected:
       components are exact, and the work is linear.
-    - For longer distances each is compared with the bucket's least, and with some ``bucket_cap`` others that
-      a hash deals to it, another set in every bucket that both share. A group of copies is connected by
-      these with near certainty; a pair that meets in crowded buckets only may be missed.
+    - For longer distances a bucket is dealt into groups of some ``bucket_cap`` fingerprints, and every two groups
+      meet in a tile of their own (``tiled_pairs``): all pairs are verified, and no task holds a bucket.
     """
     if not 0 < max_distance < blocks:
         raise ValueError("max_distance must be at least 1, and less than blocks")
@@ -91,28 +105,21 @@ def hamming_links(prints: DataFrame, max_distance: int = 2, blocks: int = 4, buc
     ]))
     # a few MB of fingerprints become many keys: dealt out first, or a task or two would make them all
     keyed = prints.repartition(default_buckets(prints.sparkSession), "fp").select("fp", keys.alias("k")).select("fp", "k.choice", "k.key")
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("members"), F.min("fp").alias("least")).where("members > 1")
+    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("members")).where("members > 1")
     shared = staged(keyed.join(sizes, ["choice", "key"]), "simhash-buckets")
-    small = shared.where(F.col("members") <= bucket_cap)
+    close = hamming("u", "v") <= max_distance
+    if max_distance > 2:
+        return tiled_pairs(shared, ["choice", "key"], "fp", bucket_cap).where(close).select("u", "v").distinct()
+    small, on = shared.where(F.col("members") <= bucket_cap), ["choice", "key"]
+    pairs = small.select(*on, F.col("fp").alias("u")).join(small.select(*on, F.col("fp").alias("v")), on).where((F.col("u") < F.col("v")) & close).select("u", "v")
     crowded = shared.where(F.col("members") > bucket_cap)
-
-    def paired(rows: DataFrame, on: list[str]) -> DataFrame:
-        close = (F.col("u") < F.col("v")) & (hamming("u", "v") <= max_distance)
-        return rows.select(*on, F.col("fp").alias("u")).join(rows.select(*on, F.col("fp").alias("v")), on).where(close).select("u", "v")
-
-    pairs = paired(small, ["choice", "key"])
-    if max_distance <= 2:
-        reach = F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in (0, *((1 << i) - (1 << BITS if i == BITS - 1 else 0) for i in range(BITS)))])
-        met = crowded.select("fp").distinct().select("fp", F.explode(reach).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("fps"))
-        if max_distance == 1:  # only what meets at one of the two is at one bit
-            met = met.where(F.array_contains("fps", F.col("at")))
-            far = met.select(F.col("at").alias("u"), F.explode("fps").alias("v"))
-        else:
-            far = met.where(F.size("fps") > 1).select(F.array_min("fps").alias("u"), F.explode("fps").alias("v"))
+    reach = F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in (0, *((1 << i) - (1 << BITS if i == BITS - 1 else 0) for i in range(BITS)))])
+    met = crowded.select("fp").distinct().select("fp", F.explode(reach).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("fps"))
+    if max_distance == 1:  # only what meets at one of the two is at one bit
+        met = met.where(F.array_contains("fps", F.col("at")))
+        far = met.select(F.col("at").alias("u"), F.explode("fps").alias("v"))
     else:
-        dealt = crowded.withColumn("hand", F.pmod(F.xxhash64("fp", "choice", "key"), F.ceil(F.col("members") * 2 / F.lit(bucket_cap))))
-        star = crowded.select(F.col("least").alias("u"), F.col("fp").alias("v")).where(hamming("u", "v") <= max_distance)
-        far = star.unionByName(paired(dealt, ["choice", "key", "hand"]))
+        far = met.where(F.size("fps") > 1).select(F.array_min("fps").alias("u"), F.explode("fps").alias("v"))
     return pairs.unionByName(far).where("u <> v").distinct()
 
 

@@ -71,6 +71,16 @@ def test_crowded_buckets_lose_no_link(spark):
     assert all((of[a] == of[b]) == (root.get(a, a) == root.get(b, b)) for a, b in pairs)
 
 
+def test_crowded_buckets_verify_every_pair_at_six_bits(spark):
+    rng = np.random.default_rng(1)
+    base = int(rng.integers(0, 2**62))
+    # 300 fingerprints that agree in 3 of 9 blocks only: one bucket, of which pairs differ in 6 other blocks
+    prints = {base ^ sum(1 << int(b) for b in rng.choice(np.arange(22, 62), 5, replace=False)) for _ in range(300)}
+    links = simhash.hamming_links(spark.createDataFrame([(p,) for p in prints], "fp long"), 6, 9, bucket_cap=8).collect()
+    expected = sorted((a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 6)
+    assert len(expected) > 100 and sorted((r.u, r.v) for r in links) == expected
+
+
 def test_near_copies_leave_one(docs, empty):
     kept = [r.doc_id for r in simhash.drop_near_copies(docs).collect()]
     assert 0 in kept and 12 not in kept and 13 not in kept and 14 not in kept and 1 in kept
