@@ -123,7 +123,8 @@ def hamming_links(prints: DataFrame, max_distance: int = 2, blocks: int = 4, buc
     return pairs.unionByName(far).where("u <> v").distinct()
 
 
-def _words_and_shingles(text: str | None, shingle_words: int, sketch: int) -> tuple[int, str, np.ndarray]:
+def _words_and_shingles(text: str | None, shingle_words: int) -> tuple[int, str, np.ndarray]:
+    """Fingerprint of the distinct words, a hash of the text, and the hashes of its different shingles in order."""
     words = text.encode().lower().split() if text else []
     digest = xxhash.xxh64_intdigest
     if not words:
@@ -134,21 +135,40 @@ def _words_and_shingles(text: str | None, shingle_words: int, sketch: int) -> tu
         np.zeros(BITS, np.int64),
     )
     runs = {b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))}
-    least = np.unique(np.array([digest(r, 42) for r in runs], dtype=np.uint64))[:sketch].view(np.int64)
+    shingles = np.unique(np.array([digest(r, 42) for r in runs], dtype=np.uint64).view(np.int64))
     fp = int(np.packbits(2 * ones > len(kinds), bitorder="little").view("<i8")[0])
-    return fp, xxhash.xxh128_hexdigest(b" ".join(words)), least
+    return fp, xxhash.xxh128_hexdigest(b" ".join(words)), shingles
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, min_similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v: ids of ``texts``) whose Jaccard similarity of all shingle hashes is ``min_similarity`` or more.
+
+    Shingles are made again from the texts of these ids only, so no table holds those of all.
+    """
+
+    @F.pandas_udf("same string, shingles array<long>")
+    def view(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_words_and_shingles(t, shingle_words)[1:] for t in texts], columns=["same", "shingles"])
+
+    pairs = staged(pairs.distinct(), "near-pairs")
+    asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    needed = staged(texts.join(asked, "id").select("id", F.col("same").alias("wanted")), "near-needed")
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(needed, "id").select("id", "wanted", view("_text").alias("v")).select("id", "wanted", "v.*")
+    whole = staged(whole.where(F.col("same") == F.col("wanted")).dropDuplicates(["id", "same"]).select("id", "shingles"), "near-shingles")
+    sets = pairs.join(whole.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(whole.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
+    sizes = sets.select("u", "v", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("total"))
+    return staged(sizes.where(F.col("both") >= min_similarity * (F.col("total") - F.col("both"))).select("u", "v"), "near-alike")
 
 
 def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, min_similarity: float = 0.8, max_distance: int = 6, blocks: int = 9, sketch: int = 128
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, min_similarity: float = 0.8, max_distance: int = 6, blocks: int = 9
 ) -> DataFrame:
     """``docs`` without near copies: of each group of them the row of least id stays, with all its columns.
 
-    Texts equal but for case (A-Z) and white space are one. Others are candidates if the SimHash fingerprints of their
-    distinct words are within ``max_distance`` bits (found on blocks that agree, then verified), and near copies if,
-    besides, the Jaccard similarity of their runs of ``shingle_words`` words is ``min_similarity`` or more. Similarity is
-    taken from the ``sketch`` least shingle hashes of each (exact for texts with no more, else within a few hundredths).
-    Groups are what such links connect. Fingerprints of single words are candidates' keys because
+    Texts equal but for case (A-Z) and white space are one. Others are near copies if the Jaccard similarity of their
+    runs of ``shingle_words`` words, all of them, is ``min_similarity`` or more. Groups are what such links connect.
+    Candidates are texts whose SimHash fingerprints of distinct words are within ``max_distance`` bits (found on blocks that
+    agree, then verified). Fingerprints of single words are candidates' keys because
     those of long shingles lie 10 bits apart at a similarity of 0.8, which no blocks can meet.
 
     Texts without words are never copies of each other and all stay. Rows with a null id stay. Rows repeated with
@@ -158,14 +178,14 @@ def drop_near_copies(
     text_batches(docs.sparkSession)
     before = staged_so_far()
 
-    @F.pandas_udf("fp long, same string, least array<long>")
+    @F.pandas_udf("fp long, same string")
     def view(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_words_and_shingles(t, shingle_words, sketch) for t in texts], columns=["fp", "same", "least"])
+        return pd.DataFrame([_words_and_shingles(t, shingle_words)[:2] for t in texts], columns=["fp", "same"])
 
     seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(id_type).alias("id"), view(F.col(text_col)).alias("v")).select("id", "v.*")
     seen = staged(seen.where("same <> ''"), "near-copies")
     # one node for each different text: the least id with it
-    texts = staged(seen.groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("least").alias("least")), "near-texts")
+    texts = staged(seen.groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp")), "near-texts")
     links = hamming_links(texts.select("fp").distinct(), max_distance, blocks)
     by_print = texts.groupBy("fp").agg(F.min("id").alias("lead"))
     # texts with one fingerprint are linked by their least; texts of linked fingerprints by the least of either
@@ -174,11 +194,7 @@ def drop_near_copies(
         links.join(by_print.select(F.col("fp").alias("u"), F.col("lead").alias("a")), "u")
         .join(by_print.select(F.col("fp").alias("v"), F.col("lead").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
-    sketches = texts.select("id", "least")
-    pairs = inside.unionByName(across).join(sketches.select(F.col("id").alias("u"), F.col("least").alias("x")), "u").join(sketches.select(F.col("id").alias("v"), F.col("least").alias("y")), "v")
-    either = F.slice(F.array_sort(F.array_union("x", "y")), 1, sketch)
-    alike = F.size(F.array_intersect(F.array_intersect(either, "x"), "y")) >= min_similarity * F.size(either)
-    parts = connected_components(pairs.where(alike).select("u", "v"))
+    parts = connected_components(_alike(inside.unionByName(across), texts, docs, id_col, text_col, shingle_words, min_similarity))
     first = parts.groupBy("root").agg(F.min("node").alias("first"))
     copies = parts.join(first, "root").where("node <> first").select(F.col("node").alias("id"))
     repeats = seen.join(texts.select("same", F.col("id").alias("lead")), "same").where("id <> lead").select("id")

@@ -88,6 +88,25 @@ def test_near_copies_leave_one(docs, empty):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_far_in_fingerprints_or_near_the_limit(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 4000, 400)]
+        texts.append(w)
+        texts.append(w[: int(rng.integers(300, 345))])  # similarities around 0.8
+        texts.append(w + [w[5]] * 3 + [f"v{x}" for x in rng.integers(0, 4000, 70)])
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    group = list(range(len(sets)))
+    links = [(a, b) for a in group for b in group if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(3):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.drop_near_copies(frame).collect())
+    assert kept == sorted(set(group)) and 40 < len(kept) < 120
+
+
 def test_components_of_a_chain_and_nothing(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (100, 101)], "u long, v long")
     out = {r.node: r.root for r in components.connected_components(chain).collect()}
