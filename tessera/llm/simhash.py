@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -154,14 +155,43 @@ def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, tex
     asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     needed = staged(texts.join(asked, "id").select("id", F.col("same").alias("wanted")), "near-needed")
     whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(needed, "id").select("id", "wanted", view("_text").alias("v")).select("id", "wanted", "v.*")
-    whole = staged(whole.where(F.col("same") == F.col("wanted")).dropDuplicates(["id", "same"]).select("id", "shingles"), "near-shingles")
+    # compared after it is staged: as part of the join, the comparison would have shingles made of all texts
+    whole = staged(whole, "near-shingles").where(F.col("same") == F.col("wanted")).dropDuplicates(["id", "same"]).select("id", "shingles")
     sets = pairs.join(whole.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(whole.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
     sizes = sets.select("u", "v", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("total"))
     return staged(sizes.where(F.col("both") >= min_similarity * (F.col("total") - F.col("both"))).select("u", "v"), "near-alike")
 
 
+def _prefix(n: int, min_similarity: float) -> int:
+    """How many of its ``n`` shingles a text looks up: one more than it may lack and still be alike."""
+    return n - math.ceil(min_similarity * n - 1e-9) + 1 if n else 0
+
+
+def _shared_probes(texts: DataFrame) -> DataFrame:
+    """(id, n, shingle, members, lead): the shingles that texts look up, where two texts or more look up the same.
+
+    A text looks up its first shingles in the order of their hashes, one more than it may lack. So two texts
+    alike share one that both look up (prefix filter: Chaudhuri, Ganti, Kaushik 2006). ``members``: rows with the shingle; ``lead``: that of the least id.
+    """
+    bucket = Window.partitionBy("shingle")
+    rows = texts.select("id", "n", F.explode("probes").alias("shingle"))
+    counted = rows.withColumns({"members": F.count("*").over(bucket), "lead": F.min(F.struct("id", "n")).over(bucket)})
+    return staged(counted.where("members > 1"), "near-probes")
+
+
+def _in_reach(pairs: DataFrame, min_similarity: float) -> DataFrame:
+    """Different (u, v) of ``pairs`` (a row for each shingle that both look up, of u_n and v_n shingles) that can be alike by their number.
+
+    What two texts share and do not both look up lies behind the last lookup of the one that stops first: at most all that it has there.
+    """
+    counted = pairs.groupBy("u", "v", "u_n", "v_n").agg(F.count("*").alias("shared"))
+    behind = lambda n: F.ceil(F.col(n) * min_similarity - 1e-9) - 1
+    most = F.col("shared") + F.greatest(behind("u_n"), behind("v_n"))
+    return counted.where(F.least(most, "u_n", "v_n") * (1 + min_similarity) >= min_similarity * (F.col("u_n") + F.col("v_n")) - 1e-6).select("u", "v")
+
+
 def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, min_similarity: float = 0.8, max_distance: int = 6, blocks: int = 9
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, min_similarity: float = 0.8, max_distance: int = 6, blocks: int = 9, pairs_side: int = 512
 ) -> DataFrame:
     """``docs`` without near copies: of each group of them the row of least id stays, with all its columns.
 
@@ -170,6 +200,9 @@ def drop_near_copies(
     Candidates are texts whose SimHash fingerprints of distinct words are within ``max_distance`` bits (found on blocks that
     agree, then verified). Fingerprints of single words are candidates' keys because
     those of long shingles lie 10 bits apart at a similarity of 0.8, which no blocks can meet.
+    Besides, candidates are all that can be: ``_shared_probes`` gives every pair at ``min_similarity`` a shingle that both look up, so
+    none is missed. Pairs near by fingerprint, and each text with the least of a lookup where both share enough of these, are verified first;
+    what they connect need not be paired again, so a large group of copies is not listed by its pairs.
 
     Texts without words are never copies of each other and all stay. Rows with a null id stay. Rows repeated with
     one id: all of the id that stays stay. An empty input gives an empty result.
@@ -178,14 +211,16 @@ def drop_near_copies(
     text_batches(docs.sparkSession)
     before = staged_so_far()
 
-    @F.pandas_udf("fp long, same string")
+    @F.pandas_udf("fp long, same string, n int, probes array<long>")
     def view(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_words_and_shingles(t, shingle_words)[:2] for t in texts], columns=["fp", "same"])
+        rows = [_words_and_shingles(t, shingle_words) for t in texts]
+        return pd.DataFrame([(fp, same, len(s), s[: _prefix(len(s), min_similarity)].copy()) for fp, same, s in rows], columns=["fp", "same", "n", "probes"])
 
     seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(id_type).alias("id"), view(F.col(text_col)).alias("v")).select("id", "v.*")
     seen = staged(seen.where("same <> ''"), "near-copies")
     # one node for each different text: the least id with it
-    texts = staged(seen.groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp")), "near-texts")
+    texts = staged(seen.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "probes"))), "near-texts")
+    probes = _shared_probes(texts)
     links = hamming_links(texts.select("fp").distinct(), max_distance, blocks)
     by_print = texts.groupBy("fp").agg(F.min("id").alias("lead"))
     # texts with one fingerprint are linked by their least; texts of linked fingerprints by the least of either
@@ -194,7 +229,15 @@ def drop_near_copies(
         links.join(by_print.select(F.col("fp").alias("u"), F.col("lead").alias("a")), "u")
         .join(by_print.select(F.col("fp").alias("v"), F.col("lead").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
-    parts = connected_components(_alike(inside.unionByName(across), texts, docs, id_col, text_col, shingle_words, min_similarity))
+    star = probes.where("id <> lead.id").select(F.col("lead.id").alias("u"), F.col("id").alias("v"), F.col("lead.n").alias("u_n"), F.col("n").alias("v_n"))
+    judge = lambda pairs: _alike(pairs, texts, docs, id_col, text_col, shingle_words, min_similarity)
+    alike = judge(inside.unionByName(across).unionByName(_in_reach(star, min_similarity)))
+    found = connected_components(alike).select(F.col("node").alias("id"), "root")
+    placed = probes.drop("lead").join(found, "id", "left").withColumn("part", F.coalesce("root", "id"))
+    bucket = Window.partitionBy("shingle")
+    apart = placed.withColumns({"a": F.min("part").over(bucket), "b": F.max("part").over(bucket)}).where("a <> b").select("shingle", "members", "id", "n", "part")
+    rest = tiled_pairs(staged(apart, "near-apart"), ["shingle"], "id", pairs_side, ("n", "part")).where(F.col("u_part") != F.col("v_part"))
+    parts = connected_components(alike.unionByName(judge(_in_reach(rest, min_similarity))))
     first = parts.groupBy("root").agg(F.min("node").alias("first"))
     copies = parts.join(first, "root").where("node <> first").select(F.col("node").alias("id"))
     repeats = seen.join(texts.select("same", F.col("id").alias("lead")), "same").where("id <> lead").select("id")
