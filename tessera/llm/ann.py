@@ -183,7 +183,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     dims, count, largest = lengths[0]["dims"], lengths[0]["n"], lengths[0]["largest"]
     rows = staged(rows.where(F.size("vector") == dims), "ann-rows")
     nth = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    points = rows.select("vector", "vec_id").withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    points = rows.select("vector", "vec_id").distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1)
     points = staged(points.groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "ann-points")
     asked = staged(rows.where("query").groupBy("vector").agg(F.min("vec_id").alias("rep")), "ann-asked")
     parts = max(1, -(-count // index.part_rows))

@@ -149,6 +149,16 @@ def test_nearest_by_brute_force(spark):
     assert ann.nearest(frame.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_repeated_rows_of_one_id_leave_room_for_others(spark):
+    x = np.random.default_rng(4).standard_normal((60, 8))
+    x[8:41] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 30
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), k=20, index=ann.Index(tables=8, hashes=4, probes=24, part_rows=50)).where("query_id = 7").collect()
+    scores = x @ x[7]
+    best = sorted((i for i in range(60) if i != 7), key=lambda i: (-round(scores[i], 9), i))[:20]
+    assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"])] == best
+
+
 def test_token_files_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
