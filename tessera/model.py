@@ -41,8 +41,11 @@ SENSORS = {
     "srgb": Sensor(3, 0.05 * 255, 0.15 * 255, 2.0, 5, 1, 2),
 }
 
-PIXELS = "image_id string, block int, x int, y int, b0 int, b1 int, b2 int, seg int"
-TRAINING_ROWS = "label_set string, pos long, label int, image string, seg int, features array<float>"
+# Bands shown as red, green and blue.
+DISPLAY_BANDS = {"pan": (0, 0, 0), "wv02_ms": (4, 2, 1), "srgb": (0, 1, 2)}
+
+#: Columns of a training set, as runs read it.
+TRAINING_ROWS = "label_set string, pos long, label int, features array<double>"
 
 
 def classes(spark: SparkSession) -> DataFrame:

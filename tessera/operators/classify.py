@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import REPORT_COLUMNS
+from tessera.operators.ordered import running
 
 
 def fit_forest(rows: DataFrame, features: list[str] | str, label: str = "label", *, trees: int = 100, depth: int = 12, seed: int = 17) -> RandomForestClassificationModel:
@@ -30,11 +32,12 @@ def review_seconds(confidence) -> object:
 
 
 def paint(pixels: DataFrame, predictions: DataFrame, bands: list[str]) -> DataFrame:
-    """(x, y, block, seg, cls): each pixel's segment's class, 0 where all bands are. One row a segment joins its pixels."""
+    """(x, y, block, seg, cls): each pixel's segment's class, 0 where all bands are, or the segment has no prediction. No pixel is lost."""
     empty = F.lit(True)
     for b in bands:
         empty = empty & (F.col(b) == 0)
-    return pixels.join(predictions.select("block", "seg", "cls"), ["block", "seg"]).select("x", "y", "block", "seg", F.when(empty, 0).otherwise(F.col("cls")).alias("cls"))
+    joined = pixels.join(predictions.select("block", "seg", "cls"), ["block", "seg"], "left")
+    return joined.select("x", "y", "block", "seg", F.when(empty, 0).otherwise(F.coalesce("cls", F.lit(0))).alias("cls"))
 
 
 def class_counts(painted: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,12 +64,36 @@ def quality_min(scores: DataFrame) -> DataFrame:
 
 
 def quality_running(scores: DataFrame, by: str = "image_id") -> DataFrame:
-    """The least score over an image and those before it: what a minimum that is never reset reports. A row for each image is ordered."""
+    """The least score over an image and those before it: what a minimum that is never reset reports."""
     per_image = scores.groupBy("image_id").agg(F.least(F.min("score"), F.lit(1.0)).alias("own"))
-    return per_image.select("image_id", F.min("own").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)).alias("quality"))
+    return running(per_image, by, F.min, "own", "quality").select("image_id", "quality")
 
 
 def confusion(rows: DataFrame, predicted: str, true: str) -> DataFrame:
     """(predicted, true, n, share): pairs' counts, and their share of the true class."""
     counts = rows.groupBy(F.col(predicted).alias("predicted"), F.col(true).alias("true")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("true")), 6))
+
+
+def importances(rows: DataFrame, features: list[str], label: str = "label", *, trees: int = 100, depth: int = 12, seed: int = 17) -> DataFrame:
+    """(place, feature, importance, spread): features by importance, the largest first, beside a column of noise.
+
+    What is less important than ``noise`` tells nothing. spread: the deviation of the importance over the trees. The forest, which
+    is a bounded model, is read on the driver; the rows are not.
+    """
+    spark, names = rows.sparkSession, [*features, "noise"]
+    model = fit_forest(rows.withColumn("noise", F.rand(seed)), names, label, trees=trees, depth=depth, seed=seed)
+    own = np.array([tree.featureImportances.toArray() for tree in model.trees])
+    mean = model.featureImportances.toArray()
+    order = sorted(range(len(names)), key=lambda i: (-mean[i], i))
+    found = [(place, names[i], float(mean[i]), float(own[:, i].std())) for place, i in enumerate(order, 1)]
+    return spark.createDataFrame(found, "place int, feature string, importance double, spread double")
+
+
+def hold_out(rows: DataFrame, key: str, features: list[str] | str, label: str = "label", *, parts: int = 5, **forest) -> DataFrame:
+    """(part, n, right, accuracy): rows of part 0 of a hash of ``key`` predicted by a forest of the others. Stands in for out-of-bag scores, which Spark's forests lack."""
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    model = fit_forest(rows.where(part > 0), features, label, **forest)
+    judged = predict(model, rows.where(part == 0), features).select((F.col("cls") == F.col(label)).alias("right"))
+    counted = judged.agg(F.lit(0).alias("part"), F.count("*").alias("n"), F.count_if("right").alias("right"))
+    return counted.withColumn("accuracy", F.try_divide("right", "n"))

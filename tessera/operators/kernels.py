@@ -1,6 +1,6 @@
 """Array kernels of a block: spectra, edges, distances and watersheds. numpy in tasks; Spark deals blocks out.
 
-A block is at most some hundred thousand pixels (its size is a parameter of tiling), so a group is bounded.
+A block is at most ``MOST_PIXELS`` (its size is a parameter of tiling), so a group is bounded; larger ones are refused.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 from tessera.model import SENSORS, Sensor
 
+MOST_PIXELS = 1 << 20
+
 
 def quality_score(band: np.ndarray) -> float:
     """Share of the spectrum above a hundred thousandth of its largest magnitude.
@@ -145,6 +147,8 @@ def segment(bands: list[np.ndarray], sensor: Sensor) -> np.ndarray:
 def block_arrays(group: pd.DataFrame, bands: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """A block's bands as arrays, 0 where there is no pixel, and its pixels' places in them."""
     r, c = group["x"].to_numpy() - group["x"].min(), group["y"].to_numpy() - group["y"].min()
+    if (r.max() + 1) * (c.max() + 1) > MOST_PIXELS:
+        raise ValueError(f"a block of {r.max() + 1} x {c.max() + 1} pixels is more than the {MOST_PIXELS} that a kernel takes: tile the scene finer")
     out = []
     for b in bands:
         array = np.zeros((r.max() + 1, c.max() + 1))
@@ -153,14 +157,16 @@ def block_arrays(group: pd.DataFrame, bands: list[str]) -> tuple[list[np.ndarray
     return out, r, c
 
 
-def per_pixel(pixels: DataFrame, bands: list[str], kernel: Callable[[list[np.ndarray]], np.ndarray], name: str, kind: str) -> DataFrame:
-    """(block, x, y, ``name``): a kernel's array, for every pixel of each block."""
+def per_pixel(pixels: DataFrame, bands: list[str], kernel: Callable[[list[np.ndarray]], np.ndarray], name: str, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(block, x, y, ``keep``, ``name``): a kernel's array, for every pixel of each block, with columns of the pixels to keep."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         arrays, r, c = block_arrays(group, bands)
-        return group[["block", "x", "y"]].assign(**{name: kernel(arrays)[r, c]})
+        return group[["block", "x", "y", *keep]].assign(**{name: kernel(arrays)[r, c]})
 
-    return pixels.select("block", "x", "y", *bands).groupBy("block").applyInPandas(run, f"block int, x int, y int, {name} {kind}")
+    of = lambda c: f"{c} {pixels.schema[c].dataType.simpleString()}"
+    columns = ["block", "x", "y", *keep]
+    return pixels.select(*dict.fromkeys([*columns, *bands])).groupBy("block").applyInPandas(run, ", ".join(map(of, columns)) + f", {name} {kind}")
 
 
 def block_quality(pixels: DataFrame, band: str = "b0") -> DataFrame:
@@ -170,10 +176,38 @@ def block_quality(pixels: DataFrame, band: str = "b0") -> DataFrame:
         (array,), _, _ = block_arrays(group, [band])
         return pd.DataFrame({"block": [group["block"].iloc[0]], "score": [quality_score(array)]})
 
-    return pixels.select("block", "x", "y", band).groupBy("block").applyInPandas(run, "block int, score double")
+    return pixels.select("block", "x", "y", band).groupBy("block").applyInPandas(run, f"block {pixels.schema['block'].dataType.simpleString()}, score double")
 
 
-def segment_blocks(pixels: DataFrame, bands: list[str], sensor: str = "srgb") -> DataFrame:
-    """(block, x, y, seg): segments of every block, by the sensor's parameters."""
+def segment_blocks(pixels: DataFrame, bands: list[str], sensor: str = "srgb", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(block, x, y, ``keep``, seg): segments of every block, by the sensor's parameters."""
     params = SENSORS[sensor]
-    return per_pixel(pixels, bands, lambda arrays: segment(arrays, params), "seg", "int")
+    return per_pixel(pixels, bands, lambda arrays: segment(arrays, params), "seg", "int", keep)
+
+
+def neighbour_counts(pixels: DataFrame, mode: str = "literal", value: str = "b1") -> DataFrame:
+    """(block, seg, v, c): values of the pixels around segments, as ``segments.neighbours`` meets them, counted.
+
+    For blocks of a known size: rows and columns 3 and 4 away are slices of the block's arrays, so there is no join. Places without a pixel are never met.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        (first, values, seg), r, c = block_arrays(group, ["b0", value, "seg"])
+        there = np.zeros(first.shape, bool)
+        there[r, c] = True
+        rows, cols = first.shape
+        pairs = []
+        for o in (-4, -3, 3, 4):
+            for down, across in ((o, 0), (0, o)):
+                a = (slice(max(0, -down), rows - max(0, down)), slice(max(0, -across), cols - max(0, across)))
+                b = (slice(max(0, down), rows + min(0, down)), slice(max(0, across), cols + min(0, across)))
+                met = there[a] & there[b] & (first[a] != 0) & (seg[b] != (0 if mode == "training" else seg[a]))
+                if across and mode != "clean":  # columns are probed only where the row at that offset is in the block
+                    row = np.arange(rows)[a[0]][:, None] + o
+                    met &= (row >= 0) & (row < rows)
+                pairs.append(np.column_stack([seg[a][met], values[b][met]]))
+        found, count = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        return pd.DataFrame({"block": group["block"].iloc[0], "seg": found[:, 0].astype(int), "v": found[:, 1].astype(int), "c": count})
+
+    kind = pixels.schema["block"].dataType.simpleString()
+    return pixels.select(*dict.fromkeys(["block", "x", "y", "b0", value, "seg"])).groupBy("block").applyInPandas(run, f"block {kind}, seg int, v int, c long")

@@ -157,6 +157,30 @@ def image_params(band_params: DataFrame, keys: list[str], src_dtype: int = 8) ->
     return whole.select(*keys, F.col("lower").cast("long").alias("lower"), upper.cast("long").alias("upper"))
 
 
+def stretch_from_histogram(values: DataFrame, keys: list[str], src_dtype: int = 8) -> DataFrame:
+    """(keys, lower, upper, white, black) of images, from their values (keys, band, dn): the whole way from histograms to cuts.
+
+    Every band's histogram, its peaks, thinned, and the cuts that they give; then the images' widest cuts, and the bands' references as arrays
+    in order of the bands. A band without peaks has no cuts of its own, and null references.
+    """
+    of = [*keys, "band"]
+    histogram = band_histogram(values, of)
+    ends = peaks(peak_candidates(histogram, of), of).groupBy(*of).agg(F.min("peak").alias("low"), F.max("peak").alias("high"), F.count("*").alias("peaks"))
+    cuts = thresholds(histogram, ends, of, src_dtype).join(ends.select(*of, "peaks"), of)
+    bands = band_range(values, of).select(*of).join(cuts, of, "left").withColumn("peaks", F.coalesce("peaks", F.lit(0)))
+    in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("band", c))), lambda s: s[c].cast("double")).alias(c)  # noqa: E731  a handful of bands
+    return image_params(bands, keys, src_dtype).join(bands.groupBy(*keys).agg(in_order("white"), in_order("black")), keys)
+
+
+def corrected(pixels: DataFrame, params: DataFrame, keys: list[str], bands: list[str], balance: bool) -> DataFrame:
+    """``pixels`` stretched to 8 bits, and balanced if asked, by the parameters of their image (a row an image)."""
+    joined = pixels.join(params.select(*keys, "lower", "upper", "white"), keys)
+    out = {b: stretch(F.col(b), F.col("lower"), F.col("upper")) for b in bands}
+    if balance:
+        out = {b: white_balance(v, F.get("white", F.lit(i)), F.array_max("white")) for i, (b, v) in enumerate(out.items())}
+    return joined.withColumns(out).select(*pixels.columns)
+
+
 def display_histogram(values: DataFrame, bins: int = 1000) -> DataFrame:
     """(bin, n): counts of ``dn`` in equal bins between its ends; the largest value falls in the last."""
     ends = values.agg(F.min("dn").alias("low"), F.max("dn").alias("high"))

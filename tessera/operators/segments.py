@@ -25,13 +25,14 @@ def entropy(counts: DataFrame) -> DataFrame:
     return counts.groupBy(*KEY).agg((F.log2(total) - logs / total).alias("entropy"))
 
 
-def neighbours(pixels: DataFrame, height: int, width: int, mode: str = "literal", values: tuple[str, ...] = ("b0", "b1", "b2")) -> DataFrame:
+def neighbours(pixels: DataFrame, height: int | Column, width: int | Column, mode: str = "literal", values: tuple[str, ...] = ("b0", "b1", "b2")) -> DataFrame:
     """The pixels around segments: (block, seg, <values>), a row for each time one is met.
 
     From every pixel with data, those 3 and 4 rows and columns away in the same block that belong to another segment. ``mode``:
     ``clean`` probes rows and columns on their own; ``literal`` probes columns at an offset only where the row at that offset lies in the
     block; ``training`` is literal, but what is met must differ from segment 0, not from the pixel's own.
-    Probes are generated, and joined by place: an equi-join with the segment as a residual, keyed by block first.
+    Probes are generated, and joined by place: an equi-join with the segment as a residual, keyed by block first. ``height`` and
+    ``width`` are a block's, one for all or columns of ``pixels``.
     """
     local = F.col("x") % height
     probe = lambda dx, dy, ok: F.when(ok, F.struct((F.col("x") + dx).alias("px"), (F.col("y") + dy).alias("py")))
@@ -61,6 +62,23 @@ def around_stats(met: DataFrame, values: tuple[str, ...] = ("b1",)) -> DataFrame
     return met.groupBy(*KEY).agg(F.count("*").alias("ext_n"), *of)
 
 
+def counted_stats(counts: DataFrame) -> DataFrame:
+    """(block, seg, ext_n, ext_mean, ext_std, ext_max, ext_entropy) of value counts (block, seg, v, c), in one aggregate.
+
+    Sums of whole numbers are exact, so equal values have no deviation.
+    """
+    v, c = F.col("v").cast("long"), F.col("c")
+    wide = lambda name: F.col(name).cast("decimal(38,0)")
+    sums = counts.groupBy(*KEY).agg(
+        F.sum(c).alias("ext_n"), F.sum(v * c).alias("s1"), F.sum(v * v * c).alias("s2"), F.max("v").alias("ext_max"), F.sum(c * F.log2(c)).alias("logs")
+    )
+    spread = F.sqrt((wide("ext_n") * wide("s2") - wide("s1") * wide("s1")).cast("double")) / F.col("ext_n")
+    return sums.select(
+        *KEY, "ext_n", (F.col("s1") / F.col("ext_n")).alias("ext_mean"), spread.alias("ext_std"), "ext_max",
+        (F.log2(F.col("ext_n").cast("double")) - F.col("logs") / F.col("ext_n")).alias("ext_entropy"),
+    )
+
+
 def _mean(band: int | str) -> Column:
     return F.greatest(F.lit(1.0), F.col(f"mean_b{band}"))
 
@@ -69,24 +87,26 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def features_srgb(pixels: DataFrame, height: int, width: int, mode: str = "literal") -> DataFrame:
-    """16 features (f0 to f15) of segments of 3-band scenes: means, deviations, band ratios, size, entropy, and what lies around."""
+def features_srgb(pixels: DataFrame, height: int | Column, width: int | Column, mode: str = "literal", around: DataFrame | None = None) -> DataFrame:
+    """16 features (f0 to f15) of segments of 3-band scenes: means, deviations, band ratios, size, entropy, and what lies around.
+
+    What lies around is counted by value once; ``around`` gives these counts (block, seg, v, c) where a kernel has made them.
+    """
     stats = moments(pixels, ["b0", "b1", "b2"])
-    met = neighbours(pixels, height, width, mode)
     inside = entropy(value_counts(pixels.where("b0 <> 0"), "b1"))
-    outside = entropy(value_counts(met, "b1")).withColumnRenamed("entropy", "ext_entropy")
-    rows = stats.join(inside, list(KEY)).join(around_stats(met), list(KEY), "left").join(outside, list(KEY), "left")
+    outside = counted_stats(value_counts(neighbours(pixels, height, width, mode, ("b1",)), "b1") if around is None else around)
+    rows = stats.join(inside, list(KEY)).join(outside, list(KEY), "left")
     m0, m1, m2 = (_mean(b) for b in range(3))
     spread = 2 * m2 - m1 - m0
     values = [
         m0, m1, m2, F.col("std_b0"), F.col("std_b1"), F.col("std_b2"), _ratio(m2 - m0, m2 + m0), _ratio(m2 - m1, m2 + m1),
         F.when(spread < 1, F.lit(0.0)).otherwise(_ratio(m1 - m0, spread)), F.col("n").cast("double"), F.col("entropy"),
-        *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("ext_mean_b1", "ext_std_b1", "ext_max_b1", "ext_entropy")), F.lit(0.0),
+        *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("ext_mean", "ext_std", "ext_max", "ext_entropy")), F.lit(0.0),
     ]
     return rows.select(*KEY, *(v.alias(f"f{i}") for i, v in enumerate(values)))
 
 
-def features_ms(pixels: DataFrame, height: int, width: int, white: list[float], black: list[float], mode: str = "literal") -> DataFrame:
+def features_ms(pixels: DataFrame, height: int | Column, width: int | Column, white: list[float], black: list[float], mode: str = "literal") -> DataFrame:
     """31 features of segments of 8-band scenes; ``white`` and ``black``: the bands' reference values (0 gives null)."""
     stats = moments(pixels, [f"b{k}" for k in range(8)])
     around = around_stats(neighbours(pixels, height, width, mode, ("b3", "b4", "b7")), ("b3", "b7"))
@@ -100,24 +120,23 @@ def features_ms(pixels: DataFrame, height: int, width: int, white: list[float],
     return rows.select(*KEY, *(v.alias(f"f{i}") for i, v in enumerate(values)))
 
 
-def features_pan(pixels: DataFrame, height: int, width: int, day_of_year: int, mode: str = "clean") -> DataFrame:
+def features_pan(pixels: DataFrame, height: int | Column, width: int | Column, day_of_year: int, mode: str = "clean") -> DataFrame:
     """12 features of segments of 1-band scenes: mean, median, ends, deviation, size, entropy, what lies around, and the day of the year."""
     own = pixels.where("b0 <> 0").groupBy(*KEY).agg(
         F.greatest(F.avg("b0"), F.lit(1.0)).alias("mean"), F.median("b0").alias("median"), F.min("b0").alias("low"), F.max("b0").alias("high"),
         F.stddev_pop("b0").alias("std"), F.count("*").alias("n"),
     )
-    met = neighbours(pixels, height, width, mode, ("b0",))
     inside = entropy(value_counts(pixels.where("b0 <> 0"), "b0"))
-    outside = entropy(value_counts(met, "b0")).withColumnRenamed("entropy", "ext_entropy")
-    rows = own.join(inside, list(KEY)).join(around_stats(met, ("b0",)), list(KEY), "left").join(outside, list(KEY), "left")
+    outside = counted_stats(value_counts(neighbours(pixels, height, width, mode, ("b0",)), "b0"))
+    rows = own.join(inside, list(KEY)).join(outside, list(KEY), "left")
     values = [
         *(F.col(c).cast("double") for c in ("mean", "median", "low", "high", "std", "n", "entropy")),
-        *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("ext_mean_b0", "ext_std_b0", "ext_max_b0", "ext_entropy")), F.lit(float(day_of_year)),
+        *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("ext_mean", "ext_std", "ext_max", "ext_entropy")), F.lit(float(day_of_year)),
     ]
     return rows.select(*KEY, *(v.alias(f"f{i}") for i, v in enumerate(values)))
 
 
-def features(sensor: str, pixels: DataFrame, height: int, width: int, **options) -> DataFrame:
+def features(sensor: str, pixels: DataFrame, height: int | Column, width: int | Column, **options) -> DataFrame:
     """Feature rows of a sensor's scenes."""
     return {"srgb": features_srgb, "wv02_ms": features_ms, "pan": features_pan}[sensor](pixels, height, width, **options)
 
@@ -156,3 +175,8 @@ def boundary_pixels(pixels: DataFrame) -> DataFrame:
     for o in other[1:]:
         edge = edge | F.coalesce(o, F.lit(False))
     return pixels.withColumn("edge", edge).where("edge").select("block", "x", "y")
+
+
+def segment_at(pixels: DataFrame, points: DataFrame) -> DataFrame:
+    """(x, y, block, seg): the segments at ``points`` (x, y); a place outside the scene has none."""
+    return points.select("x", "y").distinct().join(pixels.select("x", "y", "block", "seg"), ["x", "y"])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.model import DISPLAY_BANDS
+from tessera.operators.ordered import numbered
+
 
 def block_size(dim: Column, desired: int, step: int = 256) -> Column:
     """The first of desired, desired + step, ... that leaves of ``dim`` a rest of over half a block; ``dim`` at most.
@@ -40,12 +43,12 @@ def assign_blocks(pixels: DataFrame, rows: int, cols: int) -> DataFrame:
 def mosaic(pixels: DataFrame, tiles: DataFrame, tile_rows: int, tile_cols: int, by: str = "name") -> DataFrame:
     """Pixels (tile, r, c, ...) of equal tiles in scene coordinates; tiles (tile, ``by``) fill a square, row by row, in order of ``by``.
 
-    Without a square number of tiles there is no mosaic: the result is empty. The list of tiles is numbered, which is a row for
-    each file; pixels are mapped through a join with it.
+    Without a square number of tiles there is no mosaic: the result is empty. The list of tiles, a row for
+    each file, is numbered; pixels are mapped through a join with it.
     """
-    numbered = tiles.withColumns({"n": F.row_number().over(Window.orderBy(by)) - 1, "tiles": F.count("*").over(Window.partitionBy())})
+    listed = numbered(tiles, by, "n").join(F.broadcast(tiles.agg(F.count("*").alias("tiles"))))
     side = F.sqrt("tiles").cast("int")
-    placed = numbered.where(side * side == F.col("tiles")).select("tile", F.floor(F.col("n") / side).cast("int").alias("tr"), (F.col("n") % side).alias("tc"))
+    placed = listed.where(side * side == F.col("tiles")).select("tile", F.floor(F.col("n") / side).cast("int").alias("tr"), (F.col("n") % side).alias("tc"))
     return pixels.join(placed, "tile").withColumns({"x": F.col("tr") * tile_rows + F.col("r"), "y": F.col("tc") * tile_cols + F.col("c")}).drop("tr", "tc")
 
 
@@ -61,3 +64,13 @@ def downsample(pixels: DataFrame, factor: int, bands: list[str], keys: list[str]
 
 def composite(pixels: DataFrame, bands: list[str], names: tuple[str, ...] = ("red", "green", "blue")) -> DataFrame:
     return pixels.select("x", "y", *(F.col(b).alias(n) for b, n in zip(bands, names)))
+
+
+def display(pixels: DataFrame, sensor: str) -> DataFrame:
+    """The bands of a sensor that are shown as red, green and blue; a single band is all three."""
+    return composite(pixels, [f"b{k}" for k in DISPLAY_BANDS[sensor]])
+
+
+def band_arrays(pixels: DataFrame, bands: list[str]) -> DataFrame:
+    """(x, y, bands): wide bands, one or more, as an array with one place a band."""
+    return pixels.select("x", "y", F.array(*bands).alias("bands"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.classify import fit_forest
+from tessera.operators.ordered import with_next
+
 
 def zip_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Feature rows and labels with the same position; what one side has more of is left out."""
@@ -48,13 +52,51 @@ def images_by_first_row(rows: DataFrame, image: str, by: str = "pos") -> DataFra
 
 
 def next_image(images: DataFrame, by: str) -> DataFrame:
-    """(image, next_image): the one after it in order; the first after the last. A row for each image is ordered."""
-    order = Window.orderBy(by)
-    first = F.first("image").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return images.select("image", F.coalesce(F.lead("image").over(order), first).alias("next_image"))
+    """(image, next_image): the one after it in order; the first after the last."""
+    return with_next(images, by, "next_image").select("image", "next_image")
 
 
 def accept(predictions: DataFrame, overrides: DataFrame, keys: list[str]) -> DataFrame:
     """Predictions, replaced by a person's label (0 to 5) where there is one."""
     valid = overrides.where(F.col("label").between(0, 5)).select(*keys, F.col("label").alias("override"))
     return predictions.join(valid, keys, "left").withColumn("label", F.coalesce("override", "cls")).drop("override")
+
+
+def training_rows(rows: DataFrame, label_set: str, sensor: str) -> DataFrame:
+    """Usable labelled rows of ``label_set``, or of the sensor's own set if there are none of it.
+
+    The choice is a condition in the plan, not a job of its own.
+    """
+    own = rows.where(F.col("label_set") == label_set)
+    fallback = rows.where((F.col("label_set") == sensor) & ~own.limit(1).exists())
+    return usable_labels(own.unionByName(fallback).where(F.col("label").isNotNull()).withColumn("_for", F.lit(label_set)), "_for", sensor).drop("_for")
+
+
+def ready_sets(rows: DataFrame, least: int = 10) -> DataFrame:
+    """(label_set, n): sets with enough labels for a forest."""
+    return rows.groupBy("label_set").agg(F.count("label").alias("n")).where(F.col("n") >= least)
+
+
+def retrained(rows: DataFrame, features: list[str] | str, model: RandomForestClassificationModel | None = None, *, least: int = 10, **forest) -> RandomForestClassificationModel | None:
+    """A new forest once there are ``least`` labelled rows; until then the one there is."""
+    labelled = rows.where(F.col("label").isNotNull())
+    return fit_forest(labelled, features, **forest) if labelled.limit(least).count() >= least else model
+
+
+def last_match(names: DataFrame, available: DataFrame) -> DataFrame:
+    """(image, path): for each name (image) the last of the ``available`` (place, path) that contains it, if any.
+
+    Each path is cut to pieces as long as some name is (their lengths, a few at most, are read first), so names are joined by
+    equality rather than compared with every path.
+    """
+    wanted = names.select("image").where(F.length("image") > 0).distinct()
+    lengths = [r[0] for r in wanted.select(F.length("image")).distinct().collect()]
+    if not lengths:
+        return wanted.select("image", F.lit(None).cast("string").alias("path"))
+
+    def pieces(n: int) -> Column:
+        starts = F.when(F.length("path") >= n, F.sequence(F.lit(1), F.length("path") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(F.col("path"), i, F.lit(n)))
+
+    held = available.select("place", "path", F.explode(F.array_distinct(F.flatten(F.array(*map(pieces, lengths))))).alias("image"))
+    return wanted.join(held, "image").groupBy("image").agg(F.max_by("path", "place").alias("path"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import names
 from tessera.model import SENSORS, classes
-from tessera.operators import classify, kernels, radiometry, segments, stencils, tiling, training
+from tessera.operators import classify, kernels, radiometry, run, segments, stencils, tiling, training
 from tessera.plans import fixtures as fx
-from tessera.sources import images
+from tessera.sources import images, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -178,12 +178,20 @@ def pixel_block_assign(spark, d):
 
 
 @_query(
-    """select cast((n//2)*10+x%10 as integer) x, cast((n%2)*21+y as integer) y, b1 from (select *, cast(x//10 as integer) n from scene where x<40)""", "scene"
+    """select cast((x//h//2)*h+x%h as integer) x, cast((x//h%2)*21+y as integer) y, b1 from scene, (select (max(x)+4)//4 h from scene)""", "scene"
 )
 def mosaic_shift(spark, d):
-    parts = fx.scene(spark, d).where("x < 40").select(F.floor(F.col("x") / 10).cast("int").alias("tile"), (F.col("x") % 10).alias("r"), F.col("y").alias("c"), "b1")
+    """Four tiles, each a quarter of the scene's rows, laid out two by two."""
+    pixels = fx.scene(spark, d)
+    rows = (pixels.agg(F.max("x")).first()[0] + 4) // 4
+    parts = pixels.select(F.floor(F.col("x") / rows).cast("int").alias("tile"), (F.col("x") % rows).alias("r"), F.col("y").alias("c"), "b1")
     tiles = parts.select("tile").distinct().withColumn("name", F.format_string("tile_%03d.h5", "tile"))
-    return tiling.mosaic(parts, tiles, 10, 21).select("x", "y", "b1")
+    return tiling.mosaic(parts, tiles, rows, 21).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "b1")
+
+
+@_query("select x, y, b0 red, b1 green, b2 blue from scene", "scene")
+def display_bands(spark, d):
+    return tiling.display(fx.scene(spark, d), "srgb")
 
 
 @_query(
@@ -259,6 +267,30 @@ def features_srgb16(spark, d):
     return _rounded(segments.features_srgb(fx.scene(spark, d), HEIGHT, WIDTH))
 
 
+def features_srgb16_kernel(spark, d):
+    """The same features, with what lies around segments counted by a kernel in each block."""
+    pixels = fx.scene(spark, d)
+    return _rounded(segments.features_srgb(pixels, HEIGHT, WIDTH, around=kernels.neighbour_counts(pixels)))
+
+
+_QUERIES["features_srgb16_kernel"] = features_srgb16_kernel
+_SQL["features_srgb16_kernel"] = _SQL["features_srgb16"]
+
+
+def _counted(mode: str) -> Query:
+    def run(spark, d):
+        found = segments.counted_stats(kernels.neighbour_counts(fx.scene(spark, d), mode))
+        names_ = {"ext_mean": "ext_mean_b1", "ext_std": "ext_std_b1", "ext_max": "ext_max_b1"}
+        return _rounded(found.drop("ext_entropy").withColumnsRenamed(names_))
+
+    return run
+
+
+for _name, _mode in (("neighbor_kernel_literal", "literal"), ("neighbor_kernel_clean", "clean"), ("neighbor_kernel_training", "training")):
+    _QUERIES[_name] = _counted(_mode)
+    _SQL[_name] = fx.sql(_AROUND.format(_met(_mode, "scene", WIDTH, "s.b1")), "scene")
+
+
 _WHITE, _BLACK = [210.0, 205, 200, 195, 190, 185, 180, 0], [0.0, 12, 14, 16, 18, 20, 22, 24]
 _MS_REFS = ", ".join([f"round(m{b}/{_WHITE[b]:g}+1e-9,6) f{16 + b}" for b in range(7)] + [f"round(m{b}/nullif({_BLACK[b]:g},0)+1e-9,6) f{23 + b}" for b in range(8)])
 
@@ -301,11 +333,17 @@ def empty_block_filter(spark, d):
 
 
 @_query(
-    "select i.block, cast(i.seg as integer) seg, coalesce(c.n,0) n from (select block, unnest(range(max(seg)+1)) seg from scene where seg%7<>0 group by block) i left join (select block, seg, count(*) n from scene where b0<>0 and seg%7<>0 group by block, seg) c on i.block=c.block and i.seg=c.seg",
+    "select i.block, cast(i.seg as integer) seg, coalesce(c.n,0) n from (select block, unnest(range(max(seg)+1)) seg from scene group by block) i left join (select block, seg, count(*) n from scene where b0<>0 group by block, seg) c on i.block=c.block and i.seg=c.seg",
     "scene",
 )
 def segment_ids_dense(spark, d):
-    return segments.dense_ids(fx.scene(spark, d).where("seg % 7 <> 0"))
+    return segments.dense_ids(fx.scene(spark, d))
+
+
+@_query("select p.x, p.y, s.block, s.seg from (select distinct cast(vec_id*7%600 as integer) x, cast(vec_id%25 as integer) y from embeddings) p join scene s on s.x=p.x and s.y=p.y", "scene")
+def segment_at_points(spark, d):
+    points = fx.table(spark, d, "embeddings").select((F.col("vec_id") * 7 % 600).cast("int").alias("x"), (F.col("vec_id") % 25).cast("int").alias("y"))
+    return segments.segment_at(fx.scene(spark, d), points)
 
 
 @_query(
@@ -325,6 +363,17 @@ def paint_classes(spark, d):
     return classify.paint(fx.scene(spark, d), fx.pred(spark, d), ["b0", "b1", "b2"])
 
 
+@_query(
+    """select s.x, s.y, s.block, s.seg, case when s.seg%13=7 or (s.b0=0 and s.b1=0 and s.b2=0) then (case when s.b1=0 and s.b2=0 then 0 when s.seg%13=7 then 0 else p.cls end) else coalesce(p.cls,0) end cls
+  from scene s left join pred p on s.block=p.block and s.seg=p.seg""",
+    "pred",
+)
+def paint_without_predictions(spark, d):
+    """Segments whose first band is empty have no features and no prediction: their pixels are kept, with class 0."""
+    pixels = fx.scene(spark, d).withColumn("b0", F.when(F.col("seg") % 13 == 7, 0).otherwise(F.col("b0")))
+    return classify.paint(pixels, fx.pred(spark, d).where("seg % 13 <> 7"), ["b0", "b1", "b2"])
+
+
 _COUNTS = ", ".join(f"count(*) filter (cls={k}) n{k}" for k in range(1, 6))
 _AREA = "(n1+n2+n3+n4+n5+1)"
 
@@ -350,6 +399,36 @@ def class_percent_strips(spark, d):
     return classify.class_percent(classify.class_counts(painted, ["image"]), ["image"])
 
 
+@_query(
+    f"""select block as image_id, quality as "Quality Score", n1 as "White Ice", n2 as "Gray Ice", n3 as "Melt Ponds", n4 as "Open Water", n5 as "Shadow"
+  from (select block, {_COUNTS} from painted group by block) join (select image_id, least(min(score),1.0) quality from qscores group by image_id) on image_id=block""",
+    "painted", "qscores",
+)
+def report_image(spark, d):
+    counts = classify.class_counts(fx.painted(spark, d).withColumnRenamed("block", "image_id"), ["image_id"])
+    return classify.report(counts, classify.quality_min(fx.qscores(spark, d)), ["image_id"])
+
+
+_STATS_ROW = "n1+n2+n3+n4+n5+1 area, round(n1/(n1+n2+n3+n4+n5+1),6) snow, round(n2/(n1+n2+n3+n4+n5+1),6) gray, round(n3/(n1+n2+n3+n4+n5+1),6) melt, round(n4/(n1+n2+n3+n4+n5+1),6) water"
+
+
+@_query(
+    f"""select cast(block as varchar) as name, {_STATS_ROW} from (select block, {_COUNTS} from painted group by block) where block%2=0
+  union all select cast(block as varchar), 1, 0, 0, 0, 0 from (select distinct block from painted) where block%2<>0""",
+    "painted",
+)
+def scene_stats_upsert(spark, d):
+    """Statistics of all scenes, at first none, with those of every second one put in place."""
+    counts = classify.class_counts(fx.painted(spark, d).withColumn("name", F.col("block").cast("string")), ["name"])
+    none = counts.select("name", F.lit(1).cast("long").alias("area"), *(F.lit(0.0).alias(c) for c in ("snow", "gray", "melt", "water")))
+    return _rounded(sinks.upsert_scene_stats(none, counts.where("cast(name as int) % 2 = 0")))
+
+
+@_query("select event_id, case when value/1000>0.9 and value/1000<0.96 then 4.0 when value/1000<0.9 then 10.0 else 0.5 end as seconds from events")
+def review_tiers(spark, d):
+    return fx.table(spark, d, "events").select("event_id", classify.review_seconds(F.col("value") / 1000).alias("seconds"))
+
+
 @_query("select image_id, least(min(score),1.0) quality from qscores group by image_id", "qscores")
 def quality_min_per_image(spark, d):
     return classify.quality_min(fx.qscores(spark, d))
@@ -430,10 +509,10 @@ def season_label(spark, d):
 # training
 
 
-@_query("select t.pos, t.label_set, t.label, round(cast(e.embedding[1] as double),6) f0 from tds t join embeddings e on e.vec_id=t.pos where t.pos<300", "tds")
+@_query("select t.pos, t.label_set, t.label, round(cast(e.embedding[1] as double),6) f0 from tds t join embeddings e on e.vec_id=t.pos", "tds")
 def tds_zip_truncate(spark, d):
     features = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.round(F.col("embedding")[0].cast("double"), 6).alias("f0"))
-    return training.zip_labels(features, fx.tds(spark, d).where("pos < 300")).select("pos", "label_set", "label", "f0")
+    return training.zip_labels(features, fx.tds(spark, d)).select("pos", "label_set", "label", "f0")
 
 
 @_query("select pos, label_set, label from tds where label not in (0,6) and (label<>5 or label_set='spring')", "tds")
@@ -447,6 +526,45 @@ def tds_upsert(spark, d):
     return training.upsert(rows, rows.where("pos % 5 = 0").withColumn("label", F.lit(4)), ["pos"])
 
 
+_USABLE = "label not in (0,6) and (label<>5 or label_set='spring')"
+
+
+@_query(f"select pos, label_set, label from tds where label_set='summer' and {_USABLE}", "tds")
+def training_set_own(spark, d):
+    return training.training_rows(fx.tds(spark, d), "summer", "srgb")
+
+
+@_query("select pos, 'srgb' label_set, label from tds where label_set='spring' and label not in (0,6) and label<>5", "tds")
+def training_set_fallback(spark, d):
+    """There is no set of the name, so the sensor's own is taken."""
+    rows = fx.tds(spark, d).withColumn("label_set", F.when(F.col("label_set") == "spring", "srgb").otherwise("summer"))
+    return training.training_rows(rows, "autumn", "srgb")
+
+
+@_query("select label_set, count(label) n from tds group by label_set having count(label)>=10", "tds")
+def retrain_ready(spark, d):
+    return training.ready_sets(fx.tds(spark, d))
+
+
+@_query("select concat('img_',n_nationkey) image, arg_max(concat(dir,'/',name), place) path from nation, (select *, row_number() over (order by dir, name) place from files) f where contains(concat(dir,'/',name), concat('img_',n_nationkey)) group by 1", "files")
+def last_matching_image(spark, d):
+    listed = fx.files(spark, d).select(F.concat("dir", F.lit("/"), "name").alias("path"), F.struct("dir", "name").alias("place"))
+    wanted = fx.table(spark, d, "nation").select(F.concat(F.lit("img_"), "n_nationkey").alias("image"))
+    return training.last_match(wanted, listed)
+
+
+@_query()
+def feature_importances(spark, d):
+    _, labelled = _forest_rows(spark, d)
+    return classify.importances(labelled.select("label", *(F.col("features")[k].alias(f"f{k}") for k in range(16))), [f"f{k}" for k in range(16)], trees=30, depth=8)
+
+
+@_query()
+def holdout_accuracy(spark, d):
+    _, labelled = _forest_rows(spark, d)
+    return classify.hold_out(labelled, "pos", "features", trees=30, depth=8)
+
+
 def _forest_rows(spark, d):
     rows = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("features"))
     return rows, training.zip_labels(rows, training.usable_labels(fx.tds(spark, d)))
@@ -557,6 +675,28 @@ def edt(spark, d):
     return _rounded(kernels.per_pixel(fx.scene(spark, d), ["b1"], lambda a: kernels.distance_to(a[0] > 150), "distance", "double"))
 
 
+def _images(spark, d):
+    """The scene as images of 100 rows, with a day of the year for each."""
+    pixels = fx.scene(spark, d).select(F.format_string("scene_%03d", "block").alias("image_id"), (F.col("x") % 100).alias("x"), "y", "b0", "b1", "b2")
+    days = pixels.select("image_id").distinct().withColumn("day", F.when(F.substring("image_id", -1, 1).cast("int") % 2 == 0, 120).otherwise(200))
+    return pixels, days
+
+
+@_query()
+def stretch_hist_image(spark, d):
+    pixels, _ = _images(spark, d)
+    return radiometry.stretch_from_histogram(radiometry.unpivot_bands(pixels, ["image_id"], ["b0", "b1", "b2"]), ["image_id"])
+
+
+@_query()
+def batch_run_report(spark, d):
+    """A whole run: from pixels to the report of each image. Training rows are made of the features and a rule, as there are no labelled scenes."""
+    pixels, days = _images(spark, d)
+    rows = segments.features_srgb(fx.scene(spark, d), HEIGHT, WIDTH).join(fx.pred(spark, d), ["block", "seg"])
+    rows = rows.select(F.when(F.col("seg") % 2 == 0, "spring").otherwise("summer").alias("label_set"), (F.col("block") * 1000 + F.col("seg")).cast("long").alias("pos"), F.col("cls").alias("label"), F.array(*(F.coalesce(F.col(f"f{k}"), F.lit(0.0)) for k in range(16))).alias("features"))
+    return run.classify_scenes(pixels, days, rows, run.Options(block=64, trees=20, depth=6)).report
+
+
 @_query()
 def watershed(spark, d):
     return kernels.segment_blocks(fx.scene(spark, d), ["b0", "b1", "b2"])

@@ -85,7 +85,8 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class raster (x, y, block, seg, cls): 0 where all bands are."""
     empty = (F.col("b0") == 0) & (F.col("b1") == 0) & (F.col("b2") == 0)
-    return scene(spark, sf_dir).join(pred(spark, sf_dir), ["block", "seg"]).select("x", "y", "block", "seg", F.when(empty, 0).otherwise(F.col("cls")).alias("cls"))
+    found = scene(spark, sf_dir).join(pred(spark, sf_dir), ["block", "seg"], "left")
+    return found.select("x", "y", "block", "seg", F.when(empty, 0).otherwise(F.coalesce("cls", F.lit(0))).alias("cls"))
 
 
 def qscores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,7 @@ SQL = {
     "files": "select concat(case when p_partkey%11=0 then '.' else '' end,'img_',p_partkey,case p_partkey%6 when 0 then '.tif' when 1 then '.TIFF' when 2 then '.jpg' when 3 then '.png' when 4 then '.h5' else '.JPG' end) as name, p_brand as dir from part",
     "shots": "select o_orderkey image_id, case when o_orderkey%13=0 then null else strftime(o_orderdate,'%Y:%m:%d %H:%M:%S') end exif, case when o_orderkey%17=0 then null else strftime(o_orderdate,'%Y%m%d%H%M%S') end nitf from orders",
     "pred": "select block,seg, case when sum(b1)<118*count(*) then 4 when sum(b1)<124*count(*) then 3 when sum(b1)<128*count(*) then 2 when sum(b1)<134*count(*) then 1 else 5 end cls from scene where b0<>0 group by block,seg",
-    "painted": "select s.x,s.y,s.block,s.seg, case when s.b0=0 and s.b1=0 and s.b2=0 then 0 else p.cls end cls from scene s join pred p on s.block=p.block and s.seg=p.seg",
+    "painted": "select s.x,s.y,s.block,s.seg, case when s.b0=0 and s.b1=0 and s.b2=0 then 0 else coalesce(p.cls,0) end cls from scene s left join pred p on s.block=p.block and s.seg=p.seg",
     "qscores": "select user_id image_id, event_id block_id, value/1000 score from events",
     "bins": """select cast(floor(value) as bigint) dn, count(*) n from events group by 1""",
     "hist": """select row_number() over (order by r.dn) - 1 i, r.dn, coalesce(b.n, 0) h from (select unnest(range((select min(dn) from bins), (select cast(floor(max(value)) as bigint) from events))) dn) r left join bins b on r.dn = b.dn""",

@@ -1,11 +1,12 @@
-"""Image files as tasks, and what is pending; scenes decoded where they lie."""
+"""Image files as tasks, and what is pending; pixel tables, class rasters and training sets in Parquet. Image formats are not decoded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.names import base_name, is_image, matches, output_names
+from tessera.functions.names import is_image, matches, output_names
+from tessera.model import TRAINING_ROWS
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -46,5 +47,28 @@ def training_set(spark: SparkSession, path: str, label_set: str, fallback: str)
     return own if not own.isEmpty() else rows.where(F.col("label_set") == fallback)
 
 
-def stem(name: str) -> object:
-    return base_name(F.col(name))
+def training_file(sensor: str) -> str:
+    """The name that a sensor's training set has by default."""
+    return f"{sensor}_training_data"
+
+
+def checked_training_set(rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns of a training set, in its types; what is missing is an error that names it."""
+    wanted = {name: kind for name, kind in (c.split(" ") for c in TRAINING_ROWS.split(", "))}
+    if missing := [c for c in wanted if c not in rows.columns]:
+        raise ValueError(f"not a training set: no {', '.join(missing)}")
+    return rows.select(*(F.col(c).cast(kind).alias(c) for c, kind in wanted.items()))
+
+
+def open_training_set(spark: SparkSession, path: str) -> DataFrame:
+    """A stored training set, or an empty one where there is none yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], TRAINING_ROWS)
+    return checked_training_set(spark.read.parquet(path))
+
+
+def classified(spark: SparkSession, path: str, images: list[str] | None = None) -> DataFrame:
+    """Class rasters as ``sinks.write_classified`` leaves them; of some images only, if named, whose folders alone are read."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("image_id").isin(images)) if images is not None else rows
