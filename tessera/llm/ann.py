@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.prefix import default_buckets
+from tessera.llm.prefix import spread_width
 from tessera.llm.shared import staged
 
 
@@ -216,7 +216,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     result = "rep long, ids array<long>, scores array<double>"
     group = ["tab", "part", "share"]
     found = placed.groupBy(*group).cogroup(sent.groupBy(*group)).applyInPandas(lambda a, b: _search(a, b, k + 1, index), result)
-    deal = F.pmod(F.xxhash64("rep"), F.lit(max(parts, default_buckets(spark))))
+    deal = F.pmod(F.xxhash64("rep"), F.lit(max(parts, spread_width(spark))))
     merge = lambda hits: hits.groupBy(deal).applyInPandas(lambda g: _merge(g, k + 1), "rep long, vec_id long, score double")
     merged = staged(merge(found), "ann-found")
     enough = merged.groupBy("rep").count().where(F.col("count") > k).select("rep")

@@ -7,16 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.prefix import default_buckets, running_start
+from tessera.llm.prefix import BUCKETS, running_start, spread_width
 from tessera.llm.shared import WORD_PATTERN, staged, text_or_empty
 
 #: A word with the white space behind it.
 _WORD_AND_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
-#: numpy draws hypergeometric counts for fewer items than this.
-_MOST_DRAWN = 10**9
+#: numpy draws hypergeometric counts of fewer items than this, so larger numbers are drawn in units.
+_MOST_DRAWN = 10**9 - 1
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,7 @@ class Mix:
     blocks_a_shard: int = 4096
     seed: int = 9
     max_sources: int = 100_000
+    buckets: int = BUCKETS
 
 
 def targets(sizes: list[int], mix: Mix) -> list[float]:
@@ -75,11 +76,17 @@ def _split(counts: np.ndarray, left: int, seed: tuple[int, ...]) -> np.ndarray:
     total = int(counts.sum())
     if left == 0 or left == total:
         return counts * (left > 0)
-    if total < _MOST_DRAWN:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, left, method="marginals")
-    exact = counts * (left / total)  # so many that a draw would hardly differ
-    taken = np.floor(exact).astype(np.int64)
-    taken[np.argsort(taken - exact)[: left - int(taken.sum())]] += 1
+    unit = 1 + total // _MOST_DRAWN
+    whole = counts // unit
+    taken = np.random.default_rng(seed).multivariate_hypergeometric(whole, min(left // unit, int(whole.sum())), method="marginals") * unit
+    if lack := left - int(taken.sum()):  # less than a unit for each source: by what is left of each
+        rest = counts - taken
+        exact = rest * (lack / int(rest.sum()))
+        more = np.minimum(np.floor(exact).astype(np.int64), rest)
+        taken += more
+        for s in np.argsort(more - exact, kind="stable"):
+            add = min(lack - int(more.sum()), int(counts[s] - taken[s]))
+            taken[s], more[s] = taken[s] + min(add, 1), more[s] + min(add, 1)
     return taken
 
 
@@ -150,43 +157,41 @@ def draw_slots(spark: SparkSession, table: DataFrame, mix: Mix) -> DataFrame:
                 order = np.random.default_rng((mix.seed, shard, 1)).permutation(len(index))
                 yield pd.DataFrame({"shard": shard, "slot": np.arange(len(index)), "source_no": of[order], "block": block[order]})
 
-    parts = max(1, min(shards, default_buckets(spark)))
+    parts = max(1, min(shards, spread_width(spark)))
     return spark.range(0, shards, 1, parts).mapInPandas(draw, "shard long, slot int, source_no int, block long")
 
 
-def placed_documents(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """Documents with their source's figures and their place among its words; and the sources."""
-    spark = docs.sparkSession
-    text = text_or_empty(text_col)
+def placed_documents(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """Ids and figures of documents, with their source's and their place among its words; and the sources. Texts are read, but stay where they are."""
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
-        F.xxhash64(text).alias("text_hash"), *([text.alias("text")] if with_text else []),
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        F.regexp_count(text_or_empty(text_col), F.lit(WORD_PATTERN)).cast("long").alias("size"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"),
     )
-    if not with_text:  # texts are read again rather than written
-        rows = staged(rows, "mix")
-    table = sources(spark, rows, mix)
+    rows = staged(rows, "mix")
+    table = sources(docs.sparkSession, rows, mix)
     known = rows.alias("r").join(F.broadcast(table.alias("s")), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "source_no", "source_size", "target")
-    return running_start(known, "source_no", ["doc_id", "text_hash", "size"], F.col("size"), "start", default_buckets(spark)), table
+    return staged(running_start(known, "source_no", ["doc_id", "text_hash", "size"], F.col("size"), "start", mix.buckets), "mix-placed"), table
 
 
 def pieces(placed: DataFrame, table: DataFrame, mix: Mix) -> DataFrame:
     """Every piece of a document that the mix takes, once for each time: placed's columns, shard, slot, first_word, words."""
     length = mix.block_words
-    filled = placed.where("size > 0")
-    if "text" in placed.columns:
-        filled = filled.withColumn("text", F.regexp_extract_all("text", F.lit(_WORD_AND_SPACE), F.lit(0)))
     block = F.explode(F.sequence(F.expr(f"start div {length}"), F.expr(f"(start + size - 1) div {length}")))
     low = F.greatest("start", F.col("block") * length)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * length)
-    parts = filled.withColumn("block", block).withColumn("first_word", low - F.col("start")).withColumn("words", high - low)
-    if "text" in placed.columns:
-        parts = parts.withColumn("text", F.array_join(F.slice("text", (F.col("first_word") + 1).cast("int"), F.col("words").cast("int")), ""))
+    parts = placed.where("size > 0").withColumn("block", block).withColumn("first_word", low - F.col("start")).withColumn("words", high - low)
     # slots grow with the corpus, which Spark cannot see from the few shards that they are drawn for: never broadcast them
     return parts.join(draw_slots(placed.sparkSession, table, mix).hint("merge"), ["source_no", "block"])
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: (shard, slot, doc_id, source, first_word, words, text), a row for each piece of a block.
+def _text_key(doc_id: Column, source: Column, text_hash: Column) -> list[Column]:
+    """128 bits that stand for a text of a document, never null, so rows are dealt by them once for grouping and joining."""
+    named = [doc_id.isNull(), doc_id, source.isNull(), source, text_hash]
+    return [F.xxhash64(*named).alias("key_a"), F.xxhash64(F.lit(9), *named).alias("key_b")]
+
+
+def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The mixed corpus: (shard, slot, doc_id, source, first_word, words, text, and columns to ``carry``), a row for each piece of a block.
 
     Each source's words, in a fixed pseudorandom order of its documents, are cut to blocks of ``block_words``. Sources
     by code point, null last, weigh ``weights``, repeating, and share ``share_of_all`` times all words, no
@@ -194,13 +199,25 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     of sources that add up to the targets; the slots of a source, counted through all shards, run
     through a pseudorandom permutation of its block indexes, a new one each time it has been through,
     so no block is taken more than ``most_repeats`` times. Blocks are joined by index. Text keeps the white
-    space behind each word. The same rows give the same mix.
+    space behind each word. The same rows give the same mix, whatever the partitions of session and table.
 
     Null, empty and blank texts have no words and give no piece. Null sources are a source; null ids and
-    repeated rows take part like others. Other columns are not read. An empty input gives an empty result.
+    repeated rows take part like others; of carried columns they get the least. Others are not read. Numbers are placed and joined by
+    themselves; a text is moved once. An empty input gives an empty result.
     """
-    placed, table = placed_documents(docs, mix, id_col, text_col, source_col, with_text=True)
-    return pieces(placed, table, mix).select("shard", "slot", "doc_id", "source", "first_word", "words", "text")
+    placed, table = placed_documents(docs, mix, id_col, text_col, source_col)
+    key = ["key_a", "key_b"]
+    piece = F.struct("shard", "slot", "first_word", "words")
+    # a row's pieces are at most ``most_repeats`` times its blocks; repeated rows differ in start
+    wanted = pieces(placed, table, mix).select(*_text_key(F.col("doc_id"), F.col("source"), F.col("text_hash")), "start", "doc_id", "source", piece.alias("piece"))
+    wanted = wanted.groupBy(*key, "start").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.collect_list("piece").alias("pieces"))
+    text = text_or_empty(text_col)
+    texts = docs.select(*_text_key(F.col(id_col), F.col(source_col).cast("string"), F.xxhash64(text)), text.alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry))).groupBy(*key).agg(F.first("text").alias("text"), *(F.min(f"carry_{i}").alias(f"carry_{i}") for i in range(len(carry))))
+    cut = lambda found: F.transform("pieces", lambda p: p.withField("text", F.array_join(F.slice(found, (p["first_word"] + 1).cast("int"), p["words"].cast("int")), "")))
+    found = F.transform(F.array(F.regexp_extract_all("text", F.lit(_WORD_AND_SPACE), F.lit(0))), cut)
+    own = [f"carry_{i}" for i in range(len(carry))]
+    out = wanted.join(texts.hint("merge"), key).select("doc_id", "source", *own, F.explode(F.get(found, F.lit(0))).alias("p"))
+    return out.select("p.shard", "p.slot", "doc_id", "source", "p.first_word", "p.words", "p.text", *(F.col(o).alias(c) for o, c in zip(own, carry)))
 
 
 def mix_report(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -209,8 +226,7 @@ def mix_report(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_c
     size: words of the text (none if null); target: words to take of its source; taken: words of the document in
     the mix, repeats counted. It joins the same blocks to the same slots, but leaves the texts where they are.
     """
-    placed, table = placed_documents(docs, mix, id_col, text_col, source_col, with_text=False)
-    placed = staged(placed, "mix-placed")
+    placed, table = placed_documents(docs, mix, id_col, text_col, source_col)
     taken = pieces(placed, table, mix).groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
     with_words = placed.where("size > 0").join(taken, ["source_no", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     return with_words.unionByName(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))

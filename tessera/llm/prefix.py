@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def default_buckets(spark: SparkSession) -> int:
+#: Buckets of a group's rows. They decide on the order of rows, so their number does not follow from any setting of a session.
+BUCKETS = 1024
+
+
+def spread_width(spark: SparkSession) -> int:
+    """How many partitions work is dealt to that results do not depend on."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_start(rows: DataFrame, group: str, order: list[str], amount: Column, out: str, buckets: int) -> DataFrame:
+def running_start(rows: DataFrame, group: str, order: list[str], amount: Column, out: str, buckets: int = BUCKETS) -> DataFrame:
     """``rows`` with ``out``: the sum of ``amount`` over the rows before it in its ``group``, as a long.
 
     Rows of a group are summed within ``buckets`` hash buckets of their ``order`` columns, and a bucket starts

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.prefix import default_buckets, running_start
+from tessera.llm.prefix import BUCKETS, running_start
 from tessera.llm.shared import staged, text_or_empty
 
 
@@ -69,20 +69,20 @@ class Tree:
 
 
 def assign_shards(
-    docs: DataFrame, shards: int = 16, tree: Tree | None = None, id_col: str = "doc_id", text_col: str = "text", *, buckets: int | None = None
+    docs: DataFrame, shards: int = 16, tree: Tree | None = None, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = BUCKETS
 ) -> DataFrame:
     """One row for each row of ``docs``: (``id_col``, size, text_crc32, law, shard, slot, grown_shard).
 
     The law is ``key``: the id and the tree decide on the shard. size: UTF-8 bytes of the text plus 1;
     text_crc32: of the same bytes, unsigned; slot: gapless from 0 in each shard; grown_shard: the
-    shard when the tree has one more. Texts are read where they lie; only ids and numbers are shuffled.
+    shard when the tree has one more. Texts are read where they lie; only ids and numbers are shuffled. Slots follow the ids' hashes
+    in ``buckets`` buckets, whatever the session's partitions.
 
     A null text has no bytes: size 1, checksum 0, as an empty one. A null id is a key like any other.
     Repeated rows go to one shard, in slots of their own. Other columns are not read. An empty input
     gives an empty result.
     """
     tree = tree or Tree.balanced(shards)
-    buckets = buckets or default_buckets(docs.sparkSession)
     key = F.col(id_col)
     text = text_or_empty(text_col)
     rows = docs.select(

@@ -2,42 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import staged_path
+
 #: ASCII white space; what stands between is a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_own_folders: dict[str, str] = {}
-_written: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local session (driver and executors are one process) gets a folder
-    of its own that goes with the process; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if context.applicationId not in _own_folders:
-        own = tempfile.mkdtemp(prefix="spark-tessera-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        _own_folders[context.applicationId] = own
-    return _own_folders[context.applicationId]
+_here = threading.local()
 
 
-def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+def _written() -> list[str]:
+    """Paths of the tables that this thread has staged and not deleted."""
+    if not hasattr(_here, "paths"):
+        _here.paths = []
+    return _here.paths
 
 
 def staged(df: DataFrame, name: str, **options) -> DataFrame:
@@ -47,27 +29,48 @@ def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """
     path = staged_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written().append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def staged_so_far() -> int:
-    return len(_written)
+    return len(_written())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more.
+
+    Shuffle files of jobs that are over go when the driver collects garbage, which it is told to, as it may not for long.
+    """
+    _delete(table.sparkSession, table.staged_at)
+    _written().remove(table.staged_at)
+    table.sparkSession._jvm.System.gc()
 
 
 def keep_last_staged(spark: SparkSession, since: int) -> None:
-    """Deletes the tables staged after the first ``since`` but for the last, when nothing reads them any more."""
-    for path in _written[since:-1]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del _written[since:-1]
-
-
-def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Sends Python workers at most ``rows`` rows at once from now on: texts are long, and a worker holds a batch whole."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Deletes the tables that this thread staged after the first ``since`` but for the last, when nothing reads them any more."""
+    for path in _written()[since:-1]:
+        _delete(spark, path)
+    del _written()[since:-1]
+    spark._jvm.System.gc()
+
+
+def text_batches(spark: SparkSession, mb: int = 4) -> None:
+    """Python workers get at most ``mb`` MB at once (one row, if that is longer): a worker holds a batch whole.
+
+    The session's setting is lowered where it is higher, and stays so: a query reads it when it runs, which its caller decides on.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < most <= mb << 20:
+        spark.conf.set(key, f"{mb}m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
