@@ -1,21 +1,26 @@
-"""Byte-level BPE: ranked merges folded by Spark's higher-order functions, and decoding."""
+"""Byte-level BPE: ranked merges folded by Spark's higher-order functions over distinct words, and decoding."""
 
 from __future__ import annotations
 
 import base64
 import json
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import staged, text_batches
+from tessera.llm.numbered import NumberedIds, list_parts, lists
+from tessera.llm.shared import text_batches
 
-_NO_RANK = 2**31 - 1
+#: Bits of an id, of a piece's place in its word, and (above them) of a rank in an entry of the fold's state.
+_ID, _PLACE = 20, 16
+_NO_RANK, _EDGE = (1 << 21) - 1, (1 << _ID) - 1
 _SECOND_CHOICE = 40
 
 
@@ -26,32 +31,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-class LiteralMap:
-    """A literal map, as two flat arrays of keys and values: a key is in one of the two places its hash names.
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used: what a fold of nothing begins, and ends, with."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, use)
 
-    Spark looks a key up in a map by walking it, and a task unpacks every object of a literal, so neither one
-    large map nor many small ones would do. ``bound`` lends the literal to an expression under one
-    name, however often that looks up.
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
+class Merges:
+    """A vocabulary's ranked merges as a literal map, and the fold over a word's bytes that applies them.
+
+    The map goes from two neighbours' ids to the rank of what they join to, which is its id too. Spark looks a map up by walking
+    it, so the literal is a flat array: a pair is in one of the two places that its hash names (cuckoo hashing), with its
+    rank in the low bits. Pairs of bytes have a table of their own, without hashes.
     """
 
-    def __init__(self, keys: list[bytes], as_text: list[str], values: list, key_kind: str, value_kind: str):
+    def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= min(_NO_RANK, _EDGE):
+            raise ValueError("ranks do not fit the fold's state")
+        pairs = {}
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if a is not None and b is not None:
+                    pairs[a << _ID | b] = rank
         size = 16
-        while size < 2.5 * len(keys):
+        while size < 2 * len(pairs):
             size *= 2
-        while (places := self._place(keys, size)) is None:
+        while (places := self._place(list(pairs), size)) is None:
             size *= 2
-        self.mask = size - 1
-        of = lambda row: [None if i is None else row[i] for i in places]
-        literal = lambda row, kind: F.from_json(F.lit(json.dumps(row, ensure_ascii=False, separators=(",", ":"))), f"array<{kind}>")
-        self.literal = F.struct(literal(of(as_text), key_kind).alias("keys"), literal(of(values), value_kind).alias("values"))
+        self._mask = size - 1
+        literal = lambda row: F.from_json(F.lit(json.dumps(row, separators=(",", ":"))), "array<bigint>")
+        self._tables = F.struct(
+            literal([None if k is None else k << _ID | pairs[k] for k in places]).alias("pairs"),
+            literal([ranks.get(bytes([b]), _EDGE) for b in range(256)]).alias("bytes"),
+            literal([ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]).alias("first"),
+        )
 
     @staticmethod
-    def _place(keys: list[bytes], size: int) -> list[int | None] | None:
-        """Cuckoo hashing by XXH64 (seed 42, as Spark's xxhash64): the key's number in its place."""
-        hashes = [xxhash.xxh64_intdigest(k, 42) for k in keys]
-        choices = [(h & (size - 1), (h >> _SECOND_CHOICE) & (size - 1)) for h in hashes]
+    def _place(keys: list[int], size: int) -> list[int | None] | None:
+        """Cuckoo hashing by XXH64 (seed 42, as Spark's xxhash64 of a long): the key in each place."""
+        hashes = [xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42) for k in keys]
+        choices = {k: (h & (size - 1), (h >> _SECOND_CHOICE) & (size - 1)) for k, h in zip(keys, hashes)}
         places: list[int | None] = [None] * size
-        for key in range(len(keys)):
+        for key in keys:
             at = choices[key][0]
             for _ in range(500):
                 key, places[at] = places[at], key
@@ -62,156 +87,225 @@ class LiteralMap:
                 return None
         return places
 
-    def bound(self, use) -> Column:
-        return F.get(F.transform(F.array(self.literal), lambda t: use(lambda key: self._get(t, key))), F.lit(0))
+    def _rank(self, t: Column, a: Column, b: Column) -> Column:
+        """The rank of neighbours with ids ``a`` and ``b`` (longs)."""
 
-    def _get(self, t: Column, key: Column) -> Column:
-        at = lambda place: F.when(F.get(t["keys"], place) == key, F.get(t["values"], place))
-        first = F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int")
-        second = F.shiftrightunsigned(F.xxhash64(key), _SECOND_CHOICE).bitwiseAND(F.lit(self.mask)).cast("int")
-        return F.coalesce(at(first), at(second))
+        def look_up(key: Column) -> Column:
+            hashed = F.xxhash64(key)
+            entry = lambda place: F.get(t["pairs"], place.bitwiseAND(F.lit(self._mask)).cast("int"))
+            or_else = lambda e, other: F.when(F.shiftright(e, _ID) == key, e.bitwiseAND(F.lit(_EDGE))).otherwise(other)
+            return or_else(entry(hashed), or_else(entry(F.shiftrightunsigned(hashed, _SECOND_CHOICE)), _long(_NO_RANK)))
 
+        return _bound(F.shiftleft(a, _ID).bitwiseOR(b), look_up)
 
-class Bpe:
-    """Columns that encode by, and decode, one vocabulary's ranks."""
+    def _fold(self, t: Column, word: Column) -> Column:
+        """A fold over the bytes of a word: joins the neighbours of least rank, the first of equals, until none join to a piece.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        pieces = list(ranks)
-        self._ranks = LiteralMap(pieces, [base64.b64encode(p).decode() for p in pieces], list(ranks.values()), "binary", "int")
-        by_rank = {rank: piece.hex() for piece, rank in ranks.items()}
-        self._pieces = F.split(F.lit(",".join(by_rank.get(i, "") for i in range(max(by_rank, default=-1) + 1))), ",")
-
-    def with_ranks(self, use) -> Column:
-        """``use(word_ids)``, where word_ids maps a word (a binary column) to its ids (array<int>)."""
-        return self._ranks.bound(lambda rank: use(lambda word: self._word_ids(rank, word)))
-
-    def _word_ids(self, rank, word: Column) -> Column:
-        """A word of the vocabulary is its rank. Else a fold over its bytes joins the pair of pieces of least
-        rank, the first of equals, until no neighbours join to a piece of the vocabulary.
-
-        The state holds the pieces, and the ranks of neighbours joined; both ends count as neighbours that never join, so
-        rank q is that of pieces q - 1 and q. A step looks up two new ranks and copies the arrays, so a word of n
-        bytes takes at most n steps of O(n).
+        The state is an array of longs, one for each piece between two edges: the rank of the piece joined with the next,
+        its place in the word, and its id, so the least entry is the pair to join. A step looks up two new ranks and
+        copies the array; a word of n bytes takes at most n steps of O(n).
         """
-        none, rest = F.lit(_NO_RANK), F.lit(1 << 30)
-        rank_or_none = lambda piece: F.coalesce(rank(piece), none)
-        size = F.octet_length(word)
-        each = lambda last, length: F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, F.lit(length)))
-        start = F.struct(each(size, 1).alias("p"), F.concat(F.array(none), F.transform(each(size - 1, 2), rank_or_none), F.array(none)).alias("r"))
-
-        def join_at(s: Column, q: Column) -> Column:
-            piece = lambda i: F.get(s["p"], i)
-            new = F.array(F.concat(piece(q - 3), piece(q - 2), piece(q - 1)), F.concat(piece(q - 2), piece(q - 1), piece(q)))
-            return F.struct(
-                F.concat(F.slice(s["p"], F.lit(1), q - 2), F.array(F.concat(piece(q - 2), piece(q - 1))), F.slice(s["p"], q + 1, rest)).alias("p"),
-                F.concat(F.slice(s["r"], F.lit(1), q - 2), F.transform(new, rank_or_none), F.slice(s["r"], q + 2, rest)).alias("r"),
+        high = _ID + _PLACE
+        edge = lambda place: F.array(_long(_NO_RANK << high | place << _ID | _EDGE))
+        id_of = lambda e: e.bitwiseAND(F.lit(_EDGE))
+        low_of = lambda e: e.bitwiseAND(_long((1 << high) - 1))
+        entry = lambda rank, low: F.shiftleft(rank, high).bitwiseOR(low)
+
+        def byte(b: Column, i: Column) -> Column:
+            rank = F.coalesce(F.get(t["first"], b.cast("int") * 256 + F.get(word, i + 1)), _long(_NO_RANK))
+            return entry(rank, F.shiftleft((i + 1).cast("long"), _ID).bitwiseOR(F.get(t["bytes"], b)))
+
+        def join(s: Column, least: Column, at: Column) -> Column:
+            new, before, behind = F.shiftright(least, high), F.get(s, at - 2), F.get(s, at + 1)
+            joined = F.array(
+                entry(self._rank(t, id_of(before), new), low_of(before)),
+                entry(self._rank(t, new, id_of(behind)), least.bitwiseAND(_long(((1 << _PLACE) - 1) << _ID)).bitwiseOR(new)),
             )
+            return F.flatten(F.array(F.slice(s, F.lit(1), at - 2), joined, F.slice(s, at + 2, F.lit(1 << 30))))
 
         def step(s: Column, _: Column) -> Column:
-            at = F.array_position(s["r"], F.nullif(F.array_min(s["r"]), none)).cast("int")
-            return F.get(F.transform(F.array(at), lambda q: F.when(q.isNull(), s).otherwise(join_at(s, q))), F.lit(0))
+            place = lambda least: F.size(F.filter(s, lambda e: low_of(e) < low_of(least))) + 1
+            done = lambda least: least >= _long(_NO_RANK << high)
+            return _bound(F.array_min(s), lambda m: F.when(done(m), s).otherwise(_bound(place(m), lambda at: join(s, m, at))))
+
+        ids = lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda e: id_of(e).cast("int"))
+        return F.aggregate(F.sequence(F.lit(2), F.size(word)), F.concat(edge(0), F.transform(word, byte), edge((1 << _PLACE) - 1)), step, ids)
+
+    def folded(self, words: Column) -> Column:
+        """Ids (array<array<int>>) of words given as their bytes (array<array<smallint>>)."""
+        return _bound(self._tables, lambda t: F.transform(words, lambda word: self._fold(t, word)))
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As the fold, for a word of any length: linked pieces and a heap of their neighbours' ranks, O(n log n)."""
+    n = len(word)
+    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, last = heappop(heap)
+        j = end[i]
+        if not alive[i] or j >= n or end[j] != last:
+            continue  # one of the two was joined to something else
+        alive[j], end[i] = False, last
+        if last < n:
+            before[last] = i
+        for a in (before[i], i):
+            if a >= 0 and end[a] < n and (r := ranks.get(word[a : (b := end[end[a]])])) is not None:
+                heappush(heap, (r, a, b))
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
+class _Numbers(dict):
+    """Numbers of words, for one task: a vocabulary word's rank, and for others, from ``first`` on, by their first use.
+
+    Words of over ``fold_bytes`` bytes are not numbered: they give their ids, as a list.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], fold_bytes: int):
+        self.ranks, self.fold_bytes, self.first = ranks, fold_bytes, max(ranks.values(), default=-1) + 1
+        self.vocabulary = {}
+        for piece, rank in ranks.items():
+            try:
+                self.vocabulary[piece.decode()] = rank
+            except UnicodeDecodeError:  # never a whole word
+                pass
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.update(self.vocabulary)
+        self.next, self.fresh, self.long = self.first, [], False
+
+    def __missing__(self, word: str) -> int | list[int]:
+        data = word.encode()
+        if len(data) > self.fold_bytes:
+            self.long = True
+            return merge_long(data, self.ranks)
+        number = self[word] = self.next
+        self.next += 1
+        self.fresh.append(data)
+        return number
+
+
+def joined_pieces(ids: np.ndarray, pieces: list[bytes], at_once: int = 1 << 18) -> bytes:
+    """Bytes that ids stand for: their binary pieces, one after the other."""
+    return b"".join(b"".join(map(pieces.__getitem__, ids[at : at + at_once].tolist())) for at in range(0, len(ids), at_once))
 
-        folded = F.aggregate(F.sequence(F.lit(2), size), start, step, lambda s: F.transform(s["p"], rank))
-        whole = lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded)
-        return F.when(size > 0, F.get(F.transform(F.array(rank(word)), whole), F.lit(0))).otherwise(F.array().cast("array<int>"))
 
-    def decoded(self, ids: Column) -> Column:
-        """Bytes that an array of ids stands for: their binary pieces, one after the other."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""))
+def _piece_list(ranks: dict[bytes, int]) -> list[bytes]:
+    by_rank = {rank: piece for piece, rank in ranks.items()}
+    return [by_rank.get(i, b"") for i in range(max(by_rank, default=-1) + 1)]
 
 
-def common_words(docs: DataFrame, pattern: str, text_col: str, known: frozenset[str], most: int, at_once: int = 300_000) -> DataFrame:
-    """The most frequent words of all texts but the ``known``, at most ``most``: (word), all of a count or none.
+def decode_documents(tokens: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+    """(``id_col``, decoded: binary): the bytes that each row's ids stand for. No ids, or null: no bytes."""
 
-    Tasks count the words of their texts, passing counts on whenever they hold ``at_once`` words, and Spark adds them up. The
-    count from which words are common is read off a histogram of rounded logarithms of counts, which has
-    a few hundred rows at any size. Words that occur once are never common.
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _piece_list(ranks)
+        for batch in batches:
+            values, offsets = list_parts(batch.column("tokens"))
+            ids = values.to_numpy(zero_copy_only=False)
+            out = [joined_pieces(ids[a:b], pieces) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "decoded"])
+
+    id_type = tokens.schema[id_col].dataType.simpleString()
+    none = F.array().cast("array<int>")
+    rows = tokens.select(F.col(id_col).alias("id"), F.coalesce(F.col(tokens_col).cast("array<int>"), none).alias("tokens"))
+    return rows.mapInArrow(decode, f"id {id_type}, decoded binary").withColumnRenamed("id", id_col)
+
+
+def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, dictionary_words: int, fold_bytes: int, decode: bool) -> DataFrame:
+    """(id, tokens: array<int>, and, if asked, decoded: binary), a row for each row of ``docs``.
+
+    Three steps in a task, none of which shuffles: words are found and numbered, and a row brings the bytes of those that no row before it
+    has; Spark folds these; and with the ids of all words so far, numbers become ids. Rows keep their order within a task, so
+    the last step has folded words before they are used. ``epoch`` counts how often numbers began anew.
     """
+    text_batches(docs.sparkSession, 2)
+    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, counts = regex.compile(pattern).findall, Counter()
-        flushed = lambda: pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+        find, numbers, epoch = regex.compile(pattern).findall, _Numbers(ranks, fold_bytes), 0
         for batch in batches:
-            for text in batch["text"]:
-                if text:
-                    counts.update(find(text))
-                if len(counts) > at_once:
-                    for w in known & counts.keys():
-                        del counts[w]
-                    yield flushed()
-                    counts.clear()
-        for w in known & counts.keys():
-            del counts[w]
-        yield flushed()
-
-    partial = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n long")
-    counted = staged(partial.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
-    level = F.floor(F.log2("n") * 16)
-    histogram = counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()
-    least, total = None, 0
-    for row in sorted(histogram, key=lambda r: -r["level"]):
-        total += row["words"]
-        if total > most:
-            break
-        least = row["level"]
-    return counted.where(level >= least if least is not None else F.lit(False)).select("word")
-
-
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 19) -> DataFrame:
-    """One row for each row of ``docs``: (``id_col``, ids: string, the decimal ids joined by one space).
-
-    Each match of ``pattern`` is encoded on its own, without special tokens. A word of the vocabulary is its rank. Words
-    are counted over all documents; the most frequent, ``dictionary_words`` at most, which bounds the
-    dictionary at some 100 MB in a task, are folded once each, and documents take their ids from there. The rest, of which most
-    occur once or twice in all, are folded by the same expression where they stand: about as many folds
-    as distinct words need, without sending every token of the corpus through a shuffle. No text is shuffled, only counts.
+            codes, ends, words, word_ends, epochs = array("i"), [0], [], [0], []
+            for text in batch.column("text"):
+                if numbers.next - numbers.first > dictionary_words:
+                    numbers.restart()
+                    epoch += 1
+                found = list(map(numbers.__getitem__, find(text.as_py() or "")))
+                if numbers.long:
+                    found, numbers.long = [x for f in found for x in (f if isinstance(f, list) else (f,))], False
+                codes.extend(found)
+                words += numbers.fresh
+                numbers.fresh.clear()
+                ends.append(len(codes))
+                word_ends.append(len(words))
+                epochs.append(epoch)
+            data = pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16))
+            fresh = lists(word_ends, lists(np.cumsum([0, *map(len, words)]), data))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists(ends, pa.array(np.array(codes, np.int32))), fresh, pa.array(epochs, pa.int32())], ["id", "codes", "fresh", "epoch"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, epoch, pieces = NumberedIds(max(ranks.values(), default=-1) + 1), 0, _piece_list(ranks) if decode else []
+        for batch in batches:
+            epochs = batch.column("epoch").to_numpy()
+            codes, code_ends = list_parts(batch.column("codes"))
+            folded, word_ends = list_parts(batch.column("folded"))
+            values, id_ends = list_parts(folded)
+            codes, values = codes.to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False)
+            out, ends, at = [], [np.zeros(1, np.int64)], 0
+            for last in [*(np.flatnonzero(np.diff(epochs)) + 1).tolist(), len(epochs)]:
+                if last == at:
+                    continue
+                if epochs[at] != epoch:
+                    known.restart()
+                    epoch = epochs[at]
+                a, b = word_ends[at], word_ends[last]
+                known.add(values[id_ends[a] : id_ends[b]], np.diff(id_ends[a : b + 1]))
+                ids, upto = known.of(codes[code_ends[at] : code_ends[last]])
+                of_rows = code_ends[at + 1 : last + 1] - code_ends[at]
+                ends.append(ends[-1][-1] + np.concatenate([[0], upto])[of_rows])
+                out.append(ids)
+                at = last
+            ids, ends = np.concatenate([np.zeros(0, np.int32), *out]), np.concatenate(ends)
+            columns = {"id": batch.column("id"), "tokens": lists(ends, pa.array(ids))}
+            if decode:
+                columns["decoded"] = pa.array([joined_pieces(ids[a:b], pieces) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    numbered = rows.mapInArrow(number, f"id {id_type}, codes array<int>, fresh array<array<smallint>>, epoch int")
+    folded = numbered.select("id", "codes", "epoch", Merges(ranks).folded(F.col("fresh")).alias("folded"))
+    return folded.mapInArrow(look_up, f"id {id_type}, tokens array<int>" + (", decoded binary" if decode else ""))
+
+
+def encode_documents(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 18, fold_bytes: int = 256
+) -> DataFrame:
+    """One row for each row of ``docs``: (``id_col``, ids: string, the decimal ids joined by one space; tokens: the same as array<int>).
+
+    Each match of ``pattern`` is encoded on its own, without special tokens. A word of the vocabulary is its rank. Each
+    task folds its distinct words once, whatever the number of their occurrences, and remembers up to about ``dictionary_words``
+    of them before it begins anew, which bounds its memory and changes no result. Nothing is shuffled, broadcast or collected.
+    Words of over ``fold_bytes`` bytes, for which a fold's O(n^2) is too much, are merged by a heap instead (``merge_long``).
 
     Null and empty texts have no ids (an empty string). Repeated rows, and null ids of documents,
     keep a row each; other columns are not read. An empty input gives an empty result.
     """
-    text_batches(docs.sparkSession)
-    bpe = Bpe(ranks)
-    vocabulary = {}
-    for piece, rank in ranks.items():
-        try:
-            vocabulary[piece.decode()] = str(rank)
-        except UnicodeDecodeError:  # never a whole word
-            pass
-    joined = lambda ids: F.array_join(ids.cast("array<string>"), " ")
-    common = common_words(docs, pattern, text_col, frozenset(vocabulary), dictionary_words)
-    folded = common.select("word", bpe.with_ranks(lambda ids_of: joined(ids_of(F.col("word").cast("binary")))).alias("ids"))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary | {r["word"]: r["ids"] for r in folded.toLocalIterator()})  # at most dictionary_words and the vocabulary
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
+    coded = _coded(docs, ranks, pattern, id_col, text_col, dictionary_words, fold_bytes, False)
+    return coded.select(F.col("id").alias(id_col), _joined("tokens"), "tokens")
 
-        find, look_up = regex.compile(pattern).findall, shared.value.get
-        for batch in batches:
-            known, rare = [], []
-            for text in batch["text"]:
-                words = find(text) if text else []
-                ids = list(map(look_up, words))
-                if None in ids:
-                    gaps = [i for i, x in enumerate(ids) if x is None]
-                    known.append([" ".join(ids[a:b]) for a, b in zip([0, *(g + 1 for g in gaps)], [*gaps, len(ids)])])
-                    rare.append([words[g].encode() for g in gaps])
-                else:
-                    known.append([" ".join(ids)])
-                    rare.append([])
-            yield pd.DataFrame({"id": batch["id"], "known": known, "rare": rare})
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    parts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(split, f"id {id_type}, known array<string>, rare array<binary>")
-    coded = bpe.with_ranks(lambda ids_of: F.transform("rare", lambda word: joined(ids_of(word))))
-    pairs = F.flatten(F.zip_with("known", coded, lambda k, c: F.array(k, c)))
-    return parts.select(F.col("id").alias(id_col), F.array_join(F.filter(pairs, lambda x: F.length(x) > 0), " ").alias("ids"))
-
-
-def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 19) -> DataFrame:
-    """``encode_documents``, and back from the ids: (``id_col``, ids: string, n_tokens: long, decoded: binary); nulls and empty texts alike."""
-    coded = encode_documents(docs, ranks, pattern, id_col, text_col, dictionary_words=dictionary_words)
-    ids = F.when(F.col("ids") != "", F.split("ids", " ").cast("array<int>")).otherwise(F.array().cast("array<int>"))
-    split = coded.select(id_col, "ids", ids.alias("each"))
-    return split.select(id_col, "ids", F.size("each").cast("long").alias("n_tokens"), Bpe(ranks).decoded(F.col("each")).alias("decoded"))
+def _joined(tokens: str) -> Column:
+    return F.array_join(F.col(tokens).cast("array<string>"), " ").alias("ids")
+
+
+def encode_and_decode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 18, fold_bytes: int = 256
+) -> DataFrame:
+    """``encode_documents``, and back from the ids: (``id_col``, ids: string, n_tokens: long, decoded: binary, tokens: array<int>); nulls and empty texts alike."""
+    coded = _coded(docs, ranks, pattern, id_col, text_col, dictionary_words, fold_bytes, True)
+    return coded.select(F.col("id").alias(id_col), _joined("tokens"), F.size("tokens").cast("long").alias("n_tokens"), "decoded", "tokens")
