@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import zlib
-from collections.abc import Iterator
-from contextlib import contextmanager
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import staged_path
+from tessera.llm.numbered import NumberedIds, list_parts, lists
+from tessera.llm.shared import staged_path, text_batches
 
 SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens int, ids array<int>"
 
@@ -46,121 +47,136 @@ class Layout:
 
 #: What Python's split takes for white space, but the tokenizer does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
+_SPECIAL = "<|"
+_STOPS = ".,!?;:"
 
 
-class WordEncoder:
-    """Encodes whole texts by a tokenizer file whose tokens never span white space.
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The library's tokenizer of a file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    Its pre-tokenizer drops white space and parts letters from punctuation, and its normalizer works within words and folds
-    case, so a text's ids are its words' ids, one after the other. A Latin word's are those that the library's model gives its
-    lower-case letters, byte by byte in the model's alphabet, and then those of the punctuation behind them; all other words are
-    encoded by the library as texts. Words are remembered: at first among the ``young``, which go when they are many, and
-    for good, up to ``remember`` words, when they occur again.
-    """
+    return Tokenizer.from_file(path)
 
-    _PUNCTUATION = ".,!?;:"
 
-    def __init__(self, path: str, special_as_text: bool = True, remember: int = 300_000, young: int = 250_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordEncoder(dict):
+    """Encodes whole texts by a tokenizer file whose tokens never span white space: every different word by the library, once.
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
+    Its pre-tokenizer drops white space, so a text's ids are its words' ids, one after the other. The dictionary gives words their numbers,
+    by which ids are looked up, for a run of texts at once. Its normalizer folds case and its pre-tokenizer parts letters from
+    punctuation, so an ASCII word shares its number with its lower-case form, and letters before stops are encoded without them.
+    Lower-case ASCII letters pass both unchanged, as one piece, so the library's model is asked for their ids directly; all else goes through the
+    whole library. When over ``remember`` words are known, only the first ``keep`` numbers stay: words that occur early are those that occur often.
+    """
+
+    def __init__(self, path: str, remember: int = 400_000, keep: int = 200_000):
+        self.tokenizer, self.remember, self.keep = _tokenizer(path), remember, keep
         self.model = self.tokenizer.model
-        self.remember, self.most_young = remember, young
-        self.known: dict[str, list[int]] = {"": []}
-        self.young: dict[str, list[int]] = {}
-        self.letters: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {}
-        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        others = [b for b in range(256) if b not in printable]
-        self.alphabet = str.maketrans({b: chr(256 + i) for i, b in enumerate(others)})
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.young) > self.most_young:
-            self.young, self.letters = {}, {}
-        young, known, letters, tails, odd = self.young, self.known, self.letters, self.tails, []
-        room = self.remember - len(known)
-        for w in words:
-            if (ids := young.get(w)) is not None:
-                if room > 0:
-                    known[w] = young.pop(w)
-                    room -= 1
-                continue
-            core = w.rstrip(self._PUNCTUATION)
-            if not core.isalpha() or not (core.isascii() or max(core) < "\u0130"):
-                odd.append(w)
-                continue
-            core = core.lower()
-            if (ids := letters.get(core)) is None:
-                ids = letters[core] = [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.alphabet))]
-            if len(core) < len(w):
-                tail = w[len(core) :]
-                if tail not in tails:
-                    tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
-                ids = ids + tails[tail]
-            young[w] = ids
-        if odd:
-            young.update(zip(odd, (e.ids for e in self.tokenizer.encode_batch(odd, add_special_tokens=False))))
-        if len(tails) > 10_000:
-            tails.clear()
+        self.ids, self.made = NumberedIds(), []
+
+    def _forget(self) -> None:
+        kept = {word: number for word, number in self.items() if number < self.keep}
+        self.clear()
+        self.update(kept)
+        self.ids.forget(self.keep)
+
+    def __missing__(self, word: str) -> int:
+        if word.isascii() and _SPECIAL not in word:
+            low = word.lower()
+            if low != word:
+                number = self[word] = self[low]
+                return number
+            core = word.rstrip(_STOPS)
+            if len(core) < len(word) and core.isalpha():
+                return self._number(word, (self[core], self[word[len(core) :]]))
+        return self._number(word, word)
+
+    def _number(self, word: str, made_of) -> int:
+        number = self[word] = len(self.ids.lengths) + len(self.made)
+        self.made.append(made_of)
+        return number
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        letters = [w.isascii() and w.isalpha() for w in words]  # in lower case: __missing__ sees to that
+        others = iter(self.tokenizer.encode_batch_fast([w for w, own in zip(words, letters) if not own], add_special_tokens=False))
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(w)] if own else next(others).ids for w, own in zip(words, letters)]
+
+    def _learn(self) -> None:
+        encoded = iter(self._encoded([m for m in self.made if isinstance(m, str)]))
+        before, new = len(self.ids.lengths), []
+        of = lambda n: new[n - before] if n >= before else self.ids.flat[(at := self.ids.starts[n]) : at + self.ids.lengths[n]].tolist()
+        for m in self.made:
+            new.append(next(encoded) if isinstance(m, str) else [*of(m[0]), *of(m[1])])
+        self.ids.add(np.fromiter(chain.from_iterable(new), np.int32), np.fromiter(map(len, new), np.int64, len(new)))
+        self.made = []
+
+    def encode_flat(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's end."""
+        if len(self) > self.remember:
+            self._forget()
+        numbers, ends = array("i"), [0]
+        for text in texts:
+            text = text or ""
+            words = text.split() if not any(c in text for c in _NO_SPACE) else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            numbers.extend(map(self.__getitem__, words))
+            ends.append(len(numbers))
+        if self.made:
+            self._learn()
+        ids, upto = self.ids.of(np.array(numbers, np.int32))
+        return ids, np.concatenate([[0], upto])[ends[1:]]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        words = [t.split() if not any(c in t for c in _NO_SPACE) else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, w)) for w in words]
-        unknown = [i for i, f in enumerate(found) if None in f]
-        gaps = {i: [j for j, x in enumerate(found[i]) if x is None] for i in unknown}
-        missing = {words[i][j] for i in unknown for j in gaps[i]}
-        if missing:
-            self._learn(missing)
-            for i in unknown:
-                for j in gaps[i]:
-                    w = words[i][j]
-                    found[i][j] = self.known[w] if w in self.known else self.young[w]
-        return [list(chain.from_iterable(f)) for f in found]
-
-
-@contextmanager
-def _no_cycles() -> Iterator[None]:
-    """Without searches for garbage cycles: words' ids are hundreds of thousands of lists, and none refers back."""
-    on = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if on:
-            gc.enable()
+        ids, ends = self.encode_flat(texts)
+        return _cut(ids.tolist(), ends.tolist())
 
 
 @lru_cache(maxsize=1)
 def worker_encoder(path: str) -> WordEncoder:
-    """One encoder for a worker, with what it remembers, for all of its tasks."""
+    """One encoder for a worker, with the words that it knows, for all of its tasks."""
     return WordEncoder(path)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", *, layout: Layout = Layout(), rows_at_once: int = 256) -> None:
+def _cut(ids: list[int], ends: list[int]) -> list[list[int]]:
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Rows from and to, in runs of up to about ``most`` bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        last = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield at, last
+        at = last
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", *, layout: Layout = Layout(), bytes_at_once: int = 4 << 20) -> None:
     """Writes SCHEMA for all rows of ``docs``: their whole texts' ids and ``end_id`` behind them.
 
     Rows are dealt to shards by range of their id (null first; equal ids by a hash of the text), and sorted in
     them; shard and place in the shard give the order over all files. Sorting moves each text once.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, len(batch), rows_at_once):
-                part = batch.iloc[at : at + rows_at_once]
-                with _no_cycles():
-                    ids = [np.array([*x, end_id], np.int32) for x in encoder.encode([t or "" for t in part["text"]])]
-                counts = np.array([len(x) for x in ids], np.int64)
-                starts = start + np.concatenate([[0], np.cumsum(counts)[:-1]])
-                start += int(counts.sum())
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "shard": shard, "start_in_shard": starts, "n_tokens": counts, "ids": ids})
-
+            for a, b in _runs(batch.column("text"), bytes_at_once):
+                ids, ends = encoder.encode_flat(t.as_py() for t in batch.column("text").slice(a, b - a))
+                ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                begins = np.concatenate([[0], ends[:-1]])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(a, b - a), pa.array(np.full(b - a, shard, np.int32)), pa.array(start + begins), pa.array((ends - begins).astype(np.int32)),
+                    lists([0, *ends], pa.array(ids)),
+                ], ["doc_id", "shard", "start_in_shard", "n_tokens", "ids"])
+                start += int(ends[-1])
+
+    text_batches(docs.sparkSession)
     order = ["doc_id", "text_hash"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    rows.mapInPandas(encode, SCHEMA).write.options(**layout.options()).parquet(path)
+    rows.mapInArrow(encode, SCHEMA).write.options(**layout.options()).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -177,9 +193,11 @@ def document_tokens(spark: SparkSession, path: str, first: int, last: int) -> Da
 def ids_crc32(ids: Column) -> Column:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
 
-    @F.pandas_udf("long")
-    def of(rows: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(r, dtype="<u4").tobytes()) for r in rows], dtype="int64")
+    @F.arrow_udf("long")
+    def of(rows: pa.Array) -> pa.Array:
+        values, offsets = list_parts(rows)
+        values = values.to_numpy(zero_copy_only=False).astype("<u4")
+        return pa.array([zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.int64())
 
     return of(ids)
 
