@@ -13,11 +13,13 @@ def fold_of(id_col: Column, folds: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(doc_id, text, label) of about ``rows`` labelled documents at most, drawn by a hash of the id.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, keep: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, text, label) of about ``rows`` labelled documents at most, drawn by a hash of the id. ``id_col`` and ``text_col`` are those of ``docs``.
 
     ``keep``, of the id column, says which rows may be learned from. Labels that are null or contradict each
-    other for one id are left out; a document that occurs more than once counts once. The labels
+    other for one id are left out; a document that occurs more than once counts once, with the least of its texts. The labels
     drawn are a few bytes a row, so their table may be broadcast.
     """
     given = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -28,4 +30,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, k
     if total > rows:
         given = given.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
     drawn = F.broadcast(given.select("doc_id", F.col("label").cast("int").alias("label")))
-    return docs.select("doc_id", "text").join(drawn, "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(drawn, "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import fold_of, labelled_sample
+from tessera.llm.shared import staged, text_batches
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,10 +29,10 @@ class Grams:
     def _shape(word: bytes) -> bytes:
         """Kind of each character, runs joined: A upper, a lower, 9 digit, w beyond ASCII, others as they are."""
         out = bytearray()
-        for kind in word.translate(_KINDS)[:24]:
+        for kind in word.translate(_KINDS):
             if not out or out[-1] != kind:
                 out.append(kind)
-        return b"\x00" + bytes(out[:8])
+        return b"\x00" + bytes(out)
 
     def _hashes(self, word: bytes) -> tuple[int, int]:
         if (found := self.known.get(word)) is None:
@@ -157,28 +158,30 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int, *, cost: float = 1.0,
     return NbSvm(w.astype(np.float32), float(bias), *_platt(margin, y), bits)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, train_rows: int = 10_000, bits: int = 18, most_indicators: int = 20_000_000) -> NbSvm:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 5, held_out: int = 0,
+    train_rows: int = 10_000, bits: int = 18, most_indicators: int = 20_000_000,
+) -> NbSvm:
     """The model of ``quality`` from labelled documents outside the held-out fold.
 
-    About ``train_rows`` of them at most; of their indicators (numbers only, made in Spark) at most
-    ``most_indicators`` reach the driver, which bounds it whatever the lengths of texts.
+    About ``train_rows`` of them at most, and so many, in the order of a hash of their ids, that they have ``most_indicators`` indicators at most. Indicators
+    are made and staged in Spark; the driver first takes two numbers of each row, to find where to stop, and then four bytes
+    an indicator, which bounds it whatever the lengths of texts.
     """
-    sample = labelled_sample(docs, labels, "quality", train_rows, lambda i: fold_of(i, folds) != held_out)
+    text_batches(docs.sparkSession)
+    sample = labelled_sample(docs, labels, "quality", train_rows, lambda i: fold_of(i, folds) != held_out, id_col, text_col)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def indicators(texts: pd.Series) -> pd.Series:
         grams = Grams(bits)
-        return pd.Series([grams.of(t).astype(np.int32) for t in texts])
+        return pd.Series([grams.of(t).astype("<i4").tobytes() for t in texts])
 
-    made = sample.select("doc_id", "label", indicators("text").alias("x"))
-    rows, y, total = [], [], 0
-    for row in sorted(made.toLocalIterator(), key=lambda r: r["doc_id"]):
-        total += len(row["x"])
-        if total > most_indicators:
-            break
-        rows.append(np.array(row["x"], dtype=np.int64))
-        y.append(row["label"])
-    return fit(rows, np.array(y, dtype=float), bits)
+    made = staged(sample.select(F.xxhash64(F.lit("train"), "doc_id").alias("draw"), "label", indicators("text").alias("x")), "quality-train")
+    sizes = made.select("draw", (F.octet_length("x") / 4).cast("long").alias("n")).toPandas().sort_values("draw")
+    within = sizes[sizes["n"].cumsum() <= most_indicators]
+    chosen = made.where(F.col("draw") <= int(within["draw"].max())) if len(within) else made.where("draw is null")
+    taken = sorted((r["draw"], r["label"], bytes(r["x"])) for r in chosen.toLocalIterator())
+    return fit([np.frombuffer(x, "<i4").astype(np.int64) for _, _, x in taken], np.array([label for _, label, _ in taken], dtype=float), bits)
 
 
 def quality_score(model: NbSvm, text: Column) -> Column:
@@ -200,6 +203,6 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     indicator. A null id is in no fold (held_out is null). Repeated rows keep a row each; other columns
     are not read. Without usable labels all scores are 0.5. An empty input gives an empty result.
     """
-    model = fit_quality(docs, labels, folds=folds, held_out=held_out)
+    model = fit_quality(docs, labels, id_col, text_col, folds=folds, held_out=held_out)
     scored = docs.select(F.col(id_col), (fold_of(F.col(id_col), folds) == held_out).alias("held_out"), quality_score(model, F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

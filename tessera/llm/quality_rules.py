@@ -33,13 +33,13 @@ def features(stats: np.ndarray) -> np.ndarray:
     ], axis=1)
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000) -> Trees:
+def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, train_rows: int = 20_000) -> Trees:
     """Trees fitted to ``quality`` on the statistics of about ``train_rows`` labelled documents at most.
 
     The statistics are taken in Spark; what reaches the driver is a few numbers for each document of the sample.
     """
     text_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "quality", train_rows)
+    sample = labelled_sample(docs, labels, "quality", train_rows, None, id_col, text_col)
     of = _stats_udf()
     rows = sample.select("doc_id", "label", of("text").alias("s")).select("doc_id", "label", "s.*").toPandas().sort_values("doc_id")
     return fit_trees(features(rows[list(_STATS)].to_numpy()), rows["label"].to_numpy(float), tuple(FEATURES.values()))
@@ -80,13 +80,13 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     read. Without usable labels the trees give every document the same score, 0.5, and the rules alone decide.
     An empty input gives an empty result.
     """
-    trees = fit_rules(docs, labels)
+    trees = fit_rules(docs, labels, id_col, text_col)
     judged = docs.select(id_col, quality_rules(trees, F.col(text_col), **options).alias("q"))
     return judged.select(id_col, *(f"q.{c}" for c in (*BASE, "base_failed", "kept", "score")))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns as they were."""
-    trees = fit_rules(docs, labels)
-    judged = docs.select(F.struct(*docs.columns).alias("row"), quality_rules(trees, F.col("text"), **options).alias("rules"))
+    trees = fit_rules(docs, labels, id_col, text_col)
+    judged = docs.select(F.struct(*docs.columns).alias("row"), quality_rules(trees, F.col(text_col), **options).alias("rules"))
     return judged.where(F.col("rules.kept")).select("row.*")
