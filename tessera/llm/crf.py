@@ -63,12 +63,19 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, chain: Chain) ->
     return forward, backward
 
 
-def marginals(sequences: list[np.ndarray], chain: Chain, together: int = 256) -> list[np.ndarray]:
-    """Log-odds of each token's marginal, for emissions of several sequences; like lengths are run together."""
+def marginals(sequences: list[np.ndarray], chain: Chain, together: int = 256, most_cells: int = 1 << 19) -> list[np.ndarray]:
+    """Log-odds of each token's marginal, for emissions of several sequences.
+
+    Like lengths are run together, so many that they have ``most_cells`` places at most when padded; a longer one runs alone.
+    """
     out: list[np.ndarray] = [np.zeros(0)] * len(sequences)
     order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-    for at in range(0, len(order), together):
-        ids = order[at : at + together]
+    at = 0
+    while at < len(order):
+        last = at + 1
+        while last < min(len(order), at + together) and (last + 1 - at) * len(sequences[order[last]]) <= most_cells:
+            last += 1
+        ids, at = order[at:last], last
         emission, lengths = _pad([sequences[i] for i in ids])
         forward, backward = forward_backward(emission, lengths, chain)
         both = forward + backward

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.crf import Chain, fit_chain, marginals, plain, word_features
 from tessera.llm.labelled import fold_of, labelled_sample
-from tessera.llm.shared import staged
+from tessera.llm.shared import staged, text_batches
 
 #: Whole words, and prefixes of these lengths, are weighed as signs of a toxic document.
 SIGN_PREFIXES = (5, 6, 7, 8, 9)
@@ -67,7 +69,7 @@ def tagged_windows(sample: DataFrame, signs: set[bytes], window: int = WINDOW) -
     return [([bytes(w) for w in r["words"]], list(r["tags"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-def _windows(doc_id: int, text: str | None, label: int, signs: set[bytes], window: int) -> list[dict]:
+def _windows(doc_id, text: str | None, label: int, signs: set[bytes], window: int) -> list[dict]:
     words = [plain(w) for w in (text or "").encode().split()]
     tags = [int(bool(label) and bool(w) and any(s in signs for s in _signs(w))) for w in words]
     starts = []
@@ -75,7 +77,7 @@ def _windows(doc_id: int, text: str | None, label: int, signs: set[bytes], windo
         if len(starts) < _WINDOWS_A_TEXT - 1 and (not starts or i >= starts[-1] + 2 * window):
             starts.append(max(0, i - window))
     if words and not label:
-        starts += [(doc_id * 2654435761 + k * 40503) % len(words) for k in range(2)]
+        starts += [xxhash.xxh64_intdigest(str(doc_id), k) % len(words) for k in range(2)]
     return [{"words": words[s : s + 2 * window + 1], "tags": tags[s : s + 2 * window + 1]} for s in starts]
 
 
@@ -139,14 +141,15 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 60)
     return tuple(map(float, w))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, train_rows: int = 8_000, bits: int = 18) -> Toxicity:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 4, held_out: int = 2, train_rows: int = 8_000, bits: int = 18) -> Toxicity:
     """Chain and curve from labelled documents outside the held-out fold, about ``train_rows`` at most.
 
     Labels are of documents, so tokens are labelled first: those with a sign, in toxic documents. Three in four documents
     teach signs and chain; all set the curve, from marginals that the chain gives them.
     What reaches the driver are signs, short windows, and two numbers a document.
     """
-    sample = staged(labelled_sample(docs, labels, "toxic", train_rows, lambda i: fold_of(i, folds) != held_out), "toxic-sample")
+    text_batches(docs.sparkSession)
+    sample = staged(labelled_sample(docs, labels, "toxic", train_rows, lambda i: fold_of(i, folds) != held_out, id_col, text_col), "toxic-sample")
     teach = sample.where(F.pmod(F.xxhash64(F.lit("teach"), "doc_id"), F.lit(4)) > 0)
     windows = tagged_windows(teach, learn_signs(teach))
     chain = fit_chain(windows, bits)
@@ -158,57 +161,58 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out
     return Toxicity(chain, _fit_curve(rows[["largest", "expected"]].to_numpy(float), y))
 
 
-def tag_documents(model: Toxicity, text: Column) -> Column:
-    """For each text: score (0 to 1), largest (log-odds of the largest marginal), expected (log of 1 plus the expected toxic tokens)."""
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+_SPAN = "start:int, end:int, text:string, probability:double"
 
-    @F.pandas_udf("score double, largest double, expected double")
+
+def _spans(text: str, odds: np.ndarray, least: float) -> list[dict]:
+    """Runs of tokens whose marginal is ``least`` or more; the text is searched for its words only if there are any."""
+    over = np.flatnonzero(odds >= np.log(least / (1 - least)))
+    if not len(over):
+        return []
+    words, out, last = list(_WORDS.finditer(text)), [], -2
+    for i in over.tolist():
+        p = float(1 / (1 + np.exp(-min(odds[i], 30.0))))
+        if i == last + 1:
+            out[-1] |= {"end": words[i].end(), "probability": max(out[-1]["probability"], p)}
+        else:
+            out.append({"start": words[i].start(), "end": words[i].end(), "probability": p})
+        last = i
+    return [s | {"text": text[s["start"] : s["end"]]} for s in out]
+
+
+def tag_documents(model: Toxicity, text: Column, least: float = 0.5) -> Column:
+    """For each text: score (0 to 1), largest (log-odds of the largest marginal), expected (log of 1 plus the expected toxic tokens), and spans.
+
+    spans: an array of (start, end, text, probability), runs of tokens whose marginal is ``least`` or more. Offsets count
+    code points; a run's probability is its largest marginal.
+    """
+
+    @F.pandas_udf(f"score double, largest double, expected double, spans array<struct<{_SPAN}>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        tagger = Tagger(model.chain)
-        odds = marginals([tagger.emissions((t or "").encode().split()) for t in texts], model.chain)
+        tagger, texts = Tagger(model.chain), [t or "" for t in texts]
+        odds = marginals([tagger.emissions(t.encode().split()) for t in texts], model.chain)
         x = np.array([_summary(o) for o in odds]).reshape(-1, 2)
         offset, largest, expected = model.curve
         score = 1 / (1 + np.exp(-np.clip(offset + largest * x[:, 0] + expected * x[:, 1], -30, 30)))
-        return pd.DataFrame({"score": score, "largest": x[:, 0], "expected": x[:, 1]})
+        return pd.DataFrame({"score": score, "largest": x[:, 0], "expected": x[:, 1], "spans": [_spans(t, o, least) for t, o in zip(texts, odds)]})
 
     return of(text)
 
 
 def toxic_spans(model: Toxicity, text: Column, least: float = 0.5) -> Column:
-    """For each text an array of (start, end, text, probability): runs of tokens whose marginal is ``least`` or more.
-
-    Offsets count code points; a run's probability is its largest marginal.
-    """
-    import re
-
-    words = re.compile(r"[^\x20\x09-\x0D]+")
-
-    @F.pandas_udf("array<struct<start:int, end:int, text:string, probability:double>>")
-    def of(texts: pd.Series) -> pd.Series:
-        tagger = Tagger(model.chain)
-        found = [list(words.finditer(t or "")) for t in texts]
-        odds = marginals([tagger.emissions([m[0].encode() for m in f]) for f in found], model.chain)
-        out = []
-        for t, f, o in zip(texts, found, odds):
-            p, spans = 1 / (1 + np.exp(-np.clip(o, -30, 30))), []
-            for i in np.flatnonzero(p >= least).tolist():
-                if spans and spans[-1]["last"] == i - 1:
-                    spans[-1] |= {"end": f[i].end(), "last": i, "probability": max(spans[-1]["probability"], float(p[i]))}
-                else:
-                    spans.append({"start": f[i].start(), "end": f[i].end(), "last": i, "probability": float(p[i])})
-            out.append([{"start": s["start"], "end": s["end"], "text": t[s["start"] : s["end"]], "probability": s["probability"]} for s in spans])
-        return pd.Series(out)
-
-    return of(text)
+    """The spans of ``tag_documents``."""
+    return tag_documents(model, text, least)["spans"]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
-    """One row for each row of ``docs``: (``id_col``, held_out, score, predicted).
+    """One row for each row of ``docs``: (``id_col``, held_out, score, predicted, spans: the offending places, see ``tag_documents``).
 
     Fitted on labels outside the fold ``held_out`` of crc32(id as text) modulo ``folds``; id, language, source and
     labels are no inputs of a score. Null, empty and blank texts get the score of a document without any
-    token. A null id is in no fold (held_out is null). Repeated rows keep a row each; other columns are not
+    token, and no spans. A null id is in no fold (held_out is null). Repeated rows keep a row each; other columns are not
     read. Without usable labels all scores are 0.5. An empty input gives an empty result.
     """
-    model = fit_toxicity(docs, labels, folds=folds, held_out=held_out)
-    scored = docs.select(F.col(id_col), (fold_of(F.col(id_col), folds) == held_out).alias("held_out"), tag_documents(model, F.col(text_col))["score"].alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    model = fit_toxicity(docs, labels, id_col, text_col, folds=folds, held_out=held_out)
+    scored = docs.select(F.col(id_col), (fold_of(F.col(id_col), folds) == held_out).alias("held_out"), tag_documents(model, F.col(text_col)).alias("t"))
+    return scored.select(id_col, "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= threshold).cast("int").alias("predicted"), F.col("t.spans").alias("spans"))
