@@ -12,20 +12,25 @@ from tessera.llm.shared import staged, text_or_empty
 
 @dataclass(frozen=True)
 class Boilerplate:
-    """A line of ``least_words`` words or more on ``least_sites`` distinct sites or more is boilerplate.
+    """A line on ``least_sites`` distinct sites or more is boilerplate; one of fewer than ``short_words`` words, which may recur by chance, on ``short_sites``.
 
-    ``log_size``: sketches have 2 ** log_size registers, so their error is about 1.04 / 2 ** (log_size / 2), 1.6 % for 12.
+    Blank lines are none. ``log_size``: sketches have 2 ** log_size registers, so their error is about 1.04 / 2 ** (log_size / 2), 1.6 % for 12.
     ``doubt``: estimates within this share of the threshold (and 1) are replaced by exact counts.
     """
 
     least_sites: int = 3
-    least_words: int = 5
+    short_words: int = 5
+    short_sites: int = 6
     log_size: int = 12
     doubt: float = 0.1
 
-    def long_enough(self) -> str:
-        """Pattern of a line with ``least_words`` words; it stops there."""
-        return r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (self.least_words - 1)
+    def sites_for(self, line: Column) -> Column:
+        """How many distinct sites make this line boilerplate. The pattern is one of a line with ``short_words`` words, and stops there."""
+        words = r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (self.short_words - 1)
+        return F.when(F.rlike(line, F.lit(words)), self.least_sites).otherwise(self.short_sites)
+
+
+_NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def _line_key(line: Column) -> Column:
@@ -34,24 +39,24 @@ def _line_key(line: Column) -> Column:
 
 
 def shared_lines(occurrences: DataFrame, rule: Boilerplate) -> DataFrame:
-    """(key, first_id) of boilerplate among ``occurrences`` (id, site, key: one row for each line of a document).
+    """(key, first_id) of boilerplate among ``occurrences`` (id, site, key, need: a row for each line of a document, and the sites that make it boilerplate).
 
     HyperLogLog sketches of the sites are merged for each line, from partial ones, so a line on any number of
     rows is a few bytes when it is shuffled. A line whose estimate is near the threshold is counted exactly; only
     these lines' rows are read again. A null site is no site.
     """
     spread = staged(
-        occurrences.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("first_id"), F.hll_sketch_agg("site", F.lit(rule.log_size)).alias("sketch"))
-        .where(F.col("rows") >= rule.least_sites)
-        .select("key", "first_id", F.hll_sketch_estimate("sketch").alias("sites")),
+        occurrences.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("first_id"), F.first("need").alias("need"), F.hll_sketch_agg("site", F.lit(rule.log_size)).alias("sketch"))
+        .where("rows >= need")
+        .select("key", "first_id", "need", F.hll_sketch_estimate("sketch").alias("sites")),
         "line-spread",
     )
-    margin = max(1.0, rule.doubt * rule.least_sites)
-    doubtful = F.col("sites").between(rule.least_sites - margin, rule.least_sites + margin)
+    margin = F.greatest(F.lit(1.0), rule.doubt * F.col("need"))
+    doubtful = F.col("sites").between(F.col("need") - margin, F.col("need") + margin)
     near = spread.where(doubtful)
-    counted = occurrences.join(near.select("key"), "key").groupBy("key").agg(F.countDistinct("site").alias("exact")).where(F.col("exact") >= rule.least_sites)
-    certain = spread.where(~doubtful & (F.col("sites") > rule.least_sites)).select("key", "first_id")
-    return certain.unionByName(near.join(counted, "key").select("key", "first_id"))
+    counted = occurrences.join(near.select("key"), "key").groupBy("key").agg(F.countDistinct("site").alias("exact"), F.first("need").alias("enough")).where("exact >= enough")
+    certain = spread.where(~doubtful & (F.col("sites") > F.col("need"))).select("key", "first_id")
+    return certain.unionByName(near.join(counted.select("key"), "key").select("key", "first_id"))
 
 
 def remove_boilerplate(docs: DataFrame, rule: Boilerplate = Boilerplate(), id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -66,10 +71,10 @@ def remove_boilerplate(docs: DataFrame, rule: Boilerplate = Boilerplate(), id_co
     stay as they are. An empty input gives an empty result.
     """
     lines = F.split(text_or_empty(text_col), "\n", -1)
-    long_lines = F.filter(lines, lambda line: F.rlike(line, F.lit(rule.long_enough())))
-    occurrences = staged(
-        docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(F.array_distinct(F.transform(long_lines, _line_key))).alias("key")), "lines"
-    )
+    filled = F.filter(lines, lambda line: F.rlike(line, F.lit(_NOT_BLANK)))
+    judged = F.array_distinct(F.transform(filled, lambda line: F.struct(_line_key(line).alias("key"), rule.sites_for(line).alias("need"))))
+    occurrences = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(judged).alias("line"))
+    occurrences = staged(occurrences.select("id", "site", "line.key", "line.need"), "lines")
     shared = staged(shared_lines(occurrences, rule), "boilerplate")
     lose = (
         occurrences.join(shared, "key").where(~F.col("id").eqNullSafe(F.col("first_id")))
@@ -91,8 +96,9 @@ with lines as (
   select distinct doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents
 ), shared as (
   select line, min(doc_id) as first_id from lines
-  where regexp_matches(line, '^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]')
-  group by line having count(distinct source) >= 3
+  where regexp_matches(line, '[^\x20\x09-\x0D]')
+  group by line
+  having count(distinct source) >= case when regexp_matches(line, '^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]') then 3 else 6 end
 ), lose as (
   select l.doc_id, list(distinct l.line) as lose from lines l join shared s on l.line = s.line where l.doc_id <> s.first_id group by l.doc_id
 ), kept as (
