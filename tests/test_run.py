@@ -173,3 +173,16 @@ def test_importances_and_hold_out(spark):
     assert [r.place for r in out] == [1, 2, 3] and out[0].feature == "good" and out[0].importance > 0.5
     held = classify.hold_out(rows, "id", ["good"], trees=5, depth=3).first()
     assert held.n > 40 and held.accuracy == 1.0
+
+
+def test_streams_of_counts(spark, tmp_path):
+    from tessera.streaming import drop_folder
+
+    rows = [("a", f"2024-01-01 00:0{i}:00", i % 3 + 1) for i in range(6)]
+    frame = spark.createDataFrame(rows, "image_id string, t string, cls int").withColumn("t", F.to_timestamp("t"))
+    assert tuple(drop_folder.count_classes(frame, ["image_id"]).first()) == ("a", 2, 2, 2, 0, 0)
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = drop_folder.watch(spark, str(tmp_path / "in"), "image_id string, t timestamp, cls int")
+    counts = drop_folder.windowed_counts(stream, "t", "2 minutes", "1 minute", ["image_id"]).select("image_id", F.col("window.start").alias("start"), "n")
+    drop_folder.run_available(counts, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
+    assert {r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()} <= {2}
