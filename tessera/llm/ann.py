@@ -139,7 +139,8 @@ def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int, index: Index | No
             reps += part["rep"].tolist()
             best += _best_rows(scores, ids, first, single, k)
     hit = [i for i, (found, _) in enumerate(best) if len(found)]
-    return pd.DataFrame({"rep": np.array([reps[i] for i in hit], np.int64), "ids": [best[i][0] for i in hit], "scores": [best[i][1] for i in hit]})
+    lists = lambda side: pd.Series([best[i][side] for i in hit], dtype=object)  # noqa: E731  of that type without any, too
+    return pd.DataFrame({"rep": np.array([reps[i] for i in hit], np.int64), "ids": lists(0), "scores": lists(1)})
 
 
 def _merge(group: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -162,8 +163,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     ``is_query``, over the columns of ``vectors``, says which rows are queries; all rows are indexed. Equal vectors are
     one point with the k + 1 smallest of their ids, which no result can go beyond. Points go, with each table's
-    key, to a part of that table's buckets, and queries to the parts that hold buckets which they probe; parts with
-    many points are dealt to several tasks, each of which gets the part's queries. Every visited point's exact inner
+    key, to a part of that table's buckets, and queries to the parts that hold buckets which they probe; the points and queries of a
+    part are dealt to shares of a bounded size, and every two shares meet in a task. Every visited point's exact inner
     product is taken, in double precision; a task passes on its k + 1 best for a query, and these are merged.
     A query with fewer than k found is compared with all points, in blocks.
 
@@ -208,24 +209,30 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return of
 
     placed = points.mapInPandas(spread("points"), "vector array<double>, ids array<long>, tab int, part long, key long")
-    sent = asked.mapInPandas(spread("asked"), "vector array<double>, rep long, tab int, part long")
-    placed = staged(placed, "ann-placed")
-    sizes = placed.groupBy("tab", "part").agg(F.ceil(F.count("*") / F.lit(4.0 * index.part_rows)).cast("int").alias("shares"))
-    placed = placed.join(sizes, ["tab", "part"]).withColumn("share", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.col("shares")).cast("int")).drop("shares")
-    sent = sent.join(sizes, ["tab", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    sent = asked.repartition(spread_width(spark), "rep").mapInPandas(spread("asked"), "vector array<double>, rep long, tab int, part long")
+    placed, sent = staged(placed, "ann-placed"), staged(sent, "ann-sent")
+    most = F.lit(4.0 * index.part_rows)
+    in_tasks = lambda rows, out: rows.groupBy("tab", "part").agg(F.ceil(F.count("*") / most).cast("int").alias(out))
+    sizes = in_tasks(placed, "shares").join(in_tasks(sent, "query_shares"), ["tab", "part"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    # a part's points and queries are dealt to shares each, and every two shares meet in a task
+    placed = placed.join(sizes, ["tab", "part"]).withColumn("share", deal(F.get("ids", F.lit(0)), "shares")).withColumn("query_share", every("query_shares")).drop("shares", "query_shares")
+    sent = sent.join(sizes, ["tab", "part"]).withColumn("query_share", deal("rep", "query_shares")).withColumn("share", every("shares")).drop("shares", "query_shares")
     result = "rep long, ids array<long>, scores array<double>"
-    group = ["tab", "part", "share"]
+    group = ["tab", "part", "share", "query_share"]
     found = placed.groupBy(*group).cogroup(sent.groupBy(*group)).applyInPandas(lambda a, b: _search(a, b, k + 1, index), result)
-    deal = F.pmod(F.xxhash64("rep"), F.lit(max(parts, spread_width(spark))))
-    merge = lambda hits: hits.groupBy(deal).applyInPandas(lambda g: _merge(g, k + 1), "rep long, vec_id long, score double")
+    bucket = F.pmod(F.xxhash64("rep"), F.lit(max(parts, spread_width(spark))))
+    merge = lambda hits: hits.groupBy(bucket).applyInPandas(lambda g: _merge(g, k + 1), "rep long, vec_id long, score double")
     merged = staged(merge(found), "ann-found")
     enough = merged.groupBy("rep").count().where(F.col("count") > k).select("rep")
     short = staged(asked.join(enough, "rep", "left_anti"), "ann-short")
     if not short.isEmpty():
         block = F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(parts)).cast("int")
-        blocks = points.withColumn("block", block)
-        everywhere = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        exact = blocks.groupBy("block").cogroup(everywhere.groupBy("block")).applyInPandas(lambda a, b: _search(a, b, k + 1, None), result)
+        runs = max(1, -(-short.count() // (4 * index.part_rows)))
+        blocks = points.withColumn("block", block).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+        everywhere = short.withColumn("run", F.pmod(F.xxhash64("rep"), F.lit(runs)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        exact = blocks.groupBy("block", "run").cogroup(everywhere.groupBy("block", "run")).applyInPandas(lambda a, b: _search(a, b, k + 1, None), result)
         merged = merged.join(short.select("rep"), "rep", "left_anti").unionByName(merge(exact))
     queries = rows.where("query").select("vec_id", "vector").distinct().join(asked, "vector").select(F.col("vec_id").alias("query_id"), "rep")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
