@@ -53,3 +53,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = hop.select(F.col("node").alias("root"), F.col("root").alias("next"))
         found = found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return found
+
+
+def joined_components(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``parts`` (node, root), as ``connected_components`` gives them, with further ``edges`` (u, v): edges are taken between parts, of which there are fewer."""
+    root = lambda end: parts.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    placed = edges.join(root("u"), "u", "left").join(root("v"), "v", "left").select("u", "v", F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b"))
+    placed = staged(placed, "edges-of-parts")
+    joined = connected_components(placed.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+    ends = placed.select(F.col("u").alias("node"), F.col("a").alias("root")).unionByName(placed.select(F.col("v").alias("node"), F.col("b").alias("root")))
+    return parts.unionByName(ends).distinct().join(joined, "root", "left").select("node", F.coalesce("joined", "root").alias("root"))

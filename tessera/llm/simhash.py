@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -11,12 +12,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
-from tessera.llm.prefix import default_buckets
-from tessera.llm.shared import keep_last_staged, staged, staged_so_far, text_batches
+from tessera.llm.components import connected_components, joined_components
+from tessera.llm.prefix import spread_width
+from tessera.llm.shared import forget, keep_last_staged, staged, staged_so_far, text_batches
 
 BITS = 64
 _CHUNK = 1 << 16
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fingerprint(text: str | None, shingle_words: int) -> int:
@@ -105,7 +107,7 @@ def hamming_links(prints: DataFrame, max_distance: int = 2, blocks: int = 4, buc
         for i, m in enumerate(block_masks(max_distance, blocks))
     ]))
     # a few MB of fingerprints become many keys: dealt out first, or a task or two would make them all
-    keyed = prints.repartition(default_buckets(prints.sparkSession), "fp").select("fp", keys.alias("k")).select("fp", "k.choice", "k.key")
+    keyed = prints.repartition(spread_width(prints.sparkSession), "fp").select("fp", keys.alias("k")).select("fp", "k.choice", "k.key")
     sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("members")).where("members > 1")
     shared = staged(keyed.join(sizes, ["choice", "key"]), "simhash-buckets")
     close = hamming("u", "v") <= max_distance
@@ -124,21 +126,35 @@ def hamming_links(prints: DataFrame, max_distance: int = 2, blocks: int = 4, buc
     return pairs.unionByName(far).where("u <> v").distinct()
 
 
-def _words_and_shingles(text: str | None, shingle_words: int) -> tuple[int, str, np.ndarray]:
-    """Fingerprint of the distinct words, a hash of the text, and the hashes of its different shingles in order."""
+def _runs(text: str | None, shingle_words: int) -> tuple[str, np.ndarray]:
+    """A hash of the text in lower case (A-Z) and without its white space, and 64-bit hashes of its runs of words, repeats included.
+
+    A run's hash is mixed from its words' hashes, so each word is hashed once; all words are one run, if they are fewer.
+    """
     words = text.encode().lower().split() if text else []
-    digest = xxhash.xxh64_intdigest
     if not words:
-        return 0, "", np.zeros(0, np.int64)
-    kinds = np.array([digest(w, 42) for w in set(words)], dtype="<u8")
-    ones = sum(
-        (np.unpackbits(kinds[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(kinds), _CHUNK)),
-        np.zeros(BITS, np.int64),
-    )
-    runs = {b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))}
-    shingles = np.unique(np.array([digest(r, 42) for r in runs], dtype=np.uint64).view(np.int64))
-    fp = int(np.packbits(2 * ones > len(kinds), bitorder="little").view("<i8")[0])
-    return fp, xxhash.xxh128_hexdigest(b" ".join(words)), shingles
+        return "", np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(shingle_words, len(words))
+    count = len(words) - width + 1
+    mixed = np.full(count, width, np.uint64)
+    for i in range(width):
+        mixed = (mixed ^ hashes[i : i + count]) * _ODD
+        mixed ^= mixed >> np.uint64(29)
+    return xxhash.xxh128_hexdigest(b" ".join(words)), mixed
+
+
+def _different(runs: np.ndarray) -> np.ndarray:
+    """Hashes once each, as signed longs in order."""
+    return np.unique(runs.view(np.int64))
+
+
+def _majority_bits(hashes: np.ndarray) -> int:
+    """SimHash of hashes, as a signed long: bits that are set in over half."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, min_similarity: float) -> DataFrame:
@@ -149,100 +165,178 @@ def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, tex
 
     @F.pandas_udf("same string, shingles array<long>")
     def view(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_words_and_shingles(t, shingle_words)[1:] for t in texts], columns=["same", "shingles"])
+        rows = [_runs(t, shingle_words) for t in texts]
+        return pd.DataFrame({"same": [r[0] for r in rows], "shingles": [_different(r[1]) for r in rows]})
 
     pairs = staged(pairs.distinct(), "near-pairs")
     asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     needed = staged(texts.join(asked, "id").select("id", F.col("same").alias("wanted")), "near-needed")
     whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(needed, "id").select("id", "wanted", view("_text").alias("v")).select("id", "wanted", "v.*")
     # compared after it is staged: as part of the join, the comparison would have shingles made of all texts
-    whole = staged(whole, "near-shingles").where(F.col("same") == F.col("wanted")).dropDuplicates(["id", "same"]).select("id", "shingles")
+    made = staged(whole, "near-shingles")
+    whole = made.where(F.col("same") == F.col("wanted")).dropDuplicates(["id", "same"]).select("id", "shingles")
     sets = pairs.join(whole.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(whole.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
     sizes = sets.select("u", "v", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("total"))
-    return staged(sizes.where(F.col("both") >= min_similarity * (F.col("total") - F.col("both"))).select("u", "v"), "near-alike")
+    alike = staged(sizes.where(F.col("both") >= min_similarity * (F.col("total") - F.col("both"))).select("u", "v"), "near-alike")
+    forget(made)
+    return alike
 
 
-def _prefix(n: int, min_similarity: float) -> int:
-    """How many of its ``n`` shingles a text looks up: one more than it may lack and still be alike."""
-    return n - math.ceil(min_similarity * n - 1e-9) + 1 if n else 0
+@dataclass(frozen=True)
+class Prefix:
+    """Prefix filter (Chaudhuri, Ganti, Kaushik 2006): which of its shingles a text looks others up by.
 
-
-def _shared_probes(texts: DataFrame) -> DataFrame:
-    """(id, n, shingle, members, lead): the shingles that texts look up, where two texts or more look up the same.
-
-    A text looks up its first shingles in the order of their hashes, one more than it may lack. So two texts
-    alike share one that both look up (prefix filter: Chaudhuri, Ganti, Kaushik 2006). ``members``: rows with the shingle; ``lead``: that of the least id.
+    In any one order of all shingles, a text need look up one more than it may lack: two texts alike share one that both look up.
+    Shingles are ordered by hash, but those that more than ``crowd`` texts have go last, so a passage that many texts share brings no
+    two together that have other words enough. ``known``: what is kept of a text, its first shingles by hash, ``at_least`` of them or all, and
+    a quarter more than it looks up, to make up for crowded ones.
     """
-    bucket = Window.partitionBy("shingle")
-    rows = texts.select("id", "n", F.explode("probes").alias("shingle"))
-    counted = rows.withColumns({"members": F.count("*").over(bucket), "lead": F.min(F.struct("id", "n")).over(bucket)})
-    return staged(counted.where("members > 1"), "near-probes")
-
-
-def _in_reach(pairs: DataFrame, min_similarity: float) -> DataFrame:
-    """Different (u, v) of ``pairs`` (a row for each shingle that both look up, of u_n and v_n shingles) that can be alike by their number.
 
-    What two texts share and do not both look up lies behind the last lookup of the one that stops first: at most all that it has there.
-    """
-    counted = pairs.groupBy("u", "v", "u_n", "v_n").agg(F.count("*").alias("shared"))
-    behind = lambda n: F.ceil(F.col(n) * min_similarity - 1e-9) - 1
-    most = F.col("shared") + F.greatest(behind("u_n"), behind("v_n"))
-    return counted.where(F.least(most, "u_n", "v_n") * (1 + min_similarity) >= min_similarity * (F.col("u_n") + F.col("v_n")) - 1e-6).select("u", "v")
+    min_similarity: float
+    crowd: int = 64
+    at_least: int = 64
+
+    def lookups(self, n: Column) -> Column:
+        return (n - F.ceil(n * self.min_similarity - 1e-9) + 1).cast("int")
+
+    def known(self, n: Column) -> Column:
+        return F.least(n, F.greatest(F.lit(self.at_least), F.floor(self.lookups(n) * 1.25).cast("int")))
+
+    def kept(self, n: int) -> int:
+        return min(n, max(self.at_least, math.floor((n - math.ceil(n * self.min_similarity - 1e-9) + 1) * 1.25)))
+
+    def probes(self, rows: DataFrame, several: DataFrame) -> DataFrame:
+        """(shingle, id, n, by_hash, by_crowd, few) of ``rows`` (id, n, pos, shingle: texts' known shingles, from pos 0): the lookups.
+
+        A text looks up ``by_crowd`` in the order just said. ``few``: its known shingles are not enough for that (or its id, one of ``several``, has more texts than one); against such
+        a text others, and it itself, look up ``by_hash``, in plain order of hashes. So any two texts look up in one order.
+        """
+        members = rows.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1")
+        shared = staged(rows.join(members, "shingle").select("shingle", "id", "n", "pos", (F.col("members") > self.crowd).alias("crowded")), "near-shared")
+        text = Window.partitionBy("id", "n")
+        one = F.col("crowded").cast("int")
+        lookups, known, n = self.lookups(F.col("n")), self.known(F.col("n")), F.col("n")
+        marked = shared.join(several, "id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+        counted = marked.withColumns({"crowds": F.sum(one).over(text), "before": F.sum(one).over(text.orderBy("pos", "shingle")) - one})
+        few = F.col("several") | ((known < n) & (known - F.col("crowds") < lookups))
+        place = F.when(F.col("crowded"), known - F.col("crowds") + F.col("before")).otherwise(F.col("pos") - F.col("before"))
+        flagged = counted.select(
+            "shingle", "id", "n", (F.col("pos") < lookups).alias("by_hash"), (~few & (place < lookups) & (~F.col("crowded") | (known == n))).alias("by_crowd"), few.alias("few")
+        )
+        probes = staged(flagged.where("by_hash or by_crowd"), "near-probes")
+        forget(shared)
+        return probes
+
+    def _like_sized(self) -> Column:
+        return F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * self.min_similarity - 1e-6
+
+    def in_reach(self, pairs: DataFrame) -> DataFrame:
+        """Different (u, v) of ``pairs`` (a row for each shingle that both look up, of u_n and v_n shingles) that can be alike by their number.
+
+        What two texts share and do not both look up lies behind the last lookup of the one that stops first: at most all that it has there.
+        """
+        counted = pairs.groupBy("u", "v", "u_n", "v_n").agg(F.count("*").alias("shared"))
+        behind = lambda n: F.ceil(F.col(n) * self.min_similarity - 1e-9) - 1
+        most = F.col("shared") + F.greatest(behind("u_n"), behind("v_n"))
+        return counted.where(F.least(most, "u_n", "v_n") * (1 + self.min_similarity) >= self.min_similarity * (F.col("u_n") + F.col("v_n")) - 1e-6).select("u", "v")
+
+    def with_lead(self, probes: DataFrame) -> DataFrame:
+        """(u, v, u_n, v_n): each text with the one of least id that looks up the same shingle, in each of the two orders."""
+        found = []
+        for rows in (probes.where("by_crowd"), probes.where("few and by_hash")):
+            lead = rows.groupBy("shingle").agg(F.min(F.struct("id", "n")).alias("l")).select("shingle", "l.*")
+            met = lead.alias("a").join(rows.alias("b"), "shingle").where((F.col("a.id") < F.col("b.id")) & self._like_sized())
+            found.append(met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.col("a.n").alias("u_n"), F.col("b.n").alias("v_n")))
+        return found[0].unionByName(found[1])
+
+    def across(self, probes: DataFrame, parts: DataFrame, side: int) -> DataFrame:
+        """(u, v, u_n, v_n): pairs of texts that look up one shingle in one order, and are in different ``parts`` (id, root; others are alone)."""
+        placed = staged(probes.join(parts, "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root"), "near-placed")
+        few = placed.where("few and by_hash")
+        return self._across(placed.where("by_crowd"), side).unionByName(self._across(few, side)).unionByName(self._between(few, placed.where("by_hash and not few"), side))
+
+    def _across(self, rows: DataFrame, side: int) -> DataFrame:
+        """Pairs within ``rows``. Of the texts with a shingle, those outside its largest part meet all, dealt into groups of some
+        ``side``; so a crowd of copies that are one part costs nothing, and no task holds a crowd."""
+        counts = rows.groupBy("shingle", "part").agg(F.count("*").alias("texts"))
+        largest = counts.groupBy("shingle").agg(F.max(F.struct("texts", "part"))["part"].alias("major"), F.count("*").alias("parts"), F.sum("texts").alias("texts"))
+        split = rows.join(largest.where("parts > 1").drop("parts"), "shingle").select("shingle", "id", "n", "part", "major", F.ceil(F.col("texts") / F.lit(side)).cast("int").alias("groups"))
+        everyone = split.withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))
+        outside = split.where("part <> major").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        once = (F.col("b.part") == F.col("b.major")) | (F.col("a.id") < F.col("b.id"))
+        return self._pairs(outside, everyone, once)
+
+    def _between(self, few: DataFrame, others: DataFrame, side: int) -> DataFrame:
+        """Pairs of ``few`` with ``others``, these dealt into groups alike."""
+        groups = others.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(side)).cast("int").alias("groups"))
+        dealt = others.join(groups, "shingle").join(few.select("shingle").distinct(), "shingle", "left_semi").withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))
+        return self._pairs(few.join(groups, "shingle").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))), dealt, F.lit(True))
+
+    def _pairs(self, one: DataFrame, two: DataFrame, which: Column) -> DataFrame:
+        met = one.alias("a").join(two.alias("b"), ["shingle", "group"]).where((F.col("a.part") != F.col("b.part")) & which & self._like_sized())
+        less, more = (f(F.struct("a.id", "a.n"), F.struct("b.id", "b.n")) for f in (F.least, F.greatest))
+        return met.select(less["id"].alias("u"), more["id"].alias("v"), less["n"].alias("u_n"), more["n"].alias("v_n"))
 
 
 def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, min_similarity: float = 0.8, max_distance: int = 6, blocks: int = 9, pairs_side: int = 512
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, min_similarity: float = 0.8, max_distance: int = 2, blocks: int = 4,
+    crowd: int = 64, pairs_side: int = 512,
+) -> DataFrame:
     """``docs`` without near copies: of each group of them the row of least id stays, with all its columns.
 
     Texts equal but for case (A-Z) and white space are one. Others are near copies if the Jaccard similarity of their
-    runs of ``shingle_words`` words, all of them, is ``min_similarity`` or more. Groups are what such links connect.
-    Candidates are texts whose SimHash fingerprints of distinct words are within ``max_distance`` bits (found on blocks that
-    agree, then verified). Fingerprints of single words are candidates' keys because
-    those of long shingles lie 10 bits apart at a similarity of 0.8, which no blocks can meet.
-    Besides, candidates are all that can be: ``_shared_probes`` gives every pair at ``min_similarity`` a shingle that both look up, so
-    none is missed. Pairs near by fingerprint, and each text with the least of a lookup where both share enough of these, are verified first;
-    what they connect need not be paired again, so a large group of copies is not listed by its pairs.
+    runs of ``shingle_words`` words, all of them, is ``min_similarity`` or more. Groups are what such links connect; no link is missed or estimated.
+
+    Candidates are texts whose SimHash fingerprints are within ``max_distance`` bits: close ones are found cheaply by blocks that
+    agree, with keys of 32 bits for 2 bits, so their number stays in proportion. But fingerprints lie some 10 bits apart at a similarity of 0.8, which
+    blocks of 64 bits cannot meet, so texts are candidates too if they look up a shingle together (``Prefix``), which all that are
+    alike do, and share enough of these. Texts near by fingerprint, and each text with the least of a lookup, are compared first; what that
+    connects is not paired again, so a large group of copies is never listed by its pairs.
 
     Texts without words are never copies of each other and all stay. Rows with a null id stay. Rows repeated with
     one id: all of the id that stays stay. An empty input gives an empty result.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    text_batches(docs.sparkSession)
+    spark, id_type, prefix = docs.sparkSession, docs.schema[id_col].dataType.simpleString(), Prefix(min_similarity, crowd)
+    text_batches(spark)
     before = staged_so_far()
 
-    @F.pandas_udf("fp long, same string, n int, probes array<long>")
+    @F.pandas_udf("fp long, same string, n int, known array<long>")
     def view(texts: pd.Series) -> pd.DataFrame:
-        rows = [_words_and_shingles(t, shingle_words) for t in texts]
-        return pd.DataFrame([(fp, same, len(s), s[: _prefix(len(s), min_similarity)].copy()) for fp, same, s in rows], columns=["fp", "same", "n", "probes"])
+        out = []
+        for text in texts:
+            same, runs = _runs(text, shingle_words)
+            different = _different(runs)
+            out.append((_majority_bits(runs), same, len(different), different[: prefix.kept(len(different))].copy()))
+        return pd.DataFrame(out, columns=["fp", "same", "n", "known"])
 
     seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(id_type).alias("id"), view(F.col(text_col)).alias("v")).select("id", "v.*")
     seen = staged(seen.where("same <> ''"), "near-copies")
+    names = staged(seen.select("id", "same"), "near-names")
     # one node for each different text: the least id with it
-    texts = staged(seen.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "probes"))), "near-texts")
-    probes = _shared_probes(texts)
+    first = staged(seen.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "known"))), "near-first")
+    texts = staged(first.select("same", "id", "fp"), "near-texts")
+    forget(seen)
+    several = texts.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("several"))
+    probes = prefix.probes(first.select("id", "n", F.posexplode("known").alias("pos", "shingle")), several)
+    forget(first)
     links = hamming_links(texts.select("fp").distinct(), max_distance, blocks)
     by_print = texts.groupBy("fp").agg(F.min("id").alias("lead"))
-    # texts with one fingerprint are linked by their least; texts of linked fingerprints by the least of either
+    # texts with one fingerprint are paired with their least; texts of linked fingerprints by the least of either
     inside = texts.join(by_print, "fp").where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v"))
     across = (
         links.join(by_print.select(F.col("fp").alias("u"), F.col("lead").alias("a")), "u")
         .join(by_print.select(F.col("fp").alias("v"), F.col("lead").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
-    star = probes.where("id <> lead.id").select(F.col("lead.id").alias("u"), F.col("id").alias("v"), F.col("lead.n").alias("u_n"), F.col("n").alias("v_n"))
     judge = lambda pairs: _alike(pairs, texts, docs, id_col, text_col, shingle_words, min_similarity)
-    alike = judge(inside.unionByName(across).unionByName(_in_reach(star, min_similarity)))
-    found = connected_components(alike).select(F.col("node").alias("id"), "root")
-    placed = probes.drop("lead").join(found, "id", "left").withColumn("part", F.coalesce("root", "id"))
-    bucket = Window.partitionBy("shingle")
-    apart = placed.withColumns({"a": F.min("part").over(bucket), "b": F.max("part").over(bucket)}).where("a <> b").select("shingle", "members", "id", "n", "part")
-    rest = tiled_pairs(staged(apart, "near-apart"), ["shingle"], "id", pairs_side, ("n", "part")).where(F.col("u_part") != F.col("v_part"))
-    parts = connected_components(alike.unionByName(judge(_in_reach(rest, min_similarity))))
-    first = parts.groupBy("root").agg(F.min("node").alias("first"))
-    copies = parts.join(first, "root").where("node <> first").select(F.col("node").alias("id"))
-    repeats = seen.join(texts.select("same", F.col("id").alias("lead")), "same").where("id <> lead").select("id")
+    alike = judge(inside.unionByName(across).unionByName(prefix.in_reach(prefix.with_lead(probes))))
+    found = staged(connected_components(alike).select(F.col("node").alias("id"), "root"), "near-found")
+    rest = judge(prefix.in_reach(prefix.across(probes, found, pairs_side)))
+    parts = joined_components(found.withColumnRenamed("id", "node"), rest)
+    least = parts.groupBy("root").agg(F.min("node").alias("first"))
+    copies = parts.join(least, "root").where("node <> first").select(F.col("node").alias("id"))
+    repeats = names.join(texts.select("same", F.col("id").alias("lead")), "same").where("id <> lead").select("id")
     drop = staged(copies.unionByName(repeats).distinct().select(F.col("id").alias("_drop_id")), "near-drop")
-    keep_last_staged(docs.sparkSession, before)
+    keep_last_staged(spark, before)
     return docs.join(drop, docs[id_col] == drop["_drop_id"], "left_anti").select(*docs.columns)
 
 
