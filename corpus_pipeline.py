@@ -42,12 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: a row for each piece of a document in a block, as often as the mix takes it."""
-    docs = docs.select(*COLUMNS)
-    pieces = mix_sources(docs)
-    langs = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    return pieces.join(langs, pieces["doc_id"].eqNullSafe(langs["doc_id"]), "left").select(
-        pieces["doc_id"], "text", "lang", "source", F.length("text").cast("long").alias("n_chars")
-    )
+    return mix_sources(docs.select(*COLUMNS), carry=("lang",)).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +51,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     docs = docs.select(*COLUMNS).withColumn("key", F.struct("doc_id", "source"))
     coded = encode_and_decode(docs, read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, id_col="key")
-    return coded.select("key.doc_id", "key.source", "n_tokens", F.split("ids", " ").cast("array<int>").alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("key.doc_id", "key.source", "n_tokens", F.col("tokens").alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup), ("mixing", mixing), ("byte-level bpe", byte_bpe)]
