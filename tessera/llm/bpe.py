@@ -164,18 +164,19 @@ class _Numbers(dict):
 
     def __init__(self, ranks: dict[bytes, int], fold_bytes: int):
         self.ranks, self.fold_bytes, self.first = ranks, fold_bytes, max(ranks.values(), default=-1) + 1
-        self.vocabulary = {}
         for piece, rank in ranks.items():
             try:
-                self.vocabulary[piece.decode()] = rank
+                self[piece.decode()] = rank
             except UnicodeDecodeError:  # never a whole word
                 pass
-        self.restart()
+        self.next, self.fresh, self.long = self.first, [], False
 
-    def restart(self) -> None:
+    def forget(self, keep: int) -> None:
+        """Only the first ``keep`` words stay, beside the vocabulary: what occurs early occurs often."""
+        self.next = self.first + keep
+        kept = {word: number for word, number in self.items() if number < self.next}
         self.clear()
-        self.update(self.vocabulary)
-        self.next, self.fresh, self.long = self.first, [], False
+        self.update(kept)
 
     def __missing__(self, word: str) -> int | list[int]:
         data = word.encode()
@@ -220,7 +221,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str,
 
     Three steps in a task, none of which shuffles: words are found and numbered, and a row brings the bytes of those that no row before it
     has; Spark folds these; and with the ids of all words so far, numbers become ids. Rows keep their order within a task, so
-    the last step has folded words before they are used. ``epoch`` counts how often numbers began anew.
+    the last step has folded words before they are used. ``epoch`` counts how often later words were forgotten.
     """
     text_batches(docs.sparkSession, 2)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -233,7 +234,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str,
             codes, ends, words, word_ends, epochs = array("i"), [0], [], [0], []
             for text in batch.column("text"):
                 if numbers.next - numbers.first > dictionary_words:
-                    numbers.restart()
+                    numbers.forget(dictionary_words // 2)
                     epoch += 1
                 found = list(map(numbers.__getitem__, find(text.as_py() or "")))
                 if numbers.long:
@@ -261,7 +262,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str,
                 if last == at:
                     continue
                 if epochs[at] != epoch:
-                    known.restart()
+                    known.forget(known.first + dictionary_words // 2)
                     epoch = epochs[at]
                 a, b = word_ends[at], word_ends[last]
                 known.add(values[id_ends[a] : id_ends[b]], np.diff(id_ends[a : b + 1]))
@@ -289,7 +290,7 @@ def encode_documents(
 
     Each match of ``pattern`` is encoded on its own, without special tokens. A word of the vocabulary is its rank. Each
     task folds its distinct words once, whatever the number of their occurrences, and remembers up to about ``dictionary_words``
-    of them before it begins anew, which bounds its memory and changes no result. Nothing is shuffled, broadcast or collected.
+    of them before it forgets the later half, which bounds its memory and changes no result. Nothing is shuffled, broadcast or collected.
     Words of over ``fold_bytes`` bytes, for which a fold's O(n^2) is too much, are merged by a heap instead (``merge_long``).
 
     Null and empty texts have no ids (an empty string). Repeated rows, and null ids of documents,

@@ -11,10 +11,7 @@ class NumberedIds:
 
     def __init__(self, first: int = 0):
         self.first = first
-        self.restart()
-
-    def restart(self) -> None:
-        self.flat, self.starts, self.lengths = np.arange(self.first, dtype=np.int32), np.arange(self.first), np.ones(self.first, np.int64)
+        self.flat, self.starts, self.lengths = np.arange(first, dtype=np.int32), np.arange(first), np.ones(first, np.int64)
 
     def forget(self, keep: int) -> None:
         """Only the first ``keep`` numbers stay."""
