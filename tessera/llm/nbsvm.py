@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -172,9 +173,10 @@ def fit_quality(
     sample = labelled_sample(docs, labels, "quality", train_rows, lambda i: fold_of(i, folds) != held_out, id_col, text_col)
 
     @F.pandas_udf("binary")
-    def indicators(texts: pd.Series) -> pd.Series:
+    def indicators(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grams = Grams(bits)
-        return pd.Series([grams.of(t).astype("<i4").tobytes() for t in texts])
+        for texts in batches:
+            yield pd.Series([grams.of(t).astype("<i4").tobytes() for t in texts], dtype=object)
 
     made = staged(sample.select(F.xxhash64(F.lit("train"), "doc_id").alias("draw"), "label", indicators("text").alias("x")), "quality-train")
     sizes = made.select("draw", (F.octet_length("x") / 4).cast("long").alias("n")).toPandas().sort_values("draw")
@@ -188,9 +190,10 @@ def quality_score(model: NbSvm, text: Column) -> Column:
     """Score (0 to 1) of each text under the model; texts without words get the score of an empty row."""
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grams = Grams(model.bits)
-        return pd.Series([model.score(grams.of(t)) for t in texts], dtype="float64")
+        for texts in batches:
+            yield pd.Series([model.score(grams.of(t)) for t in texts], dtype="float64")
 
     return of(text)
 

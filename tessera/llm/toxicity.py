@@ -189,13 +189,15 @@ def tag_documents(model: Toxicity, text: Column, least: float = 0.5) -> Column:
     """
 
     @F.pandas_udf(f"score double, largest double, expected double, spans array<struct<{_SPAN}>>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        tagger, texts = Tagger(model.chain), [t or "" for t in texts]
-        odds = marginals([tagger.emissions(t.encode().split()) for t in texts], model.chain)
-        x = np.array([_summary(o) for o in odds]).reshape(-1, 2)
-        offset, largest, expected = model.curve
-        score = 1 / (1 + np.exp(-np.clip(offset + largest * x[:, 0] + expected * x[:, 1], -30, 30)))
-        return pd.DataFrame({"score": score, "largest": x[:, 0], "expected": x[:, 1], "spans": [_spans(t, o, least) for t, o in zip(texts, odds)]})
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tagger = Tagger(model.chain)
+        for batch in batches:
+            texts = [t or "" for t in batch]
+            odds = marginals([tagger.emissions(t.encode().split()) for t in texts], model.chain)
+            x = np.array([_summary(o) for o in odds]).reshape(-1, 2)
+            offset, largest, expected = model.curve
+            score = 1 / (1 + np.exp(-np.clip(offset + largest * x[:, 0] + expected * x[:, 1], -30, 30)))
+            yield pd.DataFrame({"score": score, "largest": x[:, 0], "expected": x[:, 1], "spans": pd.Series([_spans(t, o, least) for t, o in zip(texts, odds)], dtype=object)})
 
     return of(text)
 
