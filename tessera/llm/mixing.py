@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,10 +139,10 @@ def draw_slots(spark: SparkSession, table: DataFrame, mix: Mix) -> DataFrame:
     blocks, slots = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("blocks", "slots"))
     shards = max(1, -(-int(slots.sum()) // mix.blocks_a_shard))
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            for shard in batch["id"].tolist():
+            for shard in batch.column("id").to_pylist():
                 counts, before = shard_counts(slots, shards, shard, mix.seed, known)
                 of = np.repeat(np.arange(len(counts)), counts)
                 index = np.concatenate([np.arange(b, b + c) for b, c in zip(before, counts)] or [np.zeros(0, np.int64)])
@@ -155,10 +155,11 @@ def draw_slots(spark: SparkSession, table: DataFrame, mix: Mix) -> DataFrame:
                         found[turn == t] = permuted(place[turn == t], int(blocks[s]), (mix.seed << 40) + (int(s) << 8) + int(t))
                     block[mine] = found
                 order = np.random.default_rng((mix.seed, shard, 1)).permutation(len(index))
-                yield pd.DataFrame({"shard": shard, "slot": np.arange(len(index)), "source_no": of[order], "block": block[order]})
+                columns = {"shard": np.full(len(index), shard), "slot": np.arange(len(index), dtype=np.int32), "source_no": of[order].astype(np.int32), "block": block[order]}
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
     parts = max(1, min(shards, spread_width(spark)))
-    return spark.range(0, shards, 1, parts).mapInPandas(draw, "shard long, slot int, source_no int, block long")
+    return spark.range(0, shards, 1, parts).mapInArrow(draw, "shard long, slot int, source_no int, block long")
 
 
 def placed_documents(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:

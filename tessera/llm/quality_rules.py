@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +45,14 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     return fit_trees(features(rows[list(_STATS)].to_numpy()), rows["label"].to_numpy(float), tuple(FEATURES.values()))
 
 
+def _stats(texts: pa.Array) -> np.ndarray:
+    return np.array([document_stats(t.as_py()) for t in texts], dtype=np.int64).reshape(-1, len(_STATS))
+
+
 def _stats_udf():
-    @F.pandas_udf(", ".join(f"{name} long" for name in _STATS))
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([document_stats(t) for t in texts], columns=list(_STATS), dtype="int64")
+    @F.arrow_udf(", ".join(f"{name} long" for name in _STATS))
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(c) for c in _stats(texts).T], list(_STATS))
 
     return of
 
@@ -61,14 +65,14 @@ def quality_rules(trees: Trees, text: Column, *, min_score: float = 0.5, min_wor
     blank texts have no words and fail.
     """
 
-    @F.pandas_udf(", ".join(f"{name} long" for name in BASE) + ", base_failed boolean, score double, kept boolean")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        stats = np.array([document_stats(t) for t in texts], dtype=np.int64).reshape(-1, len(_STATS))
-        out = pd.DataFrame(stats[:, : len(BASE)], columns=list(BASE))
-        out["base_failed"] = (out["n_words"] < min_words) | (100 * out["n_repeat_words"] > most_repeated * out["n_words"])
-        out["score"] = trees.probability(features(stats))
-        out["kept"] = ~out["base_failed"] & (out["score"] >= min_score)
-        return out
+    @F.arrow_udf(", ".join(f"{name} long" for name in BASE) + ", base_failed boolean, score double, kept boolean")
+    def of(texts: pa.Array) -> pa.Array:
+        stats = _stats(texts)
+        base = dict(zip(BASE, stats.T))
+        failed = (base["n_words"] < min_words) | (100 * base["n_repeat_words"] > most_repeated * base["n_words"])
+        score = trees.probability(features(stats))
+        columns = base | {"base_failed": failed, "score": score, "kept": ~failed & (score >= min_score)}
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
     return of(text)
 

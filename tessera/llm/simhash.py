@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components, joined_components
+from tessera.llm.numbered import lists
 from tessera.llm.prefix import spread_width
 from tessera.llm.shared import forget, keep_last_staged, staged, staged_so_far, text_batches
 
@@ -49,9 +50,9 @@ def simhash(text: Column, shingle_words: int = 5) -> Column:
     give 0.
     """
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_fingerprint(t, shingle_words) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([_fingerprint(t.as_py(), shingle_words) for t in texts], pa.int64())
 
     return of(text)
 
@@ -149,6 +150,10 @@ def _different(runs: np.ndarray) -> np.ndarray:
     return np.unique(runs.view(np.int64))
 
 
+def _long_lists(rows: list[np.ndarray]) -> pa.Array:
+    return lists(np.cumsum([0, *map(len, rows)]), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
 def _majority_bits(hashes: np.ndarray) -> int:
     """SimHash of hashes, as a signed long: bits that are set in over half."""
     ones = np.zeros(BITS, np.int64)
@@ -163,10 +168,10 @@ def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, tex
     Shingles are made again from the texts of these ids only, so no table holds those of all.
     """
 
-    @F.pandas_udf("same string, shingles array<long>")
-    def view(texts: pd.Series) -> pd.DataFrame:
-        rows = [_runs(t, shingle_words) for t in texts]
-        return pd.DataFrame({"same": [r[0] for r in rows], "shingles": [_different(r[1]) for r in rows]})
+    @F.arrow_udf("same string, shingles array<long>")
+    def view(texts: pa.Array) -> pa.Array:
+        rows = [_runs(t.as_py(), shingle_words) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), _long_lists([_different(r[1]) for r in rows])], ["same", "shingles"])
 
     pairs = staged(pairs.distinct(), "near-pairs")
     asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
@@ -300,14 +305,17 @@ def drop_near_copies(
     text_batches(spark)
     before = staged_so_far()
 
-    @F.pandas_udf("fp long, same string, n int, known array<long>")
-    def view(texts: pd.Series) -> pd.DataFrame:
-        out = []
+    @F.arrow_udf("fp long, same string, n int, known array<long>")
+    def view(texts: pa.Array) -> pa.Array:
+        prints, names, counts, known = [], [], [], []
         for text in texts:
-            same, runs = _runs(text, shingle_words)
+            same, runs = _runs(text.as_py(), shingle_words)
             different = _different(runs)
-            out.append((_majority_bits(runs), same, len(different), different[: prefix.kept(len(different))].copy()))
-        return pd.DataFrame(out, columns=["fp", "same", "n", "known"])
+            prints.append(_majority_bits(runs))
+            names.append(same)
+            counts.append(len(different))
+            known.append(different[: prefix.kept(len(different))].copy())
+        return pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(names, pa.string()), pa.array(counts, pa.int32()), _long_lists(known)], ["fp", "same", "n", "known"])
 
     seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(id_type).alias("id"), view(F.col(text_col)).alias("v")).select("id", "v.*")
     seen = staged(seen.where("same <> ''"), "near-copies")
