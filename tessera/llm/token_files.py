@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -48,30 +49,37 @@ class Layout:
 #: What Python's split takes for white space, but the tokenizer does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
 _SPECIAL = "<|"
-_STOPS = ".,!?;:"
+#: The first letter whose lower case is more than one character; what lies before it is composed, too.
+_LATIN_END = "\u0130"
 
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
-    """The library's tokenizer of a file."""
+    """The library's tokenizer of a file, its pattern of pieces, and Latin letters in its model's alphabet (as the library's byte level gives them)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
-    return Tokenizer.from_file(path)
+    tokenizer, level = Tokenizer.from_file(path), ByteLevel(add_prefix_space=False, use_regex=False)
+    pattern = json.loads(tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(128, ord(_LATIN_END)) if chr(c).isalpha()}
+    return tokenizer, regex.compile(pattern).findall, letters
 
 
 class WordEncoder(dict):
     """Encodes whole texts by a tokenizer file whose tokens never span white space: every different word by the library, once.
 
     Its pre-tokenizer drops white space, so a text's ids are its words' ids, one after the other. The dictionary gives words their numbers,
-    by which ids are looked up, for a run of texts at once. Its normalizer folds case and its pre-tokenizer parts letters from
-    punctuation, so an ASCII word shares its number with its lower-case form, and letters before stops are encoded without them.
-    Lower-case ASCII letters pass both unchanged, as one piece, so the library's model is asked for their ids directly; all else goes through the
+    by which ids are looked up, for a run of texts at once. Its normalizer composes and folds case, and its pre-tokenizer cuts words to pieces by a
+    pattern; so a Latin word shares its number with its lower-case form, whose ids are its pieces' ids.
+    Lower-case Latin letters pass both unchanged, as one piece, so the library's model is asked for their ids directly; all else goes through the
     whole library. When over ``remember`` words are known, only the first ``keep`` numbers stay: words that occur early are those that occur often.
     """
 
     def __init__(self, path: str, remember: int = 400_000, keep: int = 200_000):
-        self.tokenizer, self.remember, self.keep = _tokenizer(path), remember, keep
+        self.remember, self.keep = remember, keep
+        self.tokenizer, self.find, self.letters = _tokenizer(path)
         self.model = self.tokenizer.model
         self.ids, self.made = NumberedIds(), []
 
@@ -82,14 +90,15 @@ class WordEncoder(dict):
         self.ids.forget(self.keep)
 
     def __missing__(self, word: str) -> int:
-        if word.isascii() and _SPECIAL not in word:
+        if (word.isascii() or max(word) < _LATIN_END) and _SPECIAL not in word:
             low = word.lower()
             if low != word:
                 number = self[word] = self[low]
                 return number
-            core = word.rstrip(_STOPS)
-            if len(core) < len(word) and core.isalpha():
-                return self._number(word, (self[core], self[word[len(core) :]]))
+            if not word.isalpha() and not any(c in word for c in _NO_SPACE):
+                pieces = self.find(word)
+                if pieces != [word]:
+                    return self._number(word, tuple(map(self.__getitem__, pieces)))
         return self._number(word, word)
 
     def _number(self, word: str, made_of) -> int:
@@ -98,17 +107,17 @@ class WordEncoder(dict):
         return number
 
     def _encoded(self, words: list[str]) -> list[list[int]]:
-        letters = [w.isascii() and w.isalpha() for w in words]  # in lower case: __missing__ sees to that
+        letters = [w.isalpha() and (w.isascii() or max(w) < _LATIN_END) for w in words]  # in lower case: __missing__ sees to that
         others = iter(self.tokenizer.encode_batch_fast([w for w, own in zip(words, letters) if not own], add_special_tokens=False))
         tokenize = self.model.tokenize
-        return [[t.id for t in tokenize(w)] if own else next(others).ids for w, own in zip(words, letters)]
+        return [[t.id for t in tokenize(w if w.isascii() else w.translate(self.letters))] if own else next(others).ids for w, own in zip(words, letters)]
 
     def _learn(self) -> None:
         encoded = iter(self._encoded([m for m in self.made if isinstance(m, str)]))
         before, new = len(self.ids.lengths), []
         of = lambda n: new[n - before] if n >= before else self.ids.flat[(at := self.ids.starts[n]) : at + self.ids.lengths[n]].tolist()
         for m in self.made:
-            new.append(next(encoded) if isinstance(m, str) else [*of(m[0]), *of(m[1])])
+            new.append(next(encoded) if isinstance(m, str) else [x for n in m for x in of(n)])
         self.ids.add(np.fromiter(chain.from_iterable(new), np.int32), np.fromiter(map(len, new), np.int64, len(new)))
         self.made = []
 
