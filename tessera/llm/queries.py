@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.ann import nearest
 from tessera.llm.bpe import encode_and_decode, read_ranks
+from tessera.llm.hard_negatives import OP11_SQL, hard_negatives
 from tessera.llm.line_dedup import OP6_SQL, remove_boilerplate
 from tessera.llm.mixing import mix_report
 from tessera.llm.nbsvm import classify_quality
@@ -70,7 +71,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_QUERIES = (op1_simhash, op2_byte_bpe, op3_nearest_neighbours, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+_QUERIES = (op1_simhash, op2_byte_bpe, op3_nearest_neighbours, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity, op11_hard_negatives)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -78,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL}
