@@ -14,6 +14,7 @@ from tessera.llm.line_dedup import OP6_SQL, remove_boilerplate
 from tessera.llm.mixing import mix_report
 from tessera.llm.nbsvm import classify_quality
 from tessera.llm.quality_rules import assess
+from tessera.llm.secrets import OP13_SQL, secret_report
 from tessera.llm.sharding import assign_shards
 from tessera.llm.shared import table
 from tessera.llm.simhash import near_duplicates
@@ -76,7 +77,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
 
 
-_QUERIES = (op1_simhash, op2_byte_bpe, op3_nearest_neighbours, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity, op11_hard_negatives)
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (op1_simhash, op2_byte_bpe, op3_nearest_neighbours, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity, op11_hard_negatives, op13_secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -84,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op13_secret_scan": OP13_SQL}
