@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.alignment import ByteLevel, Pieces, align
 from tessera.llm.ann import nearest
 from tessera.llm.bpe import encode_and_decode, read_ranks
 from tessera.llm.hard_negatives import OP11_SQL, hard_negatives
@@ -77,11 +78,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    first = ByteLevel(tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return align(table(spark, sf_dir, "documents"), first, Pieces(tokenizer_file("piece_bpe_32k.model")))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_simhash, op2_byte_bpe, op3_nearest_neighbours, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity, op11_hard_negatives, op13_secret_scan)
+_QUERIES = (op1_simhash, op2_byte_bpe, op3_nearest_neighbours, op4_token_files, op5_quality_rules, op6_line_dedup, op7_quality_classifier, op8_sharding, op9_mixing, op10_toxicity, op11_hard_negatives, op12_token_alignment, op13_secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
