@@ -5,7 +5,6 @@ A block is at most ``MOST_PIXELS`` (its size is a parameter of tiling), so a gro
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -58,8 +57,11 @@ def gradient(band: np.ndarray, sigma: float) -> np.ndarray:
     return out
 
 
-def edges(band: np.ndarray, sigma: float, low: float, high: float) -> np.ndarray:
-    """Canny: ridges of the smoothed band's gradient over ``low``, connected to one over ``high``."""
+def ridges(band: np.ndarray, sigma: float, low: float, high: float) -> np.ndarray:
+    """Canny before pixels are connected: ridges of the smoothed band's gradient, 1 over ``low`` and 2 over ``high``; 0 elsewhere.
+
+    A pixel depends on those within ``ridge_reach(sigma)`` rows and columns alone.
+    """
     rows, cols = _slopes(smooth(band, sigma), 1 / 4, 1 / 2)
     size = np.hypot(rows * 8 / 4, cols * 8 / 4)
     p = np.pad(size, 1)
@@ -68,10 +70,61 @@ def edges(band: np.ndarray, sigma: float, low: float, high: float) -> np.ndarray
     ridge = np.zeros(size.shape, bool)
     for d, (dr, dc) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
         ridge |= (direction == d) & (size >= inner(dr, dc)) & (size > inner(-dr, -dc))
-    weak = ridge & (size >= low)
-    found = components(weak, diagonal=True)
-    strong = np.unique(found[weak & (size >= high)])
-    return weak & np.isin(found, strong[strong > 0])
+    return np.where(ridge & (size >= low), np.where(size >= high, 2, 1), 0)
+
+
+def gradient_reach(sigma: float) -> int:
+    """How far a pixel's gradient looks: smoothing, the stencil, and a border line's inner neighbour."""
+    return int(4 * sigma + 0.5) + 2
+
+
+def ridge_reach(sigma: float) -> int:
+    """How far a pixel's ridge looks: smoothing, the stencil, and the neighbours that it is compared with."""
+    return int(4 * sigma + 0.5) + 2
+
+
+def edges(band: np.ndarray, sigma: float, low: float, high: float) -> np.ndarray:
+    """Canny: ridges of the smoothed band's gradient over ``low``, connected to one over ``high``."""
+    found = ridges(band, sigma, low, high)
+    numbers = components(found > 0, diagonal=True)
+    strong = np.unique(numbers[found == 2])
+    return (found > 0) & np.isin(numbers, strong)
+
+
+def lower_envelope(heights: np.ndarray) -> np.ndarray:
+    """For each place i of each row the least of heights[j] + (i - j)^2, in linear time (Felzenszwalb, Huttenlocher 2012); inf where a row has none.
+
+    Parabolas are pushed on, and popped off, a stack for each row; all rows go together, a column at a time.
+    """
+    rows, cols = heights.shape
+    root, start = np.zeros((rows, cols + 1), int), np.full((rows, cols + 2), np.inf)
+    top, every = np.full(rows, -1), np.arange(rows)
+    lifted = heights + np.arange(cols) ** 2.0
+    for q in range(cols):
+        mine = every[np.isfinite(heights[:, q])]
+        where = np.full(len(mine), -np.inf)
+        open_ = np.flatnonzero(top[mine] >= 0)
+        while len(open_):
+            at = mine[open_]
+            v = root[at, top[at]]
+            where[open_] = (lifted[at, q] - lifted[at, v]) / (2.0 * (q - v))
+            hidden = where[open_] <= start[at, top[at]]
+            top[at[hidden]] -= 1
+            open_ = open_[hidden]
+            emptied = top[mine[open_]] < 0
+            where[open_[emptied]] = -np.inf
+            open_ = open_[~emptied]
+        top[mine] += 1
+        root[mine, top[mine]], start[mine, top[mine]], start[mine, top[mine] + 1] = q, where, np.inf
+    out = np.full((rows, cols), np.inf)
+    mine = every[top >= 0]
+    at = np.zeros(len(mine), int)
+    for q in range(cols):
+        while (behind := start[mine, at + 1] < q).any():
+            at += behind
+        v = root[mine, at]
+        out[mine, q] = heights[mine, v] + (q - v) ** 2.0
+    return out
 
 
 def distance_to(mask: np.ndarray) -> np.ndarray:
@@ -82,8 +135,7 @@ def distance_to(mask: np.ndarray) -> np.ndarray:
         near[r] = np.minimum(near[r], near[r - 1] + 1)
     for r in range(rows - 2, -1, -1):
         near[r] = np.minimum(near[r], near[r + 1] + 1)
-    shift = (np.arange(cols)[:, None] - np.arange(cols)[None, :]) ** 2
-    return np.sqrt(np.stack([(line**2 + shift).min(axis=1) for line in near]))
+    return np.sqrt(lower_envelope(near**2))
 
 
 def maxima(image: np.ndarray, reach: int) -> np.ndarray:
@@ -119,20 +171,48 @@ def components(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
 
 
 def watershed(surface: np.ndarray, markers: np.ndarray) -> np.ndarray:
-    """Floods ``surface`` from ``markers``: the lowest reached pixel next, of equals the one reached first."""
-    out = markers.copy()
+    """Floods ``surface`` from ``markers``: the lowest reached pixel next, of equals the one reached first. Pixels that no marker reaches stay 0.
+
+    Levels are queues, and a level's queue is taken as whole frontiers: all that a frontier reaches comes behind it, in its order and that of
+    the four neighbours, so nothing depends on taking pixels one by one. What lies higher waits in its own level's queue.
+    """
     rows, cols = surface.shape
-    heap = [(surface[r, c], k, r, c) for k, (r, c) in enumerate(np.argwhere(markers > 0).tolist())]
-    heapq.heapify(heap)
-    age = len(heap)
-    while heap:
-        level, _, r, c = heapq.heappop(heap)
-        for r2, c2 in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
-            if 0 <= r2 < rows and 0 <= c2 < cols and not out[r2, c2]:
-                out[r2, c2] = out[r, c]
-                heapq.heappush(heap, (max(level, surface[r2, c2]), age, r2, c2))
-                age += 1
-    return out
+    width = cols + 2
+    levels, rank = np.unique(surface, return_inverse=True)
+    height = np.pad(rank.reshape(surface.shape), 1).ravel()
+    out = np.pad(markers, 1, constant_values=-1).ravel()
+    steps = np.array([-width, -1, 1, width])
+    first = np.zeros(out.size, int)
+    queues: list[list[np.ndarray]] = [[] for _ in levels]
+
+    def wait(pixels: np.ndarray) -> None:
+        """In order, behind what waits at their levels."""
+        by_level = np.argsort(height[pixels], kind="stable")
+        pixels = pixels[by_level]
+        cuts = np.flatnonzero(np.diff(height[pixels])) + 1
+        for part in np.split(pixels, cuts):
+            if len(part):
+                queues[height[part[0]]].append(part)
+
+    wait(np.flatnonzero(out > 0))
+    for level in range(len(levels)):
+        front = np.concatenate(queues[level]) if queues[level] else np.zeros(0, int)
+        queues[level] = []
+        while len(front):
+            reached = (front[:, None] + steps).ravel()
+            source = np.repeat(front, 4)
+            free = out[reached] == 0
+            reached, source = reached[free], source[free]
+            order = np.arange(len(reached))
+            first[reached[::-1]] = order[::-1]  # of those that reach a pixel the first, which is written last
+            won = first[reached] == order
+            reached = reached[won]
+            out[reached] = out[source[won]]
+            higher = height[reached] > level
+            if higher.any():
+                wait(reached[higher])
+            front = reached[~higher]
+    return out.reshape(rows + 2, width)[1:-1, 1:-1]
 
 
 def segment(bands: list[np.ndarray], sensor: Sensor) -> np.ndarray:

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import names
 from tessera.model import SENSORS, classes
-from tessera.operators import classify, kernels, radiometry, run, segments, stencils, tiling, training
+from tessera.operators import classify, kernels, radiometry, run, scene, segments, stencils, tiling, training
 from tessera.plans import fixtures as fx
 from tessera.sources import images, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-HEIGHT, WIDTH = 100, 21
+HEIGHT, WIDTH = 100, 22
 
 
 def _query(oracle: str | None = None, *relations: str) -> Callable[[Query], Query]:
@@ -69,10 +69,9 @@ def white_balance(spark, d):
     return radiometry.balance_bands(fx.scene(spark, d), {"b0": 210, "b1": 180, "b2": 195}).select("x", "y", "b0", "b1", "b2")
 
 
-@_query("""select d src_dtype, n bands, 1 as lower, cast(pow(2, case when d>12 then 11 else d end)-1 as integer) upper
-  from (values (8,3),(8,1),(11,8),(12,8),(16,8),(16,1)) t(d,n)""")
+@_query("select distinct src_dtype, bands, 1 as lower, cast(pow(2, case when src_dtype>12 then 11 else src_dtype end)-1 as integer) upper from dims", "dims")
 def stretch_none_params(spark, d):
-    depths = spark.createDataFrame([(8, 3), (8, 1), (11, 8), (12, 8), (16, 8), (16, 1)], "src_dtype int, bands int")
+    depths = fx.dims(spark, d).select("src_dtype", "bands").distinct()
     return radiometry.full_range_params(depths).select("src_dtype", "bands", "lower", "upper")
 
 
@@ -152,21 +151,20 @@ def display_histogram_1000(spark, d):
 # blocks
 
 
-_DIMS = ((6400, 6400), (10000, 10000), (12800, 12800), (16000, 9000), (30000, 5000), (40000, 30000), (20480, 26112))
-_DIMS_SQL = ",".join(map(str, _DIMS))
 _SIZE = "least(coalesce((select min(s) from (select unnest(range(6400, {0}*2+6657, 256)) s) where ({0}%s)*2>s), {0}), {0})"
-_SIZES = f"""select x_dim, y_dim, cast(case when x_dim<=6400 or y_dim<=6400 then x_dim else {_SIZE.format('x_dim')} end as integer) block_x,
-  cast(case when x_dim<=6400 or y_dim<=6400 then y_dim else {_SIZE.format('y_dim')} end as integer) block_y from (values {_DIMS_SQL}) t(x_dim,y_dim)"""
+_SIZES = f"""select image_id, x_dim, y_dim, cast(case when x_dim<=6400 or y_dim<=6400 then x_dim else {_SIZE.format('x_dim')} end as integer) block_x,
+  cast(case when x_dim<=6400 or y_dim<=6400 then y_dim else {_SIZE.format('y_dim')} end as integer) block_y from dims"""
 
 
-@_query(_SIZES)
+@_query(_SIZES, "dims")
 def block_sizes(spark, d):
-    return tiling.block_sizes(spark.createDataFrame(_DIMS, "x_dim int, y_dim int"))
+    return tiling.block_sizes(fx.dims(spark, d).select("image_id", "x_dim", "y_dim"))
 
 
 @_query(
-    f"""select x_dim, y_dim, block_x, block_y, cast(y as integer) y, cast(x as integer) x, cast(least(block_x, x_dim-x) as integer) w, cast(least(block_y, y_dim-y) as integer) h
-  from (select *, unnest(range(0, x_dim, block_x)) x from (select *, unnest(range(0, y_dim, block_y)) y from ({_SIZES})))"""
+    f"""select image_id, x_dim, y_dim, block_x, block_y, cast(y as integer) y, cast(x as integer) x, cast(least(block_x, x_dim-x) as integer) w, cast(least(block_y, y_dim-y) as integer) h
+  from (select *, unnest(range(0, x_dim, block_x)) x from (select *, unnest(range(0, y_dim, block_y)) y from ({_SIZES})))""",
+    "dims",
 )
 def block_grid(spark, d):
     return tiling.block_grid(block_sizes(spark, d))
@@ -178,7 +176,7 @@ def pixel_block_assign(spark, d):
 
 
 @_query(
-    """select cast((x//h//2)*h+x%h as integer) x, cast((x//h%2)*21+y as integer) y, b1 from scene, (select (max(x)+4)//4 h from scene)""", "scene"
+    """select cast((x//h//2)*h+x%h as integer) x, cast((x//h%2)*22+y as integer) y, b1 from scene, (select (max(x)+4)//4 h from scene)""", "scene"
 )
 def mosaic_shift(spark, d):
     """Four tiles, each a quarter of the scene's rows, laid out two by two."""
@@ -186,7 +184,7 @@ def mosaic_shift(spark, d):
     rows = (pixels.agg(F.max("x")).first()[0] + 4) // 4
     parts = pixels.select(F.floor(F.col("x") / rows).cast("int").alias("tile"), (F.col("x") % rows).alias("r"), F.col("y").alias("c"), "b1")
     tiles = parts.select("tile").distinct().withColumn("name", F.format_string("tile_%03d.h5", "tile"))
-    return tiling.mosaic(parts, tiles, rows, 21).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "b1")
+    return tiling.mosaic(parts, tiles, rows, WIDTH).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "b1")
 
 
 @_query("select x, y, b0 red, b1 green, b2 blue from scene", "scene")
@@ -322,7 +320,7 @@ def label_rebase(spark, d):
     return segments.rebase_labels(fx.scene(spark, d).withColumn("seg", F.col("seg") + 3)).select("x", "y", "block", "seg")
 
 
-@_query("select block, seg, greatest(min(x)-100,0) x_min, least(max(x)+100,1999) x_max, greatest(min(y)-100,0) y_min, least(max(y)+100,20) y_max from scene group by block, seg", "scene")
+@_query("select block, seg, greatest(min(x)-100,0) x_min, least(max(x)+100,1999) x_max, greatest(min(y)-100,0) y_min, least(max(y)+100,21) y_max from scene group by block, seg", "scene")
 def segment_bbox(spark, d):
     return segments.bounding_boxes(fx.scene(spark, d), 100, 2000, WIDTH)
 
@@ -340,10 +338,13 @@ def segment_ids_dense(spark, d):
     return segments.dense_ids(fx.scene(spark, d))
 
 
-@_query("select p.x, p.y, s.block, s.seg from (select distinct cast(vec_id*7%600 as integer) x, cast(vec_id%25 as integer) y from embeddings) p join scene s on s.x=p.x and s.y=p.y", "scene")
+@_query("select p.x, p.y, s.block, s.seg from (select distinct cast(vec_id*7919%n as integer) x, cast(vec_id%25 as integer) y from embeddings, (select max(x)+1 n from scene)) p join scene s on s.x=p.x and s.y=p.y", "scene")
 def segment_at_points(spark, d):
-    points = fx.table(spark, d, "embeddings").select((F.col("vec_id") * 7 % 600).cast("int").alias("x"), (F.col("vec_id") % 25).cast("int").alias("y"))
-    return segments.segment_at(fx.scene(spark, d), points)
+    """Points all over the scene, some of them beside it."""
+    pixels = fx.scene(spark, d)
+    rows = F.broadcast(pixels.agg((F.max("x") + 1).alias("n")))  # one row
+    points = fx.table(spark, d, "embeddings").join(rows).select((F.col("vec_id") * 7919 % F.col("n")).cast("int").alias("x"), (F.col("vec_id") % 25).cast("int").alias("y"))
+    return segments.segment_at(pixels, points)
 
 
 @_query(
@@ -556,7 +557,7 @@ def last_matching_image(spark, d):
 @_query()
 def feature_importances(spark, d):
     _, labelled = _forest_rows(spark, d)
-    return classify.importances(labelled.select("label", *(F.col("features")[k].alias(f"f{k}") for k in range(16))), [f"f{k}" for k in range(16)], trees=30, depth=8)
+    return classify.importances(labelled.select("label", *(F.col("features")[k].alias(f"f{k}") for k in range(64))), [f"f{k}" for k in range(64)], trees=30, depth=8)
 
 
 @_query()
@@ -655,8 +656,8 @@ def components(spark, d):
 
 _SQL["components"] = fx.sql(
     """, m as (select block, x, y from scene where b1>150), walk(block, x, y, root) as (
-    select block, x, y, x*21+y from m union
-    select m.block, m.x, m.y, w.root from walk w join m on m.block=w.block and abs(m.x-w.x)+abs(m.y-w.y)=1 where w.root < m.x*21+m.y)
+    select block, x, y, x*22+y from m union
+    select m.block, m.x, m.y, w.root from walk w join m on m.block=w.block and abs(m.x-w.x)+abs(m.y-w.y)=1 where w.root < m.x*22+m.y)
   select block, x, y, cast(dense_rank() over (partition by block order by root) as integer) component from (select block, x, y, min(root) root from walk group by block, x, y)""",
     "scene",
 ).replace("with ", "with recursive ", 1)
@@ -675,6 +676,71 @@ def edt(spark, d):
     return _rounded(kernels.per_pixel(fx.scene(spark, d), ["b1"], lambda a: kernels.distance_to(a[0] > 150), "distance", "double"))
 
 
+def _one_scene(spark, d):
+    """The whole raster as one scene, whatever its size, beside its blocks."""
+    return fx.scene(spark, d).select(F.lit(0).alias("scene"), "x", "y", "b0", "b1", "b2", F.when(F.col("b1") > 150, 1).otherwise(0).alias("bright"))
+
+
+_BLURRED = "select s.x, s.y, sum(g * t.v) v from {0} s, n, w, {0} t where t.{2}=s.{2} and t.{1}=case when s.{1}+k<0 then -s.{1}-k-1 when s.{1}+k>=n{1} then 2*n{1}-1-s.{1}-k else s.{1}+k end group by s.x, s.y"
+
+
+@_query()
+def gradient_scene(spark, d):
+    """In blocks of 64 with halos, while the SQL takes the scene at once."""
+    return scene.gradient_scene(_one_scene(spark, d), ["scene"], "b2", SENSORS["srgb"].sigma, size=64).select("x", "y", "gradient")
+
+
+_SQL["gradient_scene"] = fx.sql(
+    f""", p as (select x, y, b2 as v from scene), n as (select max(x)+1 nx, max(y)+1 ny from p),
+  w as (select k, exp(-0.125*k*k)/(select sum(exp(-0.125*j*j)) from (select unnest(range(-8,9)) j)) g from (select unnest(range(-8,9)) k)),
+  down as ({_BLURRED.format('p', 'x', 'y')}), blurred as ({_BLURRED.format('down', 'y', 'x')}),
+  beside as (select *, 0.1875*(lag(v) over a+lead(v) over a)+0.625*v sx, 0.1875*(lag(v) over b+lead(v) over b)+0.625*v sy from blurred window a as (partition by x order by y), b as (partition by y order by x)),
+  g as (select x, y, cast(floor(least(255, sqrt((power((lead(sx) over b-lag(sx) over b)/2,2)+power((lead(sy) over a-lag(sy) over a)/2,2))/2))) as integer) gradient from beside window a as (partition by x order by y), b as (partition by y order by x))
+  select p.x, p.y, g.gradient from p, n, g where g.x=greatest(1,least(p.x,nx-2)) and g.y=greatest(1,least(p.y,ny-2))""",
+    "scene",
+)
+
+
+@_query(
+    "select x, y from (select *, max(m) over (partition by x order by y rows between 3 preceding and 3 following) mm from (select x, y, b1, max(b1) over (partition by y order by x rows between 3 preceding and 3 following) m from scene)) where b1=mm and b1>0",
+    "scene",
+)
+def maxima_scene(spark, d):
+    return scene.maxima_scene(_one_scene(spark, d), ["scene"], "b1", 3, size=50).where("maximum = 1").select("x", "y")
+
+
+@_query()
+def components_scene(spark, d):
+    """Components that go on across the borders of blocks of 16, named by their first pixels."""
+    return scene.components_scene(_one_scene(spark, d), ["scene"], "bright", size=16).where("component >= 0").select("x", "y", "component")
+
+
+_SQL["components_scene"] = fx.sql(
+    """, m as (select x, y from scene where b1>150), walk(x, y, root) as (
+    select x, y, x*22+y from m union
+    select m.x, m.y, w.root from walk w join m on abs(m.x-w.x)+abs(m.y-w.y)=1 where w.root < m.x*22+m.y)
+  select x, y, cast(min(root) as bigint) component from walk group by x, y""",
+    "scene",
+).replace("with ", "with recursive ", 1)
+
+
+@_query("select p.x, p.y, round(sqrt(min((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y))),6) distance from scene p join scene q on q.b1>150 group by p.x, p.y", "scene")
+def edt_scene(spark, d):
+    return _rounded(scene.distance_scene(_one_scene(spark, d), ["scene"], "bright").select("x", "y", "distance"))
+
+
+@_query()
+def canny_scene(spark, d):
+    s = SENSORS["srgb"]
+    return scene.edges_scene(_one_scene(spark, d), ["scene"], "b1", s.sigma, s.low, s.high, size=64).select("x", "y", "edge")
+
+
+@_query()
+def segments_scene(spark, d):
+    """Watersheds from markers of the whole scene, so segments go on across blocks."""
+    return scene.segments_scene(_one_scene(spark, d), ["scene"], ["b0", "b1", "b2"], size=128, halo=32).select("x", "y", "seg")
+
+
 def _images(spark, d):
     """The scene as images of 100 rows, with a day of the year for each."""
     pixels = fx.scene(spark, d).select(F.format_string("scene_%03d", "block").alias("image_id"), (F.col("x") % 100).alias("x"), "y", "b0", "b1", "b2")

@@ -15,19 +15,20 @@ def _dn(value) -> object:
     return F.greatest(F.lit(0), F.least(F.lit(255), scaled)).cast("int")
 
 
-def _cells(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).where(F.col("i") < most)
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
 
 
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long pixels (x: row, y: column, b: band, dn) of a 3-band raster, 21 columns wide, with gaps without data."""
-    cell = _cells(spark, sf_dir, 63).withColumns({"y": F.col("i") % 21, "b": F.floor(F.col("i") / 21).cast("int")})
+    """Long pixels (x: row, y: column, b: band, dn) of a 3-band raster with gaps without data: 21 columns, and one more that has the first band alone."""
+    last = F.col("i") == 63
+    cell = _cells(spark, sf_dir).withColumns({"y": F.when(last, 21).otherwise(F.col("i") % 21), "b": F.when(last, 0).otherwise(F.floor(F.col("i") / 21)).cast("int")})
     gap = ((F.col("vec_id") * 7 + F.col("y") * 13) % 23 == 0) | ((F.col("b") == 0) & ((F.col("vec_id") * 5 + F.col("y") * 3) % 29 == 0))
     return cell.select(F.col("vec_id").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "b", F.when(gap, 0).otherwise(_dn(F.col("v"))).alias("dn"))
 
 
 def _wide(long: DataFrame, bands: int, segments_wide: int) -> DataFrame:
-    bands_of = [F.max(F.when(F.col("b") == k, F.col("dn"))).alias(f"b{k}") for k in range(bands)]
+    bands_of = [F.coalesce(F.max(F.when(F.col("b") == k, F.col("dn"))), F.lit(0)).alias(f"b{k}") for k in range(bands)]
     seg = F.floor((F.col("x") % 100) / 10) * segments_wide + F.floor(F.col("y") / 4)
     return long.groupBy("x", "y").agg(*bands_of).withColumns({"block": F.floor(F.col("x") / 100).cast("int"), "seg": seg.cast("int")})
 
@@ -39,7 +40,7 @@ def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide 8-band raster, 8 columns wide, in blocks of 100 rows, each of 20 segments."""
-    cell = _cells(spark, sf_dir, 64)
+    cell = _cells(spark, sf_dir)
     long = cell.select(F.col("vec_id").cast("int").alias("x"), (F.col("i") % 8).cast("int").alias("y"), F.floor(F.col("i") / 8).cast("int").alias("b"), _dn(F.col("v")).alias("dn"))
     return _wide(long, 8, 2)
 
@@ -54,6 +55,14 @@ def li(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, bit depths and numbers of bands of scenes, one for each order."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("image_id"), (F.col("o_custkey") * 37 % 24000 + 5000).cast("int").alias("x_dim"), (key * 53 % 21000 + 5500).cast("int").alias("y_dim"), (key % 9 + 8).cast("int").alias("src_dtype"), (F.col("o_custkey") % 8 + 1).cast("int").alias("bands"),
+    )
+
+
 def tds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows: position, label set and label (null: not labelled yet)."""
     label = F.when(F.col("vec_id") % 10 < 9, (F.col("label") % 7).cast("int"))
@@ -95,14 +104,15 @@ def qscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same relations for DuckDB; each may use those before it.
 SQL = {
-    "px": """select cast(vec_id as integer) x, cast(i%21 as integer) y, cast(i//21 as integer) b,
-  case when (vec_id*7+(i%21)*13)%23=0 then 0 when i//21=0 and (vec_id*5+(i%21)*3)%29=0 then 0 else cast(greatest(0,least(255,floor((cast(v as double)+0.6)*212))) as integer) end dn
-  from (select vec_id, unnest(range(64)) i, unnest(embedding) v from embeddings) where i<63""",
-    "scene": """select x,y,max(dn) filter (b=0) b0,max(dn) filter (b=1) b1,max(dn) filter (b=2) b2,cast(x//100 as integer) block,cast(((x%100)//10)*6+y//4 as integer) seg from px group by x,y""",
+    "px": """select cast(vec_id as integer) x, cast(y as integer) y, cast(b as integer) b,
+  case when (vec_id*7+y*13)%23=0 then 0 when b=0 and (vec_id*5+y*3)%29=0 then 0 else cast(greatest(0,least(255,floor((cast(v as double)+0.6)*212))) as integer) end dn
+  from (select vec_id, v, case when i=63 then 21 else i%21 end y, case when i=63 then 0 else i//21 end b from (select vec_id, unnest(range(64)) i, unnest(embedding) v from embeddings))""",
+    "scene": """select x,y,coalesce(max(dn) filter (b=0),0) b0,coalesce(max(dn) filter (b=1),0) b1,coalesce(max(dn) filter (b=2),0) b2,cast(x//100 as integer) block,cast(((x%100)//10)*6+y//4 as integer) seg from px group by x,y""",
     "ms": "select x,y," + ",".join(f"max(dn) filter (b={k}) b{k}" for k in range(8)) + """,cast(x//100 as integer) block,cast(((x%100)//10)*2+y//4 as integer) seg
   from (select cast(vec_id as integer) x, cast(i%8 as integer) y, cast(i//8 as integer) b, cast(greatest(0,least(255,floor((cast(v as double)+0.6)*212))) as integer) dn
   from (select vec_id, unnest(range(64)) i, unnest(embedding) v from embeddings)) group by x,y""",
     "li": "select cast(l_partkey%480 as integer) x, cast(l_orderkey%400 as integer) y, cast(sum(cast(l_quantity as bigint))%256 as integer) b0, cast(sum(l_linenumber*31)%256 as integer) b1, cast(count(*)*37%256 as integer) b2 from lineitem group by 1,2",
+    "dims": "select o_orderkey image_id, cast(o_custkey*37%24000+5000 as integer) x_dim, cast(o_orderkey*53%21000+5500 as integer) y_dim, cast(o_orderkey%9+8 as integer) src_dtype, cast(o_custkey%8+1 as integer) bands from orders",
     "tds": "select vec_id pos, case when vec_id%2=0 then 'spring' else 'summer' end label_set, case when vec_id%10<9 then cast(label%7 as integer) end label from embeddings",
     "files": "select concat(case when p_partkey%11=0 then '.' else '' end,'img_',p_partkey,case p_partkey%6 when 0 then '.tif' when 1 then '.TIFF' when 2 then '.jpg' when 3 then '.png' when 4 then '.h5' else '.JPG' end) as name, p_brand as dir from part",
     "shots": "select o_orderkey image_id, case when o_orderkey%13=0 then null else strftime(o_orderdate,'%Y:%m:%d %H:%M:%S') end exif, case when o_orderkey%17=0 then null else strftime(o_orderdate,'%Y%m%d%H%M%S') end nitf from orders",

@@ -42,4 +42,13 @@ def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """
     path = staged_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    spark = table.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,3 +1,5 @@
+import heapq
+
 import numpy as np
 import pytest
 
@@ -41,6 +43,37 @@ def test_watershed_meets_between_its_markers():
     assert (out[:, :2] == 1).all() and (out[:, 3:] == 2).all() and (out > 0).all()
 
 
+def _pixel_by_pixel(surface, markers):
+    """The flood as a heap of single pixels: the lowest next, of equals the one reached first."""
+    out = markers.copy()
+    heap = [(surface[r, c], k, r, c) for k, (r, c) in enumerate(np.argwhere(markers > 0).tolist())]
+    heapq.heapify(heap)
+    age = len(heap)
+    while heap:
+        level, _, r, c = heapq.heappop(heap)
+        for r2, c2 in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
+            if 0 <= r2 < surface.shape[0] and 0 <= c2 < surface.shape[1] and not out[r2, c2]:
+                out[r2, c2] = out[r, c]
+                heapq.heappush(heap, (max(level, surface[r2, c2]), age, r2, c2))
+                age += 1
+    return out
+
+
+@pytest.mark.parametrize("levels", [1, 2, 7, 200])
+def test_watershed_by_frontiers_is_the_flood_by_pixels(levels):
+    for rows, cols in ((1, 1), (1, 30), (17, 23), (90, 70)):
+        for share in (0.0, 0.02, 0.3):
+            surface, markers = RNG.integers(0, levels, (rows, cols)), kernels.components(RNG.random((rows, cols)) < share)
+            assert (kernels.watershed(surface, markers) == _pixel_by_pixel(surface, markers)).all()
+
+
+def test_lower_envelope_is_the_least_parabola():
+    heights = np.where(RNG.random((40, 33)) < 0.6, np.inf, RNG.integers(0, 400, (40, 33)).astype(float))
+    heights[3] = np.inf
+    away = (np.arange(33)[:, None] - np.arange(33)) ** 2.0
+    assert (kernels.lower_envelope(heights) == (heights[:, None, :] + away).min(axis=2)).all()
+
+
 def test_maxima_and_edges():
     image = np.zeros((9, 9))
     image[4, 4] = 3
