@@ -45,6 +45,13 @@ def season(day: Column) -> Column:
     return F.when(day <= 150, "spring").otherwise("summer")
 
 
+def training_names(label_set: Column, sensor: Column) -> dict[str, Column]:
+    """Names of a label set's labels and features in a stored training set: sets of sRGB scenes other than the sensor's own have features of their own."""
+    own = (sensor == "srgb") & (label_set != "srgb")
+    name = lambda end, other: F.when(own, F.concat(label_set, F.lit(end))).otherwise(other)
+    return {"labels": name("_labels", label_set), "features": name("_feature_matrix", F.lit("feature_matrix"))}
+
+
 def output_names(name: Column) -> dict[str, Column]:
     """Names of what a run writes for a scene, and of its pansharpened form."""
     base = base_name(name)

@@ -44,6 +44,9 @@ SENSORS = {
 # Bands shown as red, green and blue.
 DISPLAY_BANDS = {"pan": (0, 0, 0), "wv02_ms": (4, 2, 1), "srgb": (0, 1, 2)}
 
+# Bands drawn as red, green and blue in pictures of raw scenes; those of three bands count from 1 there, and from 0 here.
+RAW_DISPLAY_BANDS = {"pan": (0, 0, 0), "wv02_ms": (5, 3, 2), "srgb": (0, 1, 2)}
+
 #: Columns of a training set, as runs read it.
 TRAINING_ROWS = "label_set string, pos long, label int, features array<double>"
 

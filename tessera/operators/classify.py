@@ -31,13 +31,13 @@ def review_seconds(confidence) -> object:
     return F.when((confidence > 0.9) & (confidence < 0.96), 4.0).when(confidence < 0.9, 10.0).otherwise(0.5)
 
 
-def paint(pixels: DataFrame, predictions: DataFrame, bands: list[str]) -> DataFrame:
-    """(x, y, block, seg, cls): each pixel's segment's class, 0 where all bands are, or the segment has no prediction. No pixel is lost."""
+def paint(pixels: DataFrame, predictions: DataFrame, bands: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep``, x, y, block, seg, cls): each pixel's segment's class, 0 where all bands are 0 or null, or the segment has no prediction. No pixel is lost."""
     empty = F.lit(True)
     for b in bands:
-        empty = empty & (F.col(b) == 0)
+        empty = empty & (F.coalesce(b, F.lit(0)) == 0)
     joined = pixels.join(predictions.select("block", "seg", "cls"), ["block", "seg"], "left")
-    return joined.select("x", "y", "block", "seg", F.when(empty, 0).otherwise(F.coalesce("cls", F.lit(0))).alias("cls"))
+    return joined.select(*keep, "x", "y", "block", "seg", F.when(empty, 0).otherwise(F.coalesce("cls", F.lit(0))).alias("cls"))
 
 
 def class_counts(painted: DataFrame, keys: list[str]) -> DataFrame:

@@ -232,7 +232,7 @@ def block_arrays(group: pd.DataFrame, bands: list[str]) -> tuple[list[np.ndarray
     out = []
     for b in bands:
         array = np.zeros((r.max() + 1, c.max() + 1))
-        array[r, c] = group[b].to_numpy()
+        array[r, c] = group[b].fillna(0).to_numpy()
         out.append(array)
     return out, r, c
 
@@ -249,14 +249,16 @@ def per_pixel(pixels: DataFrame, bands: list[str], kernel: Callable[[list[np.nda
     return pixels.select(*dict.fromkeys([*columns, *bands])).groupBy("block").applyInPandas(run, ", ".join(map(of, columns)) + f", {name} {kind}")
 
 
-def block_quality(pixels: DataFrame, band: str = "b0") -> DataFrame:
-    """(block, score): the quality score of each block."""
+def block_quality(pixels: DataFrame, band: str = "b0", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep``, block, score): the quality score of each block, with columns that are the same all over it."""
+    columns = [*keep, "block"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         (array,), _, _ = block_arrays(group, [band])
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "score": [quality_score(array)]})
+        return group[columns].iloc[:1].assign(score=quality_score(array))
 
-    return pixels.select("block", "x", "y", band).groupBy("block").applyInPandas(run, f"block {pixels.schema['block'].dataType.simpleString()}, score double")
+    schema = ", ".join(f"{c} {pixels.schema[c].dataType.simpleString()}" for c in columns) + ", score double"
+    return pixels.select(*columns, "x", "y", band).groupBy("block").applyInPandas(run, schema)
 
 
 def segment_blocks(pixels: DataFrame, bands: list[str], sensor: str = "srgb", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -265,10 +267,11 @@ def segment_blocks(pixels: DataFrame, bands: list[str], sensor: str = "srgb", ke
     return per_pixel(pixels, bands, lambda arrays: segment(arrays, params), "seg", "int", keep)
 
 
-def neighbour_counts(pixels: DataFrame, mode: str = "literal", value: str = "b1") -> DataFrame:
+def neighbour_counts(pixels: DataFrame, mode: str = "literal", value: str = "b1", height: str | None = None) -> DataFrame:
     """(block, seg, v, c): values of the pixels around segments, as ``segments.neighbours`` meets them, counted.
 
     For blocks of a known size: rows and columns 3 and 4 away are slices of the block's arrays, so there is no join. Places without a pixel are never met.
+    ``height``: a column with the number of a block's rows, if its last may be without pixels; ``x`` then counts from the block's first.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -276,6 +279,7 @@ def neighbour_counts(pixels: DataFrame, mode: str = "literal", value: str = "b1"
         there = np.zeros(first.shape, bool)
         there[r, c] = True
         rows, cols = first.shape
+        lowest, tall = (int(group["x"].min()), int(group[height].iloc[0])) if height else (0, rows)
         pairs = []
         for o in (-4, -3, 3, 4):
             for down, across in ((o, 0), (0, o)):
@@ -283,11 +287,12 @@ def neighbour_counts(pixels: DataFrame, mode: str = "literal", value: str = "b1"
                 b = (slice(max(0, down), rows + min(0, down)), slice(max(0, across), cols + min(0, across)))
                 met = there[a] & there[b] & (first[a] != 0) & (seg[b] != (0 if mode == "training" else seg[a]))
                 if across and mode != "clean":  # columns are probed only where the row at that offset is in the block
-                    row = np.arange(rows)[a[0]][:, None] + o
-                    met &= (row >= 0) & (row < rows)
+                    row = np.arange(rows)[a[0]][:, None] + o + lowest
+                    met &= (row >= 0) & (row < tall)
                 pairs.append(np.column_stack([seg[a][met], values[b][met]]))
         found, count = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
         return pd.DataFrame({"block": group["block"].iloc[0], "seg": found[:, 0].astype(int), "v": found[:, 1].astype(int), "c": count})
 
     kind = pixels.schema["block"].dataType.simpleString()
-    return pixels.select(*dict.fromkeys(["block", "x", "y", "b0", value, "seg"])).groupBy("block").applyInPandas(run, f"block {kind}, seg int, v int, c long")
+    columns = ["block", "x", "y", "b0", value, "seg", *([height] if height else [])]
+    return pixels.select(*dict.fromkeys(columns)).groupBy("block").applyInPandas(run, f"block {kind}, seg int, v int, c long")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.tiling import per_scene
+
 
 def stretch(v: Column, low: Column, high: Column) -> Column:
     """A value clamped to [low, high] and spread over 1 to 255, by integer arithmetic; 0 (no data) stays 0.
@@ -47,17 +48,23 @@ def band_range(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.groupBy(*keys).agg(F.min("dn").alias("dn_min"), F.max("dn").alias("dn_max"))
 
 
-def band_histogram(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, dn, h): counts of unit bins from the least value to the one before the largest, empty bins too.
+def dn_counts(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, dn, n): how often each whole value occurs. Values are counted where they lie, so a shuffle carries at most one row for each value and task."""
+    return values.groupBy(*keys, F.floor("dn").alias("dn")).agg(F.count("*").alias("n"))
 
-    Values are counted where they lie, so a shuffle carries at most one row for each value and task; the largest value has no bin.
-    """
-    counts = values.groupBy(*keys, F.floor("dn").alias("dn")).agg(F.count("*").alias("n"))
-    ends = values.groupBy(*keys).agg(F.floor(F.min("dn")).alias("first"), F.floor(F.max("dn")).alias("last"))
+
+def histogram_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, dn, h): unit bins from the least value to the one before the largest, empty bins too; the largest value has no bin. Values are not looked at again for the ends."""
+    ends = counts.groupBy(*keys).agg(F.min("dn").alias("first"), F.max("dn").alias("last"))
     bins = ends.where("last > first").select(*keys, F.posexplode(F.sequence(F.col("first"), F.col("last") - 1)).alias("i", "dn"))
     return bins.join(counts, [*keys, "dn"], "left").select(*keys, F.col("i").cast("long").alias("i"), "dn", F.coalesce("n", F.lit(0)).alias("h"))
 
 
+def band_histogram(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, dn, h): counts of unit bins of values, as ``histogram_of`` makes them."""
+    return histogram_of(dn_counts(values, keys), keys)
+
+
 def peak_candidates(histogram: DataFrame, keys: list[str], least_share: float = 0.004) -> DataFrame:
     """Bins of a histogram that may be peaks: (keys, i, dn, h).
 
@@ -83,40 +90,37 @@ def peak_candidates(histogram: DataFrame, keys: list[str], least_share: float =
     return histogram.withColumns(look).where(chosen).select(*keys, "i", "dn", "h")
 
 
-def thin_peaks(candidates: list[tuple[int, int]]) -> list[int]:
-    """Values of the (value, count) peaks left when near ones give way.
+def _thinned(peaks: Column, reach: Column) -> Column:
+    """Peaks (an array of dn and h, dn ascending) that are left when near ones give way once.
 
-    With a reach of 5, 10, ... up to a sixth of the peaks' span (5 at least), neighbours nearer than the reach are compared in order, and
-    the lower goes, the right one of equals; a peak right of one that stays is not compared again in that round.
+    Neighbours nearer than ``reach`` are compared in order, and the lower goes, the right one of equals; a peak right of one that stays is not compared
+    with it again. A fold whose state is what stays, and the peak to compare the next one with, if any.
     """
-    peaks = list(candidates)
-    reach = max(5, int((peaks[-1][0] - peaks[0][0]) / 6)) if peaks else 0
-    for distance in range(5, reach + 1, 5):
-        gone, at = set(), 0
-        while at < len(peaks) - 1:
-            left, right = peaks[at], peaks[at + 1]
-            step = 1
-            if right[0] - left[0] < distance:
-                if left[1] < right[1]:
-                    gone.add(at)
-                else:
-                    gone.add(at + 1)
-                    step = 2
-            at += step
-        peaks = [p for k, p in enumerate(peaks) if k not in gone]
-    return [p[0] for p in peaks]
+    peak = "struct<dn:bigint,h:bigint>"
+    state = lambda stay, left: F.struct(stay.alias("stay"), left.alias("left"))
+    none = F.lit(None).cast(peak)
 
+    def step(s: Column, right: Column) -> Column:
+        left, settled = s["left"], F.concat(s["stay"], F.array(s["left"]))
+        near = right["dn"] - left["dn"] < reach
+        return F.when(left.isNull() | (near & (left["h"] < right["h"])), state(s["stay"], right)).when(near, state(settled, none)).otherwise(state(settled, right))
 
-def peaks(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, peak: long): candidates thinned for each image and band. A group has at most as many rows as its histogram has bins."""
-    schema = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in keys) + ", peak long"
+    start = state(F.array().cast(f"array<{peak}>"), none)
+    return F.aggregate(peaks, start, step, lambda s: F.when(s["left"].isNull(), s["stay"]).otherwise(F.concat(s["stay"], F.array(s["left"]))))
 
-    def thin(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("dn")
-        left = thin_peaks(list(zip(group["dn"].tolist(), group["h"].tolist())))
-        return pd.DataFrame({k: group[k].iloc[0] for k in keys} | {"peak": left})
 
-    return candidates.groupBy(*keys).applyInPandas(thin, schema)
+def thin_peaks(peaks: Column) -> Column:
+    """Peaks (an array of dn and h, dn ascending) thinned with a reach of 5, 10, ... up to a sixth of their span, 5 at least."""
+    span = F.element_at(peaks, -1)["dn"] - F.element_at(peaks, 1)["dn"]
+    most = F.greatest(F.lit(5), F.floor(span / 6).cast("int"))
+    return F.when(F.size(peaks) > 1, F.aggregate(F.sequence(F.lit(5), most, F.lit(5)), peaks, _thinned)).otherwise(peaks)
+
+
+def peaks(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, peak: long): candidates thinned for each image and band. A group has at most as many rows as its histogram has bins."""
+    one = F.struct(F.col("dn").cast("long").alias("dn"), F.col("h").cast("long").alias("h"))
+    gathered = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("_peaks"))
+    return gathered.select(*keys, F.explode(thin_peaks(F.col("_peaks"))).alias("_peak")).select(*keys, F.col("_peak.dn").alias("peak"))
 
 
 def thresholds(histogram: DataFrame, peak_ends: DataFrame, keys: list[str], src_dtype: int = 8, top: float = 0.15, bottom: float = 0.5) -> DataFrame:
@@ -147,34 +151,38 @@ def thresholds(histogram: DataFrame, peak_ends: DataFrame, keys: list[str], src_
 def image_params(band_params: DataFrame, keys: list[str], src_dtype: int = 8) -> DataFrame:
     """(keys, lower, upper) of an image, from (keys, lower, upper, peaks) of its bands.
 
-    The widest of the bands' cuts; with no more than one peak a band, upper is at least a share of the sensor's range.
+    The widest of the bands' cuts; with no more than one peak a band, upper is at least a share of the sensor's range. An image without any cuts, or whose cuts leave
+    no range (one value all over, or two), keeps the sensor's whole range.
     """
-    least_upper, share = (2047, 0.25) if src_dtype > 8 else (255, 0.8)
-    whole = band_params.groupBy(*keys).agg(
-        F.least(F.min("lower"), F.lit(2048)).alias("lower"), F.greatest(F.max("upper"), F.lit(-1)).alias("upper"), F.sum("peaks").alias("peaks"), F.count("*").alias("bands")
-    )
-    upper = F.when(F.col("peaks") <= F.col("bands"), F.greatest("upper", F.lit(int(least_upper * share)))).otherwise(F.col("upper"))
-    return whole.select(*keys, F.col("lower").cast("long").alias("lower"), upper.cast("long").alias("upper"))
+    full, share = (2047, 0.25) if src_dtype > 8 else (255, 0.8)
+    whole = band_params.groupBy(*keys).agg(F.min("lower").alias("low"), F.max("upper").alias("high"), F.sum("peaks").alias("peaks"), F.count("*").alias("bands"))
+    upper = F.when(F.col("peaks") <= F.col("bands"), F.greatest("high", F.lit(int(full * share)))).otherwise(F.col("high"))
+    usable = F.coalesce(F.least("low", F.lit(2048)) < upper, F.lit(False))
+    return whole.select(*keys, F.when(usable, F.col("low")).otherwise(1).cast("long").alias("lower"), F.when(usable, upper).otherwise(full).cast("long").alias("upper"))
 
 
 def stretch_from_histogram(values: DataFrame, keys: list[str], src_dtype: int = 8) -> DataFrame:
-    """(keys, lower, upper, white, black) of images, from their values (keys, band, dn): the whole way from histograms to cuts.
+    """(keys, lower, upper, white, black) of images, from their values (keys, band, dn): the whole way from histograms to cuts, in one pass over the values.
 
     Every band's histogram, its peaks, thinned, and the cuts that they give; then the images' widest cuts, and the bands' references as arrays
-    in order of the bands. A band without peaks has no cuts of its own, and null references.
+    in order of the bands. A band without peaks has no cuts of its own: its white is the image's largest, so that balancing leaves it as it is, and its black the
+    image's lower cut.
     """
     of = [*keys, "band"]
-    histogram = band_histogram(values, of)
+    counts = dn_counts(values, of)
+    histogram = histogram_of(counts, of)
     ends = peaks(peak_candidates(histogram, of), of).groupBy(*of).agg(F.min("peak").alias("low"), F.max("peak").alias("high"), F.count("*").alias("peaks"))
     cuts = thresholds(histogram, ends, of, src_dtype).join(ends.select(*of, "peaks"), of)
-    bands = band_range(values, of).select(*of).join(cuts, of, "left").withColumn("peaks", F.coalesce("peaks", F.lit(0)))
-    in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("band", c))), lambda s: s[c].cast("double")).alias(c)  # noqa: E731  a handful of bands
-    return image_params(bands, keys, src_dtype).join(bands.groupBy(*keys).agg(in_order("white"), in_order("black")), keys)
+    bands = counts.select(*of).distinct().join(cuts, of, "left").withColumn("peaks", F.coalesce("peaks", F.lit(0)))
+    references = bands.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("band", "white", "black"))).alias("each"), F.max("white").alias("largest"))  # a handful of bands
+    or_else = lambda c, other: F.transform("each", lambda s: F.coalesce(s[c], other).cast("double")).alias(c)
+    found = image_params(bands, keys, src_dtype).join(references, keys)
+    return found.select(*keys, "lower", "upper", or_else("white", F.coalesce("largest", "upper")), or_else("black", F.col("lower")))
 
 
 def corrected(pixels: DataFrame, params: DataFrame, keys: list[str], bands: list[str], balance: bool) -> DataFrame:
     """``pixels`` stretched to 8 bits, and balanced if asked, by the parameters of their image (a row an image)."""
-    joined = pixels.join(params.select(*keys, "lower", "upper", "white"), keys)
+    joined = per_scene(pixels, params.select(*keys, "lower", "upper", "white"), keys)
     out = {b: stretch(F.col(b), F.col("lower"), F.col("upper")) for b in bands}
     if balance:
         out = {b: white_balance(v, F.get("white", F.lit(i)), F.array_max("white")) for i, (b, v) in enumerate(out.items())}

@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 
 from tessera.functions.names import DEFAULT_DAY, season
 from tessera.model import SENSORS
-from tessera.operators import classify, kernels, radiometry, segments, tiling, training
+from tessera.operators import classify, kernels, radiometry, scene, segments, tiling, training
 from tessera.sources.staging import staged
 
 
 @dataclass(frozen=True)
 class Options:
-    """What a run is told: ``stretch`` is ``hist`` (from histograms) or ``none`` (the whole range of ``src_dtype`` bits); ``training_label``
-    names the label set of scenes whose season does not; blocks are ``block`` pixels each way, and independent of each other."""
+    """What a run is told: ``stretch`` is ``hist`` (from histograms), or ``none`` or ``pansh`` (the whole range of ``src_dtype`` bits); ``training_label``
+    names the label set of scenes whose season does not; blocks are ``block`` pixels each way. Blocks are independent of each other, unless there is a ``halo``: then
+    segments are the scene's, and go on across blocks."""
 
     sensor: str = "srgb"
     stretch: str = "hist"
     src_dtype: int = 8
     training_label: str | None = None
     block: int = 512
+    halo: int = 0
     trees: int = 100
     depth: int = 12
     seed: int = 17
@@ -43,8 +45,8 @@ def stretch_params(pixels: DataFrame, options: Options) -> DataFrame:
     """(image_id, lower, upper, white, black): a row for each image."""
     if options.stretch == "hist":
         return radiometry.stretch_from_histogram(radiometry.unpivot_bands(pixels, ["image_id"], options.bands()), ["image_id"], options.src_dtype)
-    if options.stretch != "none":
-        raise ValueError("stretch is hist or none")
+    if options.stretch not in ("none", "pansh"):
+        raise ValueError("stretch is hist, none or pansh")
     depth = pixels.sparkSession.createDataFrame([(options.src_dtype, len(options.bands()))], "src_dtype int, bands int")
     whole = radiometry.full_range_params(depth).select("lower", "upper", F.col("white").cast("array<double>").alias("white"), F.col("black").cast("array<double>").alias("black"))
     return pixels.select("image_id").distinct().join(F.broadcast(whole))  # one row
@@ -52,18 +54,22 @@ def stretch_params(pixels: DataFrame, options: Options) -> DataFrame:
 
 def blocked(pixels: DataFrame, size: int) -> DataFrame:
     """``pixels`` with block (its image, row and column), r and c (their place in it), and h and w (its size, clipped at the scene's ends)."""
-    extent = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("rows"), (F.max("y") + 1).alias("cols"))
-    placed = tiling.assign_blocks(pixels, size, size).join(extent, "image_id")
+    placed = tiling.per_scene(tiling.assign_blocks(pixels, size, size), tiling.extents(pixels, ["image_id"]).drop("n"), ["image_id"])
     left = lambda n, at: F.least(F.lit(size), F.col(n) - F.col(at) * size)
     return placed.withColumns({"block": F.concat_ws("/", "image_id", "block_row", "block_col"), "h": left("rows", "block_row"), "w": left("cols", "block_col")}).drop(
         "block_row", "block_col", "rows", "cols"
     )
 
 
-def segment_features(segmented: DataFrame, images: DataFrame, params: DataFrame, sensor: str) -> DataFrame:
-    """(image_id, block, seg, features: array<double>): every segment, also those without data, whose features are 0, as are undefined ones."""
+def segment_features(segmented: DataFrame, images: DataFrame, params: DataFrame, sensor: str, whole: bool = False) -> DataFrame:
+    """(image_id, block, seg, features: array<double>): every segment, also those without data, whose features are 0, as are undefined ones.
+
+    What lies around segments is counted by a kernel in each block, or, where a block is a ``whole`` scene (and in other sensors' features), by a join.
+    """
     place = segmented.select("block", "seg", F.col("r").alias("x"), F.col("c").alias("y"), "h", "w", *(c for c in segmented.columns if c.startswith("b") and c[1:].isdigit()))
     options = {"wv02_ms": {"white": [1.0] * 8, "black": [1.0] * 8}, "pan": {"day_of_year": DEFAULT_DAY}}.get(sensor, {})
+    if sensor == "srgb" and not whole:
+        options["around"] = kernels.neighbour_counts(place, height="h")
     rows = segments.features(sensor, place, F.col("h"), F.col("w"), **options)
     rows = segmented.select("image_id", "block", "seg").distinct().join(rows, ["block", "seg"], "left")
     if sensor == "wv02_ms":  # by the references of each image
@@ -76,21 +82,42 @@ def segment_features(segmented: DataFrame, images: DataFrame, params: DataFrame,
     return rows.select("image_id", "block", "seg", F.array(*(F.coalesce(F.col(f"f{i}").cast("double"), F.lit(0.0)) for i in range(count))).alias("features"))
 
 
-def predictions(features: DataFrame, images: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
-    """(block, seg, cls): classes by a forest for each label set that the images name, each fitted once."""
+def label_sets(scenes: DataFrame, images: DataFrame, options: Options) -> DataFrame:
+    """(image_id, label_set) of ``scenes`` (image_id): by the season in sRGB; one without a day, or that ``images`` does not list, has the default day."""
     named = season(F.coalesce("day", F.lit(DEFAULT_DAY))) if options.sensor == "srgb" else F.lit(options.training_label or options.sensor)
-    asked = features.join(images.select("image_id", named.alias("label_set")), "image_id")
-    out = []
-    for label_set in ("spring", "summer") if options.sensor == "srgb" else (options.training_label or options.sensor,):
-        mine = training.training_rows(rows, label_set, options.sensor)
-        if not mine.isEmpty():
-            forest = classify.fit_forest(mine, "features", trees=options.trees, depth=options.depth, seed=options.seed)
-            out.append(classify.predict(forest, asked.where(F.col("label_set") == label_set), "features").select("block", "seg", "cls"))
-    if not out:
-        raise ValueError("no usable training rows")
+    return scenes.select("image_id").join(images.select("image_id", "day"), "image_id", "left").select("image_id", named.alias("label_set"))
+
+
+def predictions(features: DataFrame, sets: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
+    """(block, seg, cls): classes by a forest for each label set of ``sets`` (image_id, label_set), each fitted once. A set without usable training rows is an error that names it."""
+    rows = rows.cache()
+    try:
+        forests = {}
+        for (label_set,) in sorted(sets.select("label_set").distinct().collect()):  # two seasons at most
+            mine = training.training_rows(rows, label_set, options.sensor)
+            if mine.isEmpty():
+                raise ValueError(f"no usable training rows for the label set {label_set}, nor for {options.sensor}")
+            forests[label_set] = classify.fit_forest(mine, "features", trees=options.trees, depth=options.depth, seed=options.seed)
+    finally:
+        rows.unpersist()
+    asked = staged(tiling.per_scene(features, sets, ["image_id"]), "features")
+    out = [classify.predict(forest, asked.where(F.col("label_set") == label_set), "features").select("block", "seg", "cls") for label_set, forest in forests.items()]
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def block_segments(fixed: DataFrame, options: Options) -> DataFrame:
+    """Corrected pixels with seg, from 0 in each block."""
+    keep = ("image_id", "r", "c", "h", "w", *options.bands())
+    return segments.rebase_labels(kernels.segment_blocks(fixed, options.bands(), options.sensor, keep=keep))
+
+
+def scene_segments(fixed: DataFrame, options: Options) -> DataFrame:
+    """Corrected pixels with seg, the scene's own; a scene is one block."""
+    found = scene.segments_scene(fixed.select("image_id", "x", "y", *options.bands()), ["image_id"], options.bands(), options.sensor, size=options.block, halo=options.halo)
+    whole = tiling.per_scene(found, tiling.extents(found, ["image_id"]).select("image_id", F.col("rows").alias("h"), F.col("cols").alias("w")), ["image_id"])
+    return whole.withColumns({"block": F.col("image_id"), "r": F.col("x"), "c": F.col("y")})
+
+
 def classify_scenes(pixels: DataFrame, images: DataFrame, rows: DataFrame, options: Options = Options(), segmented: DataFrame | None = None) -> Run:
     """Classes of all scenes' pixels, and a report for each.
 
@@ -99,20 +126,17 @@ def classify_scenes(pixels: DataFrame, images: DataFrame, rows: DataFrame, optio
     described, classified and painted. ``segmented``, if given, stands for the result of segmentation: corrected pixels with block, seg, r, c, h and w.
     Segmented pixels are staged, as kernels are dear and their result is read several times.
     """
-    bands = options.bands()
+    bands, own = options.bands(), ("image_id",)
     raw = blocked(pixels, options.block)
     params = staged(stretch_params(pixels, options), "stretch")
     if segmented is None:
         fixed = radiometry.corrected(raw, params, ["image_id"], bands, balance=options.sensor == "srgb")
-        found = kernels.segment_blocks(fixed, bands, options.sensor, keep=("image_id", "r", "c", "h", "w", *bands))
-        segmented = staged(segments.rebase_labels(found), "segments")
-    features = segment_features(segmented, images, params, options.sensor)
-    found = staged(predictions(features, images, rows, options), "predictions")
-    names = segmented.select("block", "image_id").distinct()
-    painted = classify.paint(segmented, found, bands[:3]).join(names, "block").select("image_id", "x", "y", "block", "seg", "cls")
+        segmented = staged(scene_segments(fixed, options) if options.halo else block_segments(fixed, options), "segments")
+    features = segment_features(segmented, images, params, options.sensor, whole=options.halo > 0)
+    found = staged(predictions(features, label_sets(params, images, options), rows, options), "predictions")
+    painted = classify.paint(segmented, found, bands[:3], keep=own)
     if options.sensor == "srgb":
-        scores = kernels.block_quality(raw).join(names, "block").select("image_id", "score")
-        quality = classify.quality_min(scores)
+        quality = classify.quality_min(kernels.block_quality(raw, keep=own))
     else:
-        quality = names.select("image_id", F.lit(1.0).alias("quality")).distinct()
+        quality = params.select("image_id", F.lit(1.0).alias("quality"))
     return Run(painted, classify.report(classify.class_counts(painted, ["image_id"]), quality, ["image_id"]))

@@ -17,23 +17,9 @@ from pyspark.sql import functions as F
 from tessera.model import SENSORS
 from tessera.operators import kernels
 from tessera.operators.graph import connected
+from tessera.operators.tiling import extents, per_scene
 from tessera.sources.staging import staged
 
-#: Tables of a row for each scene are broadcast up to so many rows.
-MOST_SCENES = 100_000
-
-
-def extents(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rows, cols, n): how far each scene goes, and how many pixels it has."""
-    return pixels.groupBy(*keys).agg((F.max("x") + 1).alias("rows"), (F.max("y") + 1).alias("cols"), F.count("*").alias("n"))
-
-
-def per_scene(pixels: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``pixels`` with the columns of ``table``, a row for each scene: broadcast, so pixels stay where they are, unless there are more than ``MOST_SCENES`` of them."""
-    few = table.limit(MOST_SCENES + 1).count() <= MOST_SCENES
-    return pixels.join(F.broadcast(table) if few else table, keys, how)
-
-
 def with_halo(pixels: DataFrame, keys: list[str], size: int, halo: int) -> DataFrame:
     """Pixels, with rows and cols of their scene, once for each block (block_row, block_col; ``size`` pixels each way) that they lie in or within ``halo`` of."""
     last = lambda n: F.floor((F.col(n) - 1) / size)

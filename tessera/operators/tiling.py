@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.model import DISPLAY_BANDS
+from tessera.model import DISPLAY_BANDS, RAW_DISPLAY_BANDS
 from tessera.operators.ordered import numbered
 
+#: Tables of a row for each scene are broadcast up to so many rows.
+MOST_SCENES = 100_000
+
 
 def block_size(dim: Column, desired: int, step: int = 256) -> Column:
     """The first of desired, desired + step, ... that leaves of ``dim`` a rest of over half a block; ``dim`` at most.
@@ -71,6 +74,22 @@ def display(pixels: DataFrame, sensor: str) -> DataFrame:
     return composite(pixels, [f"b{k}" for k in DISPLAY_BANDS[sensor]])
 
 
+def raw_display(pixels: DataFrame, sensor: str) -> DataFrame:
+    """The bands of a raw scene of a sensor that are drawn as red, green and blue."""
+    return composite(pixels, [f"b{k}" for k in RAW_DISPLAY_BANDS[sensor]])
+
+
 def band_arrays(pixels: DataFrame, bands: list[str]) -> DataFrame:
     """(x, y, bands): wide bands, one or more, as an array with one place a band."""
     return pixels.select("x", "y", F.array(*bands).alias("bands"))
+
+
+def extents(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rows, cols, n): how far each scene goes, and how many pixels it has."""
+    return pixels.groupBy(*keys).agg((F.max("x") + 1).alias("rows"), (F.max("y") + 1).alias("cols"), F.count("*").alias("n"))
+
+
+def per_scene(pixels: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``pixels`` with the columns of ``table``, a row for each scene: broadcast, so pixels stay where they are, unless there are more than ``MOST_SCENES`` of them."""
+    few = table.limit(MOST_SCENES + 1).count() <= MOST_SCENES
+    return pixels.join(F.broadcast(table) if few else table, keys, how)

@@ -112,11 +112,31 @@ def hist_peak_candidates(spark, d):
     return radiometry.peak_candidates(_event_histogram(spark, d), ["band"]).select("i", "dn", "h")
 
 
+#: Peaks of candidates (g, dn, h), thinned one comparison at a time: d the reach, i the next peak, stay and left what stays and the peak to compare the next one with.
+_THINNED = """gathered as (select g, list(struct_pack(dn := dn, h := h) order by dn) peaks, greatest(5, cast(floor((max(dn)-min(dn))/6) as bigint)) most from candidates group by g),
+  thin(g, most, d, i, peaks, stay, lft) as (
+    select g, most, 5, 1, peaks, list_filter(peaks, lambda p: false), null::struct(dn bigint, h bigint) from gathered
+    union all
+    select g, most, case when e is null then d+5 else d end, case when e is null then 1 else i+1 end,
+      case when e is not null then peaks when lft is null then stay else list_append(stay, lft) end,
+      case when e is null then list_filter(peaks, lambda p: false) when lft is null or (near and lft.h<e.h) then stay else list_append(stay, lft) end,
+      case when e is null then null when lft is null or not near or lft.h<e.h then e end
+    from (select *, coalesce(e.dn-lft.dn<d, false) near from (select *, peaks[i] e from thin where d<=most))),
+  peaks as (select g, unnest(peaks) p from thin where d>most)"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("with ", "with recursive ", 1)
+
+
 @_query()
 def hist_peak_nms(spark, d):
     return radiometry.peaks(radiometry.peak_candidates(_event_histogram(spark, d), ["band"]), ["band"])
 
 
+_SQL["hist_peak_nms"] = _recursive(fx.sql(f", candidates as (select 0 as g, cast(dn as bigint) dn, cast(h as bigint) h from ({_CANDIDATES})), {_THINNED} select g as band, p.dn peak from peaks", "hist"))
+
+
 @_query(
     f"""select cast(case when (lo-black)/2047.0>=0.03 or hi-lo<2047/3.0 then least(black,163) else black end as bigint) as lower, cast(white as bigint) as upper, cast(white as bigint) white, cast(black as bigint) black
   from (select lo, hi, least(coalesce(min(dn) filter (dn>=hi and (dn-hi)%2=0 and h<=0.15*hh), max(dn)), max(dn)) white,
@@ -199,6 +219,12 @@ def downsample_mean(spark, d):
     return _rounded(tiling.downsample(fx.scene(spark, d), 4, ["b0", "b1", "b2"]).select("x", "y", "mean"))
 
 
+@_query("select x, y, b5 red, b3 green, b2 blue from ms", "ms")
+def raw_colour_bands(spark, d):
+    """The bands that raw scenes of eight are shown by, which are others than those of the labelling view."""
+    return tiling.raw_display(fx.ms(spark, d), "wv02_ms")
+
+
 @_query("select x, y, b4 red, b2 green, b1 blue from ms", "ms")
 def composite_bands(spark, d):
     return tiling.composite(fx.ms(spark, d), ["b4", "b2", "b1"])
@@ -474,6 +500,12 @@ def scan_union_distinct(spark, d):
     return images.scan_union(fx.files(spark, d), [".tif", ".jpg"])
 
 
+@_query("select distinct name from files where not starts_with(name,'.') and (contains(lower(name),'g_1') or contains(lower(name),'.h'))", "files")
+def scan_union_loose(spark, d):
+    """Keywords anywhere in a name, not in its extension alone."""
+    return images.scan_union(fx.files(spark, d), ["g_1", ".h"], strict=False)
+
+
 _BASE = "regexp_replace(name, '\\.[^.]*$', '')"
 
 
@@ -521,6 +553,23 @@ def tds_label_filter(spark, d):
     return training.usable_labels(fx.tds(spark, d))
 
 
+@_query("select pos, label_set, label from tds where label not in (0,6)", "tds")
+def tds_label_filter_ms(spark, d):
+    """Scenes of eight bands keep shadows in every set."""
+    return training.usable_labels(fx.tds(spark, d), sensor="wv02_ms")
+
+
+@_query(
+    """select label_set, sensor, case when sensor='srgb' and label_set<>'srgb' then concat(label_set,'_labels') else label_set end labels, case when sensor='srgb' and label_set<>'srgb' then concat(label_set,'_feature_matrix') else 'feature_matrix' end features, count(*) n
+  from tds, (values ('srgb'),('wv02_ms'),('pan')) t(sensor) group by 1, 2""",
+    "tds",
+)
+def training_names(spark, d):
+    """What a stored training set's labels and features are called, by its list and sensor."""
+    each = fx.tds(spark, d).select("label_set", F.explode(F.array(*map(F.lit, SENSORS))).alias("sensor")).groupBy("label_set", "sensor").agg(F.count("*").alias("n"))
+    return each.select("label_set", "sensor", *(c.alias(k) for k, c in names.training_names(F.col("label_set"), F.col("sensor")).items()), "n")
+
+
 @_query("select pos, label_set, label from tds where pos%5<>0 union all select pos, label_set, 4 from tds where pos%5=0", "tds")
 def tds_upsert(spark, d):
     rows = fx.tds(spark, d)
@@ -748,10 +797,56 @@ def _images(spark, d):
     return pixels, days
 
 
+#: Cuts of images (g: block * 3 + band), from their histograms to what all bands share.
+_CUTS = f""", dns as (select block*3+band g, dn from ({_LONG})), counts as (select g, dn, count(*) n from dns group by g, dn),
+  hist as (select e.g, e.dn, e.dn-lo i, coalesce(n, 0) h from (select g, lo, unnest(range(lo, hi)) dn from (select g, min(dn) lo, max(dn) hi from counts group by g)) e left join counts c on c.g=e.g and c.dn=e.dn),
+  candidates as (select g, cast(dn as bigint) dn, cast(h as bigint) h from (
+    select *, lag(h) over w p1, lead(h) over w n1, lag(h,5) over w p5, lead(h,5) over w n5, count(*) over p n, floor(sum(h) over p*0.004) least,
+      first_value(h) over w h_first, last_value(h) over (partition by g order by i rows between current row and unbounded following) h_last from hist window w as (partition by g order by i), p as (partition by g))
+    where case when i=0 then h>=n1 and h>=n5 and h_last>least when i=n-1 then h>=p1 and h>=p5 and h>least
+      else h>=p1 and h>=n1 and h>=coalesce(p5,h_first) and h>=coalesce(n5,h_last) and h>least end),
+  {_THINNED},
+  ends as (select g, min(p.dn) lo, max(p.dn) hi, count(*) n from peaks group by g),
+  found as (select g, n, lo, hi, least(coalesce(min(dn) filter (dn>=hi and (dn-hi)%2=0 and h<=0.15*hh), max(dn)), max(dn)) white, coalesce(max(dn) filter (dn<=lo and h<=0.5*hl), min(dn)) black
+    from (select h.*, e.lo, e.hi, e.n, max(h) filter (dn=lo) over w hl, max(h) filter (dn=hi) over w hh from hist h join ends e on e.g=h.g window w as (partition by h.g)) group by g, n, lo, hi),
+  bands as (select q.g//3 block, q.g%3 band, case when (lo-black)/255.0>=0.03 or hi-lo<85.0 then least(black, 20) else black end low, white, black, coalesce(n, 0) n from (select distinct g from counts) q left join found f on f.g=q.g),
+  images as (select block, min(low) low, case when sum(n)<=count(*) then greatest(max(white), 204) else max(white) end high, max(white) largest from bands group by block),
+  params as (select block, case when ok then low else 1 end as lower, case when ok then high else 255 end as upper, largest from (select *, coalesce(least(low, 2048)<high, false) ok from images))"""
+
+
 @_query()
 def stretch_hist_image(spark, d):
     pixels, _ = _images(spark, d)
-    return radiometry.stretch_from_histogram(radiometry.unpivot_bands(pixels, ["image_id"], ["b0", "b1", "b2"]), ["image_id"])
+    return radiometry.stretch_from_histogram(radiometry.unpivot_bands(pixels, ["image_id"], ["b0", "b1", "b2"]), ["image_id"]).select("image_id", "lower", "upper", F.posexplode("white").alias("band", "white"), "black").select(
+        "image_id", "band", "lower", "upper", "white", F.get("black", "band").alias("black")
+    )
+
+
+_SQL["stretch_hist_image"] = _recursive(fx.sql(
+    f"""{_CUTS} select printf('scene_%03d', p.block) image_id, cast(band as integer) band, cast(p.lower as bigint) as lower, cast(p.upper as bigint) as upper, cast(coalesce(white, largest, p.upper) as double) white, cast(coalesce(black, p.lower) as double) black
+  from params p join bands b on b.block=p.block""",
+    "scene",
+))
+
+
+@_query()
+def corrected_pixels(spark, d):
+    """Pixels stretched by the cuts of their image's histograms, and balanced by its bands' references."""
+    pixels, _ = _images(spark, d)
+    params = run.stretch_params(pixels, run.Options())
+    return radiometry.corrected(pixels, params, ["image_id"], ["b0", "b1", "b2"], True).select("image_id", "x", "y", "b0", "b1", "b2")
+
+
+def _corrected_sql(k: int) -> str:
+    v = f"floor((least(greatest(b{k}, p.lower), p.upper)-p.lower)*254/(p.upper-p.lower))+1"
+    return f"cast(case when b{k}=0 then 0 else greatest(1, least(255, floor(greatest(w[1], w[2], w[3])/w[{k + 1}]*({v.replace(')*254/(', ')*254//(')})))) end as integer) b{k}"
+
+
+_SQL["corrected_pixels"] = _recursive(fx.sql(
+    f"""{_CUTS}, refs as (select p.block, list(cast(coalesce(white, largest, p.upper) as double) order by band) w from params p join bands b on b.block=p.block group by p.block)
+  select printf('scene_%03d', s.block) image_id, cast(x%100 as integer) x, y, {', '.join(map(_corrected_sql, range(3)))} from scene s join params p on p.block=s.block join refs r on r.block=s.block""",
+    "scene",
+))
 
 
 @_query()

@@ -35,18 +35,6 @@ def pending(tasks: DataFrame, outputs: DataFrame) -> DataFrame:
     return named.join(outputs.select(F.col("name").alias("_raster")), "_raster", "left_anti").drop("_raster")
 
 
-def scenes(spark: SparkSession, path: str) -> DataFrame:
-    """Pixel tables (Parquet): the bands and keys that a query names are all that is read."""
-    return spark.read.parquet(path)
-
-
-def training_set(spark: SparkSession, path: str, label_set: str, fallback: str) -> DataFrame:
-    """Training rows of a label set, or of ``fallback`` if it has none; sets are folders, so others are not read."""
-    rows = spark.read.parquet(path)
-    own = rows.where(F.col("label_set") == label_set)
-    return own if not own.isEmpty() else rows.where(F.col("label_set") == fallback)
-
-
 def training_file(sensor: str) -> str:
     """The name that a sensor's training set has by default."""
     return f"{sensor}_training_data"

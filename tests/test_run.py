@@ -9,6 +9,29 @@ from tessera.operators import classify, kernels, ordered, radiometry, run, segme
 from tessera.sources import images, sinks
 
 
+def _thinned(peaks):
+    """Peaks (value, count) with the lower of near neighbours gone, by loops: reach 5, 10, ... up to a sixth of their span."""
+    for reach in range(5, max(5, (peaks[-1][0] - peaks[0][0]) // 6) + 1 if peaks else 0, 5):
+        gone, at = set(), 0
+        while at < len(peaks) - 1:
+            (here, n), (there, m) = peaks[at], peaks[at + 1]
+            near = there - here < reach
+            if near:
+                gone.add(at if n < m else at + 1)
+            at += 2 if near and n >= m else 1
+        peaks = [p for k, p in enumerate(peaks) if k not in gone]
+    return [p[0] for p in peaks]
+
+
+def test_peaks_are_thinned_as_by_loops(spark):
+    rng = np.random.default_rng(20)
+    cases = [[(10, 5)], [(10, 5), (12, 9), (90, 4)], [(10, 5), (12, 5), (14, 5)], [(10, 9), (12, 5), (40, 5)]]
+    cases += [[(int(d), int(rng.integers(1, 30))) for d in sorted(rng.choice(2000, n, replace=False))] for n in (2, 3, 20, 100, 300) for _ in range(6)]
+    rows = [(k, dn, h) for k, peaks in enumerate(cases) for dn, h in peaks]
+    out = radiometry.peaks(spark.createDataFrame(rows, "k int, dn long, h long").repartition(3), ["k"]).collect()
+    assert [sorted(r.peak for r in out if r.k == k) for k in range(len(cases))] == [_thinned(c) for c in cases]
+
+
 def _peaks(h, dn):
     """Candidate peaks of a histogram, and what is left of them, by loops."""
     least, n, found = int(sum(h) * 0.004), len(h), []
@@ -22,7 +45,7 @@ def _peaks(h, dn):
             ok = h[i] >= h[i - 1] and h[i] >= h[i + 1] and h[i] >= h[i - low] and h[i] >= h[i + high] and h[i] > least
         if ok:
             found.append((dn[i], h[i]))
-    return radiometry.thin_peaks(found)
+    return _thinned(found)
 
 
 def _cuts(values):
@@ -97,6 +120,48 @@ def test_a_run_is_its_steps(spark, scenes):
     assert (one == 1).all()
 
 
+def _training(spark, n=16, sets=("spring", "summer")):
+    return spark.createDataFrame([(s, i, i % 5 + 1, [float(i % 5 * 40)] * n) for s in sets for i in range(50)], "label_set string, pos long, label int, features array<double>")
+
+
+@pytest.mark.parametrize("value", [lambda x, y: 77, lambda x, y: 77 + 22 * (y % 2), lambda x, y: 0, lambda x, y: 255])
+def test_scenes_of_one_value_or_two(spark, value):
+    pixels = spark.createDataFrame([("flat", x, y, *[value(x, y)] * 3) for x in range(30) for y in range(30)], "image_id string, x int, y int, b0 int, b1 int, b2 int")
+    days = spark.createDataFrame([("flat", 100)], "image_id string, day int")
+    params = run.stretch_params(pixels, run.Options()).first()
+    assert (params.lower, params.upper, list(params.white)) == (1, 255, [255.0] * 3)
+    out = run.classify_scenes(pixels, days, _training(spark), run.Options(block=16, trees=5, depth=4))
+    report = out.report.first()
+    counts = [report[c] for c in ("White Ice", "Gray Ice", "Melt Ponds", "Open Water", "Shadow")]
+    assert out.painted.where("cls is null").count() == 0 and sum(counts) == (900 if value(0, 0) else 0)
+    fixed = radiometry.corrected(pixels, run.stretch_params(pixels, run.Options()), ["image_id"], ["b0", "b1", "b2"], True)
+    assert fixed.where("b0 is null or b1 is null or b2 is null").count() == 0
+
+
+def test_a_label_set_without_rows_is_named(spark, scenes):
+    pixels, _ = scenes
+    days = spark.createDataFrame([("scene0", 100), ("scene1", 200)], "image_id string, day int")
+    with pytest.raises(ValueError, match="summer"):
+        run.classify_scenes(pixels, days, _training(spark, sets=("spring",)), run.Options(block=32, trees=5, depth=3))
+
+
+def test_null_bands_have_no_data(spark):
+    pixels = spark.createDataFrame([(0, 0, 0, 1, 0, None, 0), (0, 0, 1, 1, 0, 5, 0), (0, 0, 2, 1, None, None, None)], "block int, x int, y int, seg int, b0 int, b1 int, b2 int")
+    found = spark.createDataFrame([(0, 1, 3)], "block int, seg int, cls int")
+    assert sorted((r.y, r.cls) for r in classify.paint(pixels, found, ["b0", "b1", "b2"]).collect()) == [(0, 0), (1, 3), (2, 0)]
+
+
+def test_a_run_with_segments_across_blocks(spark, scenes):
+    pixels, _ = scenes
+    days = pixels.select("image_id").distinct().withColumn("day", F.lit(100))
+    out = run.classify_scenes(pixels, days, _training(spark), run.Options(block=16, halo=16, trees=5, depth=4, stretch="pansh"))
+    painted = out.painted.toPandas()
+    assert len(painted) == 3 * 45 * 40 and (painted.block == painted.image_id).all()
+    both = painted[painted.x == 15].merge(painted[painted.x == 16], on=["image_id", "y"])
+    assert (both.seg_x == both.seg_y).mean() > 0.5
+    assert (painted[painted.cls > 0].groupby(["image_id", "seg"]).cls.nunique() == 1).all()
+
+
 def test_other_sensors_run(spark, scenes):
     pixels, _ = scenes
     days = pixels.select("image_id").distinct().withColumn("day", F.lit(170))
@@ -110,6 +175,10 @@ def test_other_sensors_run(spark, scenes):
 def test_kernel_neighbours_with_gaps(spark, scenes):
     pixels, _ = scenes
     frame = pixels.where("image_id = 'scene0' and not (x % 7 = 3 and y % 5 = 1)").withColumns({"block": F.lit(0), "seg": (F.floor(F.col("x") / 9) * 4 + F.floor(F.col("y") / 10)).cast("int")})
+    low = frame.where("x < 41")  # a block whose last rows have no pixels, but count
+    joined = segments.value_counts(segments.neighbours(low, 45, 40, "literal", ("b1",)), "b1")
+    counted = kernels.neighbour_counts(low.withColumn("h", F.lit(45)), height="h")
+    assert sorted((r.seg, r.v, r.c) for r in counted.collect()) == sorted((r.seg, r.v, r.c) for r in joined.collect())
     for mode in ("literal", "clean", "training"):
         joined = segments.value_counts(segments.neighbours(frame, 45, 40, mode, ("b1",)), "b1")
         expected = sorted((r.seg, r.v, r.c) for r in joined.collect())
