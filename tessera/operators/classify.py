@@ -40,6 +40,23 @@ def paint(pixels: DataFrame, predictions: DataFrame, bands: list[str], keep: tup
     return joined.select(*keep, "x", "y", "block", "seg", F.when(empty, 0).otherwise(F.coalesce("cls", F.lit(0))).alias("cls"))
 
 
+def paint_runs(rows: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``rows`` (runs of segments, as ``segments.runs`` makes them) with cls, as ``paint`` gives it to their pixels: the join reads runs, not pixels."""
+    joined = rows.join(predictions.select("block", "seg", "cls"), ["block", "seg"], "left")
+    return joined.withColumn("cls", F.when(F.col("empty"), 0).otherwise(F.coalesce("cls", F.lit(0))))
+
+
+def run_pixels(painted: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep``, x, y, block, seg, cls): the pixels of painted runs."""
+    return painted.select(*keep, "x", F.explode(F.sequence("first", "last")).alias("y"), "block", "seg", "cls")
+
+
+def run_counts(painted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n1 to n5): as ``class_counts`` of the runs' pixels, which are not made."""
+    pixels = (F.col("last") - F.col("first") + 1).cast("long")
+    return painted.groupBy(*keys).agg(*(F.sum(F.when(F.col("cls") == k, pixels).otherwise(0)).alias(f"n{k}") for k in range(1, 6)))
+
+
 def class_counts(painted: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n1 to n5): pixels of each class; class 0 is not counted. A single aggregate, whatever the number of classes."""
     return painted.groupBy(*keys).agg(*(F.count_if(F.col("cls") == k).alias(f"n{k}") for k in range(1, 6)))

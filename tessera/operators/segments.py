@@ -141,6 +141,20 @@ def features(sensor: str, pixels: DataFrame, height: int | Column, width: int |
     return {"srgb": features_srgb, "wv02_ms": features_ms, "pan": features_pan}[sensor](pixels, height, width, **options)
 
 
+def runs(pixels: DataFrame, bands: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep``, block, seg, empty, x, first, last): a raster as runs of neighbouring pixels of a row (y from first to last) that are of one segment, and all empty (0 or null in all ``bands``) or none.
+
+    Where y runs on, y less the pixel's number among those alike in its row stays the same. Columns to keep are the same all over a block.
+    """
+    none = F.lit(True)
+    for b in bands:
+        none = none & (F.coalesce(b, F.lit(0)) == 0)
+    alike = [*keep, "block", "seg", "empty", "x"]
+    placed = pixels.select(*keep, "block", "seg", none.alias("empty"), "x", "y")
+    number = F.row_number().over(Window.partitionBy(*alike).orderBy("y"))
+    return placed.withColumn("_run", F.col("y") - number).groupBy(*alike, "_run").agg(F.min("y").alias("first"), F.max("y").alias("last")).drop("_run")
+
+
 def rebase_labels(pixels: DataFrame) -> DataFrame:
     """Pixels with ``seg`` from 0 in each block."""
     least = F.min("seg").over(Window.partitionBy("block"))

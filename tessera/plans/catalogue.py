@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import names
 from tessera.model import SENSORS, classes
-from tessera.operators import classify, kernels, radiometry, run, scene, segments, stencils, tiling, training
+from tessera.operators import bagging, classify, kernels, radiometry, run, scene, segments, stencils, tiling, training
 from tessera.plans import fixtures as fx
 from tessera.sources import images, sinks
 
@@ -401,7 +401,26 @@ def paint_without_predictions(spark, d):
     return classify.paint(pixels, fx.pred(spark, d).where("seg % 13 <> 7"), ["b0", "b1", "b2"])
 
 
+@_query("select x, y, block, seg, cls from painted", "painted")
+def paint_runs(spark, d):
+    """The class raster by runs of segments, painted and then drawn out to pixels."""
+    return classify.run_pixels(classify.paint_runs(segments.runs(fx.scene(spark, d), ["b0", "b1", "b2"]), fx.pred(spark, d)))
+
+
 _COUNTS = ", ".join(f"count(*) filter (cls={k}) n{k}" for k in range(1, 6))
+@_query(f"select block, {_COUNTS} from painted group by block", "painted")
+def class_counts_runs(spark, d):
+    return classify.run_counts(classify.paint_runs(segments.runs(fx.scene(spark, d), ["b0", "b1", "b2"]), fx.pred(spark, d)), ["block"])
+
+
+@_query(
+    "select block, seg, x, min(y) as first, max(y) as last, empty from (select *, y-row_number() over (partition by block, seg, empty, x order by y) run from (select block, seg, x, y, b0=0 and b1=0 and b2=0 as empty from scene)) group by block, seg, x, empty, run",
+    "scene",
+)
+def segment_runs(spark, d):
+    return segments.runs(fx.scene(spark, d), ["b0", "b1", "b2"])
+
+
 _AREA = "(n1+n2+n3+n4+n5+1)"
 
 
@@ -609,6 +628,13 @@ def feature_importances(spark, d):
     return classify.importances(labelled.select("label", *(F.col("features")[k].alias(f"f{k}") for k in range(64))), [f"f{k}" for k in range(64)], trees=30, depth=8)
 
 
+@_query()
+def forest_oob(spark, d):
+    """A bagged forest judged by the trees that did not see a row."""
+    _, labelled = _forest_rows(spark, d)
+    return bagging.oob_score(bagging.fit_bagged(labelled, "pos", "features", trees=8, depth=6), labelled)
+
+
 @_query()
 def holdout_accuracy(spark, d):
     _, labelled = _forest_rows(spark, d)
