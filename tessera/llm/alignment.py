@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,17 @@ from tessera.llm.trigrams import bound
 #: A text is split by tiktoken, whose pattern steps once for each character, up to this many characters; longer ones go to the tokenizers library.
 _SPLIT_CHARACTERS = 200_000
 
-#: ids of a text, and each id's bytes.
-Encoder = tuple[Callable[[str], list[int]], list[bytes]]
+
+
+class Encoder(NamedTuple):
+    """ids of a text, each id's bytes, and whether tokens can only leave text out, never change it: then they are whole if they are as long."""
+
+    ids: Callable[[str], list[int] | np.ndarray]
+    pieces: list[bytes]
+    cuts: bool
+
+    def whole(self, ids: list[int] | np.ndarray, length: int, data: bytes) -> bool:
+        return length == len(data) and (self.cuts or b"".join(map(self.pieces.__getitem__, ids)) == data)
 
 
 @dataclass(frozen=True)
@@ -75,8 +85,8 @@ def _byte_level(path: str, pattern: str | None) -> Encoder:
         import tiktoken
 
         fast = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks={piece: i for i, piece in pieces.items()}, special_tokens={})
-        slow, encode = encode, lambda text: fast.encode_ordinary(text) if len(text) <= _SPLIT_CHARACTERS else slow(text)
-    return encode, [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)]
+        slow, encode = encode, lambda text: fast.encode_to_numpy(text, disallowed_special=()) if len(text) <= _SPLIT_CHARACTERS else slow(text)
+    return Encoder(encode, [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)], _is_plain(file))
 
 
 @lru_cache(maxsize=4)
@@ -85,7 +95,7 @@ def _pieces(path: str) -> Encoder:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     of = lambda i: bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()
-    return lambda text: model.encode(text, num_threads=1), [of(i) for i in range(model.vocab_size())]
+    return Encoder(lambda text: model.encode(text, num_threads=1), [of(i) for i in range(model.vocab_size())], False)
 
 
 def _tokens(docs: DataFrame, first: ByteLevel, second: Pieces, id_col: str, text_col: str) -> DataFrame:
@@ -93,21 +103,22 @@ def _tokens(docs: DataFrame, first: ByteLevel, second: Pieces, id_col: str, text
     text_batches(docs.sparkSession, 2)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (first_ids, first_pieces), (second_ids, second_pieces) = first.load(), second.load()
-        sizes = [np.array([len(p) for p in pieces], np.int32) for pieces in (first_pieces, second_pieces)]
+        coders = first.load(), second.load()
+        sizes = [np.array([len(p) for p in coder.pieces], np.int32) for coder in coders]
         none = np.zeros(0, np.int32)
         for batch in batches:
             rows: tuple[list[np.ndarray], ...] = ([], [], [], [])
             for value in batch.column("text"):
-                text = value.as_py()
-                a, b = (first_ids(" " + text), second_ids(text)) if text else ([], [])
+                text = value.as_py() or ""
                 whole = (" " + text).encode() if text else b""
-                if b"".join(map(first_pieces.__getitem__, a)) != whole or b"".join(map(second_pieces.__getitem__, b)) != whole:
-                    a = b = []
-                for at, ids in ((0, a), (2, b)):
-                    ids = np.array(ids, np.int32) if ids else none
-                    rows[at].append(ids)
-                    rows[at + 1].append(np.cumsum(sizes[at // 2][ids], dtype=np.int32))
+                found = (coders[0].ids(" " + text), coders[1].ids(text)) if text else ([], [])
+                ids = [np.asarray(f, np.int32) for f in found]
+                ends = [np.cumsum(size[i], dtype=np.int32) for size, i in zip(sizes, ids)]
+                if not all(coder.whole(f, int(e[-1]) if len(e) else 0, whole) for coder, f, e in zip(coders, found, ends)):
+                    ids = ends = [none, none]
+                for at in (0, 1):
+                    rows[2 * at].append(ids[at])
+                    rows[2 * at + 1].append(ends[at])
             columns = [lists(np.cumsum([0, *map(len, r)]), pa.array(np.concatenate([none, *r]))) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "a_ids", "a_ends", "b_ids", "b_ends"])
 
@@ -116,52 +127,66 @@ def _tokens(docs: DataFrame, first: ByteLevel, second: Pieces, id_col: str, text
     return rows.mapInArrow(encode, f"id {kind}, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
 
 
+def _each(low: int, n: Column) -> Column:
+    """low, low + 1, ... below n; none where there are none."""
+    return F.when(n > low, F.sequence(F.lit(low), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def _cuts(ends: Column, common: Column) -> Column:
     """How many tokens there are up to each of the ``common`` ends, which are among ``ends``; both ascend.
 
-    Merged in order, a common end comes right behind its token; its place, less the common ends before it, counts the tokens.
+    Sorted together, a common end stands twice; the place of its second, less the common ends before it, counts the tokens.
     """
-    twice = lambda values, more: F.transform(values, lambda e: e.cast("bigint") * 2 + more)
-    merged = F.sort_array(F.concat(twice(ends, 0), twice(common, 1)))
-    places = F.filter(F.transform(merged, lambda e, i: F.when(e % 2 == 1, i).otherwise(-1)), lambda i: i >= 0)
-    return F.transform(places, lambda i, k: i - k)
+    again = lambda merged: F.filter(_each(1, F.size(merged)), lambda i: F.get(merged, i) == F.get(merged, i - 1))
+    return F.transform(bound(F.sort_array(F.concat(ends, common)), again), lambda i, k: i - k)
 
 
 def _runs(ordered: Column) -> Column:
     """struct<pairs, times>: the different values of an ascending array, and how often each occurs."""
-    first = lambda v, i: F.when((i == 0) | (F.get(ordered, i - 1) != v), i).otherwise(-1)
-    starts = F.filter(F.transform(ordered, first), lambda i: i >= 0)
+    starts = F.filter(_each(0, F.size(ordered)), lambda i: (i == 0) | (F.get(ordered, i - 1) != F.get(ordered, i)))
     times = lambda s: F.transform(s, lambda i, k: F.coalesce(F.get(s, k + 1), F.size(ordered)) - i)
-    return bound(starts, lambda s: F.struct(F.transform(s, lambda i: F.get(ordered, i)).alias("pairs"), times(s).alias("times")))
+    return F.struct(F.array_distinct(ordered).alias("pairs"), bound(starts, times).alias("times"))
 
 
 def _digest(width: int, pair: str, crowd: int) -> Column:
     """What a row (a_ids, a_ends, b_ids, b_ends) comes to: groups between the ends that both have, and links within them.
 
     A pair of ids is one number, first * ``width`` + second. Texts with a group of more than ``crowd`` links keep their groups as they are instead (``crowded``).
+    Most groups are a token of either: these, and the others, are gone through by themselves.
     """
     a, b = F.col("a_ids"), F.col("b_ids")
-    part = lambda ids, cuts, k: bound(
-        F.when(k > 0, F.get(cuts, k - 1)).otherwise(0), lambda low: F.slice(ids, low + 1, F.get(cuts, k) - low)
-    )
-    linked = lambda g: F.size(g["a"]) * F.size(g["b"]).cast("bigint")
     number = lambda x, y: (x * F.lit(width).cast(pair) + y).cast(pair)
-    all_of = lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: number(x, y))))
-    links = lambda g: F.when(linked(g) == 1, F.array(number(F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0))))).otherwise(all_of(g))
     written = lambda ids: F.array_join(ids.cast("array<string>"), ",")
     none = F.array().cast("array<struct<a:array<int>,b:array<int>>>")
 
-    def of_groups(groups: Column) -> Column:
-        text = F.array_join(F.transform(groups, lambda g: F.concat(written(g["a"]), F.lit("|"), written(g["b"]))), ";")
-        crowded = F.exists(groups, lambda g: linked(g) > crowd)
-        few = F.when(crowded, F.array().cast(f"array<{pair}>")).otherwise(F.sort_array(F.flatten(F.transform(groups, links))))
-        return F.struct(
-            F.size(groups).cast("bigint").alias("n_groups"), F.aggregate(groups, F.lit(0).cast("bigint"), lambda s, g: s + linked(g)).alias("n_links"),
-            F.when(F.size(groups) > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"), bound(few, _runs).alias("links"), F.when(crowded, groups).otherwise(none).alias("crowded"),
-        )
-
     def of_cuts(c: Column) -> Column:
-        return bound(F.transform(c["x"], lambda _, k: F.struct(part(a, c["x"], k).alias("a"), part(b, c["y"], k).alias("b"))), of_groups)
+        """``c``: tokens of either up to each group's end (x, y), from which a group k is known."""
+        low = lambda cuts, k: F.when(k > 0, F.get(cuts, k - 1)).otherwise(0)
+        own = lambda cuts, k: F.get(cuts, k) - low(cuts, k)
+        single = lambda k: (own(c["x"], k) == 1) & (own(c["y"], k) == 1)
+        linked = lambda k: own(c["x"], k) * own(c["y"], k).cast("bigint")
+        part = lambda ids, cuts, k: F.slice(ids, low(cuts, k) + 1, own(cuts, k))
+        last = lambda ids, cuts, k: F.get(ids, F.get(cuts, k) - 1)
+        text = lambda k: F.when(single(k), F.concat(last(a, c["x"], k).cast("string"), F.lit("|"), last(b, c["y"], k).cast("string"))).otherwise(
+            F.concat(written(part(a, c["x"], k)), F.lit("|"), written(part(b, c["y"], k)))
+        )
+        every = _each(0, F.size(c["x"]))
+        groups_sha256 = F.when(F.size(c["x"]) > 0, F.sha2(F.array_join(F.transform(every, text), ";"), 256)).otherwise("")
+
+        def of_larger(larger: Column) -> Column:
+            """``larger``: the groups of more tokens than one of either."""
+            crowded = F.exists(larger, lambda k: linked(k) > crowd)
+            one = F.transform(F.filter(every, single), lambda k: number(last(a, c["x"], k), last(b, c["y"], k)))
+            product = lambda k: bound(part(b, c["y"], k), lambda two: F.flatten(F.transform(part(a, c["x"], k), lambda x: F.transform(two, lambda y: number(x, y)))))
+            links = F.sort_array(F.concat(one, F.flatten(F.transform(larger, product))))
+            whole = F.transform(every, lambda k: F.struct(part(a, c["x"], k).alias("a"), part(b, c["y"], k).alias("b")))
+            return F.struct(
+                F.size(c["x"]).cast("bigint").alias("n_groups"),
+                F.aggregate(larger, (F.size(c["x"]) - F.size(larger)).cast("bigint"), lambda s, k: s + linked(k)).alias("n_links"), groups_sha256.alias("groups_sha256"),
+                bound(F.when(crowded, F.array().cast(f"array<{pair}>")).otherwise(links), _runs).alias("links"), F.when(crowded, whole).otherwise(none).alias("crowded"),
+            )
+
+        return bound(F.filter(every, lambda k: ~single(k)), of_larger)
 
     cuts = lambda common: F.struct(_cuts(F.col("a_ends"), common).alias("x"), _cuts(F.col("b_ends"), common).alias("y"))
     return bound(F.array_intersect("a_ends", "b_ends"), lambda common: bound(cuts(common), of_cuts))
@@ -193,7 +218,7 @@ def align(
     Null and empty texts, and texts that either tokenizer does not give back byte for byte, have no tokens: zeros, and an empty groups_sha256. A null id keeps its row; repeated rows
     stay repeated, and each counts; other columns are not read. An empty input gives an empty result.
     """
-    width, many = len(second.load()[1]), len(first.load()[1])
+    width, many = len(second.load().pieces), len(first.load().pieces)
     pair = "int" if width * many < 2**31 else "bigint"
     coded = _tokens(docs, first, second, id_col, text_col).select(
         F.monotonically_increasing_id().alias("row"), "id", F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), _digest(width, pair, crowd).alias("d")

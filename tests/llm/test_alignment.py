@@ -68,6 +68,14 @@ def test_as_a_loop_aligns_them(spark, pattern, options):
     assert align(frame.where("doc_id < 0"), ByteLevel(FIRST, pattern), Pieces(SECOND), **options).count() == 0
 
 
+def test_texts_that_do_not_come_back_have_no_tokens(spark, tmp_path):
+    file = json.load(open(FIRST, encoding="utf-8")) | {"normalizer": {"type": "Lowercase"}}
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    out = align(spark.createDataFrame([(1, "Upper"), (2, "lower")], "doc_id long, text string"), ByteLevel(str(path), public_tokenizers.PATTERN), Pieces(SECOND)).collect()
+    assert {r.doc_id: (r.n_a > 0, r.n_b > 0, r.groups_sha256 != "") for r in out} == {1: (False,) * 3, 2: (True,) * 3}
+
+
 def test_a_long_text(spark):
     frame = spark.createDataFrame([("long", "the quick brown fox " * 60_000 + "é" * 100_000)], "name string, body string")
     row = align(frame, ByteLevel(FIRST, public_tokenizers.PATTERN), Pieces(SECOND), "name", "body").first()
