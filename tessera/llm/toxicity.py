@@ -20,7 +20,8 @@ from tessera.llm.shared import staged, text_batches
 #: Whole words, and prefixes of these lengths, are weighed as signs of a toxic document.
 SIGN_PREFIXES = (5, 6, 7, 8, 9)
 WINDOW = 12
-_WINDOWS_A_TEXT = 6
+#: Tagged windows of a toxic document, and clean ones of a clean document, that teach the chain.
+WINDOWS = (5, 2)
 
 
 @dataclass(frozen=True)
@@ -56,28 +57,31 @@ def learn_signs(sample: DataFrame, *, least_documents: int = 5, least_share: flo
     return {bytes(r["sign"]) for r in marked.orderBy(F.desc("toxic"), "sign").limit(most).collect()}
 
 
-def tagged_windows(sample: DataFrame, signs: set[bytes], window: int = WINDOW) -> list[tuple[list[bytes], list[int]]]:
-    """Tagged token sequences of labelled documents: of toxic ones around tokens with a sign, which are tagged; of all
-    ones from one place that the id decides, untagged. A few short windows a document, whatever its length.
+def tagged_windows(sample: DataFrame, signs: set[bytes], window: int = WINDOW, windows: tuple[int, int] = WINDOWS) -> list[tuple[list[bytes], list[int]]]:
+    """Token sequences of labelled documents: of toxic ones around tokens with a sign, which are tagged; of clean ones from anywhere, untagged.
+
+    ``windows``: the most of a toxic document, and those of a clean one. Which they are a hash of id and place decides, over the whole text, whatever its length; a toxic document's tokens
+    with a sign are at least two windows apart to have one each. ``window``: tokens on either side of the middle.
     """
 
     @F.pandas_udf("array<struct<words:array<binary>, tags:array<int>>>")
     def cut(ids: pd.Series, texts: pd.Series, labels: pd.Series) -> pd.Series:
-        return pd.Series([_windows(i, t, y, signs, window) for i, t, y in zip(ids, texts, labels)])
+        return pd.Series([_windows(i, t, y, signs, window, windows) for i, t, y in zip(ids, texts, labels)])
 
     rows = sample.select(F.col("doc_id"), F.explode(cut("doc_id", "text", "label")).alias("w")).select("doc_id", "w.*").collect()
     return [([bytes(w) for w in r["words"]], list(r["tags"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-def _windows(doc_id, text: str | None, label: int, signs: set[bytes], window: int) -> list[dict]:
+def _windows(doc_id, text: str | None, label: int, signs: set[bytes], window: int, windows: tuple[int, int]) -> list[dict]:
     words = [plain(w) for w in (text or "").encode().split()]
     tags = [int(bool(label) and bool(w) and any(s in signs for s in _signs(w))) for w in words]
     starts = []
     for i in np.flatnonzero(tags).tolist():
-        if len(starts) < _WINDOWS_A_TEXT - 1 and (not starts or i >= starts[-1] + 2 * window):
+        if not starts or i >= starts[-1] + 2 * window:
             starts.append(max(0, i - window))
+    starts = sorted(sorted(starts, key=lambda s: xxhash.xxh64_intdigest(f"{doc_id}:{s}"))[: windows[0]])
     if words and not label:
-        starts += [xxhash.xxh64_intdigest(str(doc_id), k) % len(words) for k in range(2)]
+        starts += [xxhash.xxh64_intdigest(str(doc_id), k) % len(words) for k in range(windows[1])]
     return [{"words": words[s : s + 2 * window + 1], "tags": tags[s : s + 2 * window + 1]} for s in starts]
 
 
@@ -141,8 +145,10 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 60)
     return tuple(map(float, w))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 4, held_out: int = 2, train_rows: int = 8_000, bits: int = 18) -> Toxicity:
-    """Chain and curve from labelled documents outside the held-out fold, about ``train_rows`` at most.
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 4, held_out: int = 2, train_rows: int = 8_000, bits: int = 18, windows: tuple[int, int] = WINDOWS,
+) -> Toxicity:
+    """Chain and curve from labelled documents outside the held-out fold, about ``train_rows`` at most, with so many ``windows`` of each toxic and clean one for the chain.
 
     Labels are of documents, so tokens are labelled first: those with a sign, in toxic documents. Three in four documents
     teach signs and chain; all set the curve, from marginals that the chain gives them.
@@ -151,8 +157,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     text_batches(docs.sparkSession)
     sample = staged(labelled_sample(docs, labels, "toxic", train_rows, lambda i: fold_of(i, folds) != held_out, id_col, text_col), "toxic-sample")
     teach = sample.where(F.pmod(F.xxhash64(F.lit("teach"), "doc_id"), F.lit(4)) > 0)
-    windows = tagged_windows(teach, learn_signs(teach))
-    chain = fit_chain(windows, bits)
+    chain = fit_chain(tagged_windows(teach, learn_signs(teach), windows=windows), bits)
     unfitted = Toxicity(chain, (0.0, 0.0, 0.0))
     rows = sample.select("doc_id", "label", tag_documents(unfitted, F.col("text")).alias("t")).select("doc_id", "label", "t.largest", "t.expected").toPandas().sort_values("doc_id")
     y = rows["label"].to_numpy(float)
