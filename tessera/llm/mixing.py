@@ -15,8 +15,6 @@ from tessera.llm.shared import WORD_PATTERN, staged, text_or_empty
 
 #: A word with the white space behind it.
 _WORD_AND_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
-#: numpy draws hypergeometric counts of fewer items than this, so larger numbers are drawn in units.
-_MOST_DRAWN = 10**9 - 1
 
 
 @dataclass(frozen=True)
@@ -71,22 +69,32 @@ def sources(spark: SparkSession, sized: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
+def _drawn(rng: np.random.Generator, good: int, others: int, take: int) -> int:
+    """How many of ``good`` items are among ``take`` drawn from them and ``others``, without replacement (hypergeometric), for numbers of any size.
+
+    Shares of the counts within 12 deviations of the mean, by the ratios of neighbours, and one number that falls among them; what lies further is less likely than a float can tell.
+    """
+    low, high = max(0, take - others), min(good, take)
+    if low == high:
+        return low
+    total = good + others
+    mean = take * (good / total)
+    reach = 12 * np.sqrt(mean * (others / total) * ((total - take) / max(total - 1, 1))) + 12
+    low, high = max(low, int(mean - reach)), min(high, int(mean + reach) + 1)
+    k = np.arange(low, high, dtype=float)
+    ratio = ((good - k) / (k + 1)) * ((take - k) / (others - take + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(ratio))])
+    upto = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
+
+
 def _split(counts: np.ndarray, left: int, seed: tuple[int, ...]) -> np.ndarray:
     """How many of each source's ``counts`` items go to the ``left`` first places, at random."""
-    total = int(counts.sum())
-    if left == 0 or left == total:
-        return counts * (left > 0)
-    unit = 1 + total // _MOST_DRAWN
-    whole = counts // unit
-    taken = np.random.default_rng(seed).multivariate_hypergeometric(whole, min(left // unit, int(whole.sum())), method="marginals") * unit
-    if lack := left - int(taken.sum()):  # less than a unit for each source: by what is left of each
-        rest = counts - taken
-        exact = rest * (lack / int(rest.sum()))
-        more = np.minimum(np.floor(exact).astype(np.int64), rest)
-        taken += more
-        for s in np.argsort(more - exact, kind="stable"):
-            add = min(lack - int(more.sum()), int(counts[s] - taken[s]))
-            taken[s], more[s] = taken[s] + min(add, 1), more[s] + min(add, 1)
+    rng, taken, rest = np.random.default_rng(seed), np.zeros_like(counts), int(counts.sum())
+    for s, own in enumerate(counts.tolist()):
+        rest -= own
+        taken[s] = _drawn(rng, own, rest, left)
+        left -= int(taken[s])
     return taken
 
 
@@ -95,20 +103,23 @@ def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int, known: d
 
     Multinomial counts given that over all shards they add up to ``slots``: the shards are halved again
     and again, and each half's counts are drawn without replacement from their parent's. A draw is seeded
-    by its place, so every task finds the same counts without the others.
+    by its place, so every task finds the same counts without the others. ``known`` has the draws on the way to the last shard, which are most of those on the way to the next.
     """
     total = int(slots.sum())
     bound = lambda i: total * i // shards
     low, high, counts, before = 0, shards, slots, np.zeros_like(slots)
+    way = {}
     while high - low > 1:
         middle = (low + high) // 2
         if (low, high) not in known:
             known[low, high] = _split(counts, bound(middle) - bound(low), (seed, low, high))
-        first = known[low, high]
+        first = way[low, high] = known[low, high]
         if shard < middle:
             high, counts = middle, first
         else:
             low, counts, before = middle, counts - first, before + first
+    known.clear()
+    known.update(way)
     return counts, before
 
 
