@@ -168,8 +168,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     product is taken, in double precision; a task passes on its k + 1 best for a query, and these are merged.
     A query with fewer than k found is compared with all points, in blocks.
 
-    Null ids, vectors that are null, zero or hold null or non-finite components, and vectors whose length is not
-    the most frequent one, take no part. Repeated rows count once. Other columns are not read but by
+    Null ids, and vectors that are null, zero or hold null or non-finite components, take no part. Vectors of different lengths are never
+    compared: each length is searched by itself, one after the other. Repeated rows count once. Other columns are not read but by
     ``is_query``. Ties go to the smaller id. Without candidates a query has no row; an empty input gives an empty result.
     """
     spark = vectors.sparkSession
@@ -177,12 +177,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query")
     )
     square = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)
-    lengths = rows.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("largest")).orderBy(F.desc("n"), "dims").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    dims, count, largest = lengths[0]["dims"], lengths[0]["n"], lengths[0]["largest"]
-    rows = staged(rows.where(F.size("vector") == dims), "ann-rows")
+    lengths = rows.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("largest")).orderBy("dims").collect()
+    found = [_nearest_of_length(rows.where(F.size("vector") == r["dims"]), r["n"], r["largest"], k, index) for r in lengths]
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if not found else found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _nearest_of_length(rows: DataFrame, count: int, largest: float, k: int, index: Index) -> DataFrame:
+    """``nearest`` among ``rows`` (vec_id, vector, query) of one length: ``count`` of them, the longest vector's norm being ``largest``."""
+    spark = rows.sparkSession
+    rows = staged(rows, "ann-rows")
     nth = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     points = rows.select("vector", "vec_id").distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1)
     points = staged(points.groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "ann-points")
