@@ -22,6 +22,8 @@ from tessera.llm.shared import text_batches
 _ID, _PLACE = 20, 16
 _NO_RANK, _EDGE = (1 << 21) - 1, (1 << _ID) - 1
 _SECOND_CHOICE = 40
+#: Bytes of a word that have a place of their own, between the two edges.
+_EDGE_PLACE = (1 << _PLACE) - 2
 
 
 @lru_cache(maxsize=4)
@@ -223,6 +225,8 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str,
     has; Spark folds these; and with the ids of all words so far, numbers become ids. Rows keep their order within a task, so
     the last step has folded words before they are used. ``epoch`` counts how often later words were forgotten.
     """
+    if not 0 <= fold_bytes <= _EDGE_PLACE:
+        raise ValueError(f"fold_bytes is {_EDGE_PLACE} at most: a piece's place in its word has {_PLACE} bits")
     text_batches(docs.sparkSession, 2)
     id_type = docs.schema[id_col].dataType.simpleString()
 
