@@ -54,7 +54,8 @@ def stretch_params(pixels: DataFrame, options: Options) -> DataFrame:
 
 def blocked(pixels: DataFrame, size: int) -> DataFrame:
     """``pixels`` with block (its image, row and column), r and c (their place in it), and h and w (its size, clipped at the scene's ends)."""
-    placed = tiling.per_scene(tiling.assign_blocks(pixels, size, size), tiling.extents(pixels, ["image_id"]).drop("n"), ["image_id"])
+    extent = staged(tiling.extents(pixels, ["image_id"]).drop("n"), "extents")
+    placed = tiling.per_scene(tiling.assign_blocks(pixels, size, size), extent, ["image_id"])
     left = lambda n, at: F.least(F.lit(size), F.col(n) - F.col(at) * size)
     return placed.withColumns({"block": F.concat_ws("/", "image_id", "block_row", "block_col"), "h": left("rows", "block_row"), "w": left("cols", "block_col")}).drop(
         "block_row", "block_col", "rows", "cols"
@@ -90,16 +91,12 @@ def label_sets(scenes: DataFrame, images: DataFrame, options: Options) -> DataFr
 
 def predictions(features: DataFrame, sets: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
     """(block, seg, cls): classes by a forest for each label set of ``sets`` (image_id, label_set), each fitted once. A set without usable training rows is an error that names it."""
-    rows = rows.cache()
-    try:
-        forests = {}
-        for (label_set,) in sorted(sets.select("label_set").distinct().collect()):  # two seasons at most
-            mine = training.training_rows(rows, label_set, options.sensor)
-            if mine.isEmpty():
-                raise ValueError(f"no usable training rows for the label set {label_set}, nor for {options.sensor}")
-            forests[label_set] = classify.fit_forest(mine, "features", trees=options.trees, depth=options.depth, seed=options.seed)
-    finally:
-        rows.unpersist()
+    rows, forests = staged(rows, "training"), {}
+    for (label_set,) in sorted(sets.select("label_set").distinct().collect()):  # two seasons at most
+        mine = training.training_rows(rows, label_set, options.sensor)
+        if mine.isEmpty():
+            raise ValueError(f"no usable training rows for the label set {label_set}, nor for {options.sensor}")
+        forests[label_set] = classify.fit_forest(mine, "features", trees=options.trees, depth=options.depth, seed=options.seed)
     asked = staged(tiling.per_scene(features, sets, ["image_id"]), "features")
     out = [classify.predict(forest, asked.where(F.col("label_set") == label_set), "features").select("block", "seg", "cls") for label_set, forest in forests.items()]
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
@@ -114,7 +111,8 @@ def block_segments(fixed: DataFrame, options: Options) -> DataFrame:
 def scene_segments(fixed: DataFrame, options: Options) -> DataFrame:
     """Corrected pixels with seg, the scene's own; a scene is one block."""
     found = scene.segments_scene(fixed.select("image_id", "x", "y", *options.bands()), ["image_id"], options.bands(), options.sensor, size=options.block, halo=options.halo)
-    whole = tiling.per_scene(found, tiling.extents(found, ["image_id"]).select("image_id", F.col("rows").alias("h"), F.col("cols").alias("w")), ["image_id"])
+    extent = staged(tiling.extents(fixed, ["image_id"]).select("image_id", F.col("rows").alias("h"), F.col("cols").alias("w")), "extents")
+    whole = tiling.per_scene(found, extent, ["image_id"])
     return whole.withColumns({"block": F.col("image_id"), "r": F.col("x"), "c": F.col("y")})
 
 
@@ -133,7 +131,7 @@ def classify_scenes(pixels: DataFrame, images: DataFrame, rows: DataFrame, optio
         fixed = radiometry.corrected(raw, params, ["image_id"], bands, balance=options.sensor == "srgb")
         segmented = staged(scene_segments(fixed, options) if options.halo else block_segments(fixed, options), "segments")
     features = segment_features(segmented, images, params, options.sensor, whole=options.halo > 0)
-    found = staged(predictions(features, label_sets(params, images, options), rows, options), "predictions")
+    found = staged(predictions(features, staged(label_sets(params, images, options), "label-sets"), rows, options), "predictions")
     painted = classify.paint(segmented, found, bands[:3], keep=own)
     if options.sensor == "srgb":
         quality = classify.quality_min(kernels.block_quality(raw, keep=own))

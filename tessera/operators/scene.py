@@ -20,16 +20,21 @@ from tessera.operators.graph import connected
 from tessera.operators.tiling import extents, per_scene
 from tessera.sources.staging import staged
 
-def with_halo(pixels: DataFrame, keys: list[str], size: int, halo: int) -> DataFrame:
-    """Pixels, with rows and cols of their scene, once for each block (block_row, block_col; ``size`` pixels each way) that they lie in or within ``halo`` of."""
+def with_halo(pixels: DataFrame, keys: list[str], size: int, halo: int, extent: DataFrame | None = None) -> DataFrame:
+    """Pixels, with rows and cols of their scene, once for each block (block_row, block_col; ``size`` pixels each way) that they lie in or within ``halo`` of.
+
+    ``extent``, as ``extents`` gives it, spares a pass over pixels where it is known.
+    """
     last = lambda n: F.floor((F.col(n) - 1) / size)
     blocks = lambda at, n: F.sequence(F.greatest(F.floor((F.col(at) - halo) / size), F.lit(0)), F.least(F.floor((F.col(at) + halo) / size), last(n))).cast("array<int>")
-    placed = per_scene(pixels, extents(pixels, keys).drop("n"), keys)
+    known = staged(extents(pixels, keys), "scene-extents") if extent is None else extent
+    placed = per_scene(pixels, known.select(*keys, "rows", "cols"), keys)
     return placed.withColumn("block_row", F.explode(blocks("x", "rows"))).withColumn("block_col", F.explode(blocks("y", "cols")))
 
 
 def over_scene(
     pixels: DataFrame, keys: list[str], bands: list[str], kernel: Callable[..., np.ndarray], name: str, kind: str, *, halo: int = 0, size: int = 512, keep: tuple[str, ...] = (), placed: bool = False,
+    extent: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, x, y, ``keep``, ``name``): a kernel's array for every pixel, from blocks and the ``halo`` around them, which is all that the kernel may look at.
 
@@ -53,21 +58,21 @@ def over_scene(
         return group.loc[own, columns].assign(**{name: out[r[own], c[own]]})
 
     schema = ", ".join(f"{c} {pixels.schema[c].dataType.simpleString()}" for c in columns) + f", {name} {kind}"
-    cut = with_halo(pixels.select(*dict.fromkeys([*columns, *bands])), keys, size, halo)
+    cut = with_halo(pixels.select(*dict.fromkeys([*columns, *bands])), keys, size, halo, extent)
     return cut.groupBy(*keys, "block_row", "block_col").applyInPandas(run, schema)
 
 
-def gradient_scene(pixels: DataFrame, keys: list[str], band: str, sigma: float, *, size: int = 512, keep: tuple[str, ...] = ()) -> DataFrame:
+def gradient_scene(pixels: DataFrame, keys: list[str], band: str, sigma: float, *, size: int = 512, keep: tuple[str, ...] = (), extent: DataFrame | None = None) -> DataFrame:
     """(keys, x, y, ``keep``, gradient): ``kernels.gradient`` of the whole scene."""
-    return over_scene(pixels, keys, [band], lambda a: kernels.gradient(a[0], sigma).astype(np.int32), "gradient", "int", halo=kernels.gradient_reach(sigma), size=size, keep=keep)
+    return over_scene(pixels, keys, [band], lambda a: kernels.gradient(a[0], sigma).astype(np.int32), "gradient", "int", halo=kernels.gradient_reach(sigma), size=size, keep=keep, extent=extent)
 
 
-def maxima_scene(pixels: DataFrame, keys: list[str], value: str, reach: int, *, size: int = 512, keep: tuple[str, ...] = ()) -> DataFrame:
+def maxima_scene(pixels: DataFrame, keys: list[str], value: str, reach: int, *, size: int = 512, keep: tuple[str, ...] = (), extent: DataFrame | None = None) -> DataFrame:
     """(keys, x, y, ``keep``, maximum: 0 or 1): ``kernels.maxima`` of the whole scene."""
-    return over_scene(pixels, keys, [value], lambda a: kernels.maxima(a[0], reach).astype(np.int32), "maximum", "int", halo=reach, size=size, keep=keep)
+    return over_scene(pixels, keys, [value], lambda a: kernels.maxima(a[0], reach).astype(np.int32), "maximum", "int", halo=reach, size=size, keep=keep, extent=extent)
 
 
-def components_scene(pixels: DataFrame, keys: list[str], mask: str, *, diagonal: bool = False, size: int = 512, keep: tuple[str, ...] = ()) -> DataFrame:
+def components_scene(pixels: DataFrame, keys: list[str], mask: str, *, diagonal: bool = False, size: int = 512, keep: tuple[str, ...] = (), extent: DataFrame | None = None) -> DataFrame:
     """(keys, x, y, ``keep``, component: long): connected pixels whose ``mask`` is not 0 (or null) have one number, their first pixel's x * columns + y; others have -1.
 
     Components of a block are named by their first pixels; pixels that touch across a border make an edge between two names. Only these meet in the
@@ -82,7 +87,7 @@ def components_scene(pixels: DataFrame, keys: list[str], mask: str, *, diagonal:
         names[labels == 0] = -1
         return names[np.searchsorted(labels, found)]
 
-    local = staged(over_scene(pixels, keys, [mask], number, "node", "long", size=size, keep=keep, placed=True), "scene-components")
+    local = staged(over_scene(pixels, keys, [mask], number, "node", "long", size=size, keep=keep, placed=True, extent=extent), "scene-components")
     there = local.where("node >= 0").select(*keys, "x", "y", "node")
     beside = (-1, 0, 1) if diagonal else (0,)
 
@@ -98,23 +103,23 @@ def components_scene(pixels: DataFrame, keys: list[str], mask: str, *, diagonal:
     return named.select(*columns).unionByName(local.where("node < 0").withColumn("component", F.lit(-1).cast("long")).select(*columns))
 
 
-def edges_scene(pixels: DataFrame, keys: list[str], band: str, sigma: float, low: float, high: float, *, size: int = 512, keep: tuple[str, ...] = ()) -> DataFrame:
+def edges_scene(pixels: DataFrame, keys: list[str], band: str, sigma: float, low: float, high: float, *, size: int = 512, keep: tuple[str, ...] = (), extent: DataFrame | None = None) -> DataFrame:
     """(keys, x, y, ``keep``, edge: 0 or 1): ``kernels.edges`` of the whole scene. Ridges are local; what connects weak ones to strong ones is a component of the scene."""
-    rows = over_scene(pixels, keys, [band], lambda a: kernels.ridges(a[0], sigma, low, high).astype(np.int32), "ridge", "int", halo=kernels.ridge_reach(sigma), size=size, keep=keep)
-    found = staged(components_scene(rows, keys, "ridge", diagonal=True, size=size, keep=(*keep, "ridge")), "scene-edges")
+    rows = over_scene(pixels, keys, [band], lambda a: kernels.ridges(a[0], sigma, low, high).astype(np.int32), "ridge", "int", halo=kernels.ridge_reach(sigma), size=size, keep=keep, extent=extent)
+    found = staged(components_scene(rows, keys, "ridge", diagonal=True, size=size, keep=(*keep, "ridge"), extent=extent), "scene-edges")
     strong = found.where("ridge = 2").select(*keys, "component").distinct().withColumn("edge", F.lit(1))
     weak = found.where("component >= 0").join(strong, [*keys, "component"], "left").withColumn("edge", F.coalesce("edge", F.lit(0)))
     columns = [*keys, "x", "y", *keep, "edge"]
     return weak.select(*columns).unionByName(found.where("component < 0").withColumn("edge", F.lit(0)).select(*columns))
 
 
-def distance_scene(pixels: DataFrame, keys: list[str], mask: str, *, keep: tuple[str, ...] = (), most: int = 1 << 18) -> DataFrame:
+def distance_scene(pixels: DataFrame, keys: list[str], mask: str, *, keep: tuple[str, ...] = (), most: int = 1 << 18, extent: DataFrame | None = None) -> DataFrame:
     """(keys, x, y, ``keep``, distance: double): the Euclidean distance to the scene's nearest pixel whose ``mask`` is not 0; infinite without any.
 
     A scan down each column and one up it find the nearest in the column; then each row's lower envelope of parabolas finds the nearest of all. Both are linear
     in pixels. Columns are sorted, not held; rows are taken whole, as many at once as have some ``most`` places. Scenes with gaps are filled for the scans.
     """
-    extent = staged(extents(pixels, keys), "scene-extents")
+    extent = staged(extents(pixels, keys), "scene-extents") if extent is None else extent
     columns = [*keys, "x", "y", *keep]
     rows = pixels.select(*columns, F.coalesce(F.col(mask) != 0, F.lit(False)).alias("_set"), F.lit(True).alias("_real"))
     sparse = extent.where(F.col("n") < F.col("rows").cast("long") * F.col("cols"))
@@ -149,11 +154,13 @@ def segments_scene(pixels: DataFrame, keys: list[str], bands: list[str], sensor:
     s = SENSORS[sensor]
     edge, slope = bands[s.edge_band], bands[s.gradient_band]
     keep = tuple(c for c in pixels.columns if c not in {*keys, "x", "y"})
-    found = edges_scene(pixels, keys, edge, s.sigma, s.low, s.high, size=size, keep=keep)
-    far = distance_scene(found, keys, "edge", keep=keep)
-    tops = maxima_scene(far, keys, "distance", s.spacing, size=size, keep=keep)
-    marked = components_scene(tops, keys, "maximum", size=size, keep=keep)
-    steep = staged(gradient_scene(marked, keys, slope, s.sigma, size=size, keep=(*keep, "component")), "scene-slopes")
+    extent = staged(extents(pixels, keys), "scene-extents")
+    local = {"size": size, "extent": extent}
+    found = edges_scene(pixels, keys, edge, s.sigma, s.low, s.high, keep=keep, **local)
+    far = distance_scene(found, keys, "edge", keep=keep, extent=extent)
+    tops = maxima_scene(far, keys, "distance", s.spacing, keep=keep, **local)
+    marked = components_scene(tops, keys, "maximum", keep=keep, **local)
+    steep = staged(gradient_scene(marked, keys, slope, s.sigma, keep=(*keep, "component"), **local), "scene-slopes")
 
     def flood(arrays: list[np.ndarray], top: int, left: int, cols: int) -> np.ndarray:
         surface, marks = arrays[0].astype(int), arrays[1].astype(np.int64)  # names + 1, exact as floats
@@ -164,6 +171,6 @@ def segments_scene(pixels: DataFrame, keys: list[str], bands: list[str], sensor:
         return np.where(out < 0, -(top * cols + left) - 2, out)
 
     steep = steep.withColumn("_mark", F.col("component") + 1)
-    flooded = over_scene(steep, keys, ["gradient", "_mark"], flood, "seg", "long", halo=halo, size=size, keep=keep, placed=True)
-    empty = steep.groupBy(*keys).agg((F.max(bands[0]) <= 1).alias("_empty"))
+    flooded = over_scene(steep, keys, ["gradient", "_mark"], flood, "seg", "long", halo=halo, keep=keep, placed=True, **local)
+    empty = staged(steep.groupBy(*keys).agg((F.max(bands[0]) <= 1).alias("_empty")), "scene-empty")
     return per_scene(flooded, empty, keys).withColumn("seg", F.when(F.col("_empty"), F.lit(-1)).otherwise(F.col("seg"))).select(*pixels.columns, "seg")
