@@ -85,7 +85,7 @@ def test_scenes_without_data_and_null_bands(spark):
     assert scene.components_scene(frame.where("x < 0"), ["id"], "b0").count() == 0
     assert scene.distance_scene(frame.where("x < 0"), ["id"], "b0").count() == 0
     with pytest.raises(Exception, match="tile the scene finer"):
-        scene.gradient_scene(spark.createDataFrame([(1, 5000, 5000, 1)], "id int, x int, y int, b0 int"), ["id"], "b0", 1.0, size=4096).collect()
+        scene.gradient_scene(spark.createDataFrame([(1, 5000, 5000, 1)], "id int, x int, y int, b0 int"), ["id"], "b0", 1.0, size=8192).collect()
 
 
 def test_graphs(spark):
