@@ -141,10 +141,38 @@ class WordEncoder(dict):
         return _cut(ids.tolist(), ends.tolist())
 
 
+class LibraryEncoder:
+    """Encodes whole texts by any tokenizer file, through the library alone."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode_flat(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.cumsum(list(map(len, found)), dtype=np.int64)
+
+
+def goes_by_words(file: dict) -> bool:
+    """Whether a tokenizer file is of the kind that ``WordEncoder`` knows: texts composed, white space made one, and in lower case; pieces of a pattern, the rest dropped; byte-level BPE."""
+    normalizers = (file.get("normalizer") or {}).get("normalizers", [])
+    before = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [n.get("type") for n in normalizers] != ["NFC", "Replace", "Lowercase"] or [p.get("type") for p in before] != ["Split", "ByteLevel"]:
+        return False
+    spaces, (split, level) = normalizers[1], before
+    return (
+        spaces.get("pattern") == {"Regex": r"\s+"} and spaces.get("content") == " " and "Regex" in split.get("pattern", {}) and split.get("behavior") == "Removed" and split.get("invert") is True
+        and not level.get("add_prefix_space") and not level.get("use_regex") and file["model"].get("type") == "BPE" and all(t.get("special") and not t.get("normalized") and t["content"].startswith(_SPECIAL) for t in file.get("added_tokens", []))
+    )
+
+
 @lru_cache(maxsize=1)
-def worker_encoder(path: str) -> WordEncoder:
-    """One encoder for a worker, with the words that it knows, for all of its tasks."""
-    return WordEncoder(path)
+def worker_encoder(path: str) -> WordEncoder | LibraryEncoder:
+    """One encoder for a worker, with the words that it knows, for all of its tasks: by words where the file is of that kind, else by the library throughout."""
+    with open(path, encoding="utf-8") as lines:
+        return WordEncoder(path) if goes_by_words(json.load(lines)) else LibraryEncoder(path)
 
 
 def _cut(ids: list[int], ends: list[int]) -> list[list[int]]:
