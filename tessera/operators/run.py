@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.names import DEFAULT_DAY, season
 from tessera.model import SENSORS
 from tessera.operators import classify, kernels, radiometry, scene, segments, tiling, training
-from tessera.sources.staging import staged
+from tessera.sources.staging import discard, staged
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def label_sets(scenes: DataFrame, images: DataFrame, options: Options) -> DataFr
 
 
 def predictions(features: DataFrame, sets: DataFrame, rows: DataFrame, options: Options) -> DataFrame:
-    """(block, seg, cls): classes by a forest for each label set of ``sets`` (image_id, label_set), each fitted once. A set without usable training rows is an error that names it."""
+    """(block, seg, cls), staged: classes by a forest for each label set of ``sets`` (image_id, label_set), each fitted once. A set without usable training rows is an error that names it."""
     rows, forests = staged(rows, "training"), {}
     for (label_set,) in sorted(sets.select("label_set").distinct().collect()):  # two seasons at most
         mine = training.training_rows(rows, label_set, options.sensor)
@@ -99,7 +99,10 @@ def predictions(features: DataFrame, sets: DataFrame, rows: DataFrame, options:
         forests[label_set] = classify.fit_forest(mine, "features", trees=options.trees, depth=options.depth, seed=options.seed)
     asked = staged(tiling.per_scene(features, sets, ["image_id"]), "features")
     out = [classify.predict(forest, asked.where(F.col("label_set") == label_set), "features").select("block", "seg", "cls") for label_set, forest in forests.items()]
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    found = staged(out[0] if len(out) == 1 else out[0].unionByName(out[1]), "predictions")
+    discard(rows)
+    discard(asked)
+    return found
 
 
 def block_segments(fixed: DataFrame, options: Options) -> DataFrame:
@@ -131,7 +134,7 @@ def classify_scenes(pixels: DataFrame, images: DataFrame, rows: DataFrame, optio
         fixed = radiometry.corrected(raw, params, ["image_id"], bands, balance=options.sensor == "srgb")
         segmented = staged(scene_segments(fixed, options) if options.halo else block_segments(fixed, options), "segments")
     features = segment_features(segmented, images, params, options.sensor, whole=options.halo > 0)
-    found = staged(predictions(features, staged(label_sets(params, images, options), "label-sets"), rows, options), "predictions")
+    found = predictions(features, staged(label_sets(params, images, options), "label-sets"), rows, options)
     painted = classify.paint(segmented, found, bands[:3], keep=own)
     if options.sensor == "srgb":
         quality = classify.quality_min(kernels.block_quality(raw, keep=own))
