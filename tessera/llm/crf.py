@@ -29,14 +29,19 @@ _PUNCTUATION = b".,;:!?\"'()[]{}*$%&#|<>=+-_/\\"
 
 def plain(word: bytes) -> bytes:
     """The word in lower case, without punctuation around it."""
+    if word.isascii():
+        return word.lower().strip(_PUNCTUATION)
     return word.decode(errors="replace").lower().encode().strip(_PUNCTUATION)
 
 
 def word_features(word: bytes, bits: int) -> tuple[list[int], int, int]:
     """Places of a (plain) word's own features, and of its feature as the word before, and behind, another."""
     mask, digest = (1 << bits) - 1, xxhash.xxh64_intdigest
-    text = word.decode(errors="replace")
-    own = [digest(b"w" + word, 10)] + [digest(b"p" + text[:k].encode(), 10) for k in PREFIXES if len(text) > k]
+    text = word if word.isascii() else word.decode(errors="replace")
+    prefixes = [text[:k] for k in PREFIXES if len(text) > k]
+    if text is not word:
+        prefixes = [p.encode() for p in prefixes]
+    own = [digest(b"w" + word, 10)] + [digest(b"p" + p, 10) for p in prefixes]
     return [h & mask for h in own], digest(b"b" + word, 10) & mask, digest(b"n" + word, 10) & mask
 
 

@@ -85,37 +85,43 @@ def _windows(doc_id, text: str | None, label: int, signs: set[bytes], window: in
     return [{"words": words[s : s + 2 * window + 1], "tags": tags[s : s + 2 * window + 1]} for s in starts]
 
 
+class _Sums(dict):
+    """Numbers of words, by their first use, and each one's sums of weights: its own, and what it adds as the word before and behind another."""
+
+    def __init__(self, weight: list[float], bits: int):
+        self.weight, self.bits = weight, bits
+        self.rows: list[tuple[float, float, float]] = []
+
+    def __missing__(self, word: bytes) -> int:
+        own, before, behind = word_features(plain(word), self.bits)
+        number = self[word] = len(self.rows)
+        self.rows.append((sum(map(self.weight.__getitem__, own)), self.weight[before], self.weight[behind]))
+        return number
+
+
 class Tagger:
     """Emissions of texts under a chain. Words' sums of weights are remembered, up to a bound."""
 
     def __init__(self, chain: Chain, remember: int = 200_000):
-        self.chain, self.remember = chain, remember
+        self.remember, self.bits, self.weight = remember, chain.bits, chain.weight.tolist()
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.sums: list[tuple[float, float, float]] = []
+        self.known = _Sums(self.weight, self.bits)
         self._made = self._table = np.zeros((0, 3))
 
-    def _number(self, word: bytes) -> int:
-        if (n := self.known.get(word)) is None:
-            own, before, behind = word_features(plain(word), self.chain.bits)
-            w = self.chain.weight
-            n = self.known[word] = len(self.sums)
-            self.sums.append((float(w[own].sum()), float(w[before]), float(w[behind])))
-        return n
-
     def emissions(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > self.remember:
             self.reset()
-        numbers = [self._number(w) for w in words]
-        if not numbers:
+        if not words:
             return np.zeros(0)
-        if len(new := self.sums[len(self._made) :]):
-            if len(self.sums) > len(self._table):
-                self._table = np.concatenate([self._made, np.zeros((max(4096, len(self.sums)), 3))])
-            self._table[len(self._made) : len(self.sums)] = new
-            self._made = self._table[: len(self.sums)]
+        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        sums = self.known.rows
+        if len(new := sums[len(self._made) :]):
+            if len(sums) > len(self._table):
+                self._table = np.concatenate([self._made, np.zeros((max(4096, len(sums)), 3))])
+            self._table[len(self._made) : len(sums)] = new
+            self._made = self._table[: len(sums)]
         sums = self._made[numbers]
         out = sums[:, 0].copy()
         out[1:] += sums[:-1, 1]
