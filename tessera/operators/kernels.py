@@ -267,11 +267,11 @@ def segment_blocks(pixels: DataFrame, bands: list[str], sensor: str = "srgb", ke
     return per_pixel(pixels, bands, lambda arrays: segment(arrays, params), "seg", "int", keep)
 
 
-def neighbour_counts(pixels: DataFrame, mode: str = "literal", value: str = "b1", height: str | None = None) -> DataFrame:
+def neighbour_counts(pixels: DataFrame, mode: str = "literal", value: str = "b1", height: int | str | None = None) -> DataFrame:
     """(block, seg, v, c): values of the pixels around segments, as ``segments.neighbours`` meets them, counted.
 
     For blocks of a known size: rows and columns 3 and 4 away are slices of the block's arrays, so there is no join. Places without a pixel are never met.
-    ``height``: a column with the number of a block's rows, if its last may be without pixels; ``x`` then counts from the block's first.
+    ``height``: the number of a block's rows, one for all or a column, if its first or last may be without pixels; ``x % height`` is then a pixel's row in its block.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -279,12 +279,14 @@ def neighbour_counts(pixels: DataFrame, mode: str = "literal", value: str = "b1"
         there = np.zeros(first.shape, bool)
         there[r, c] = True
         rows, cols = first.shape
-        lowest, tall = (int(group["x"].min()), int(group[height].iloc[0])) if height else (0, rows)
+        tall = rows if height is None else int(group[height].iloc[0]) if isinstance(height, str) else height
+        lowest = 0 if height is None else int(group["x"].min()) % tall
         pairs = []
         for o in (-4, -3, 3, 4):
             for down, across in ((o, 0), (0, o)):
-                a = (slice(max(0, -down), rows - max(0, down)), slice(max(0, -across), cols - max(0, across)))
-                b = (slice(max(0, down), rows + min(0, down)), slice(max(0, across), cols + min(0, across)))
+                tops, sides = max(0, rows - abs(down)), max(0, cols - abs(across))  # none, where a block is smaller than the offset
+                a = (slice(max(0, -down), max(0, -down) + tops), slice(max(0, -across), max(0, -across) + sides))
+                b = (slice(max(0, down), max(0, down) + tops), slice(max(0, across), max(0, across) + sides))
                 met = there[a] & there[b] & (first[a] != 0) & (seg[b] != (0 if mode == "training" else seg[a]))
                 if across and mode != "clean":  # columns are probed only where the row at that offset is in the block
                     row = np.arange(rows)[a[0]][:, None] + o + lowest
@@ -294,5 +296,5 @@ def neighbour_counts(pixels: DataFrame, mode: str = "literal", value: str = "b1"
         return pd.DataFrame({"block": group["block"].iloc[0], "seg": found[:, 0].astype(int), "v": found[:, 1].astype(int), "c": count})
 
     kind = pixels.schema["block"].dataType.simpleString()
-    columns = ["block", "x", "y", "b0", value, "seg", *([height] if height else [])]
+    columns = ["block", "x", "y", "b0", value, "seg", *([height] if isinstance(height, str) else [])]
     return pixels.select(*dict.fromkeys(columns)).groupBy("block").applyInPandas(run, f"block {kind}, seg int, v int, c long")

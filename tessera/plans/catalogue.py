@@ -294,7 +294,7 @@ def features_srgb16(spark, d):
 def features_srgb16_kernel(spark, d):
     """The same features, with what lies around segments counted by a kernel in each block."""
     pixels = fx.scene(spark, d)
-    return _rounded(segments.features_srgb(pixels, HEIGHT, WIDTH, around=kernels.neighbour_counts(pixels)))
+    return _rounded(segments.features_srgb(pixels, HEIGHT, WIDTH, around=kernels.neighbour_counts(pixels, height=HEIGHT)))
 
 
 _QUERIES["features_srgb16_kernel"] = features_srgb16_kernel
