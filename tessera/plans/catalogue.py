@@ -303,7 +303,7 @@ _SQL["features_srgb16_kernel"] = _SQL["features_srgb16"]
 
 def _counted(mode: str) -> Query:
     def run(spark, d):
-        found = segments.counted_stats(kernels.neighbour_counts(fx.scene(spark, d), mode))
+        found = segments.counted_stats(kernels.neighbour_counts(fx.scene(spark, d), mode, height=HEIGHT))
         names_ = {"ext_mean": "ext_mean_b1", "ext_std": "ext_std_b1", "ext_max": "ext_max_b1"}
         return _rounded(found.drop("ext_entropy").withColumnsRenamed(names_))
 

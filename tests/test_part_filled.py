@@ -27,3 +27,7 @@ def part_filled(request, tmp_path_factory):
 
 def test_features_of_part_filled_blocks(spark, part_filled):
     same_as_sql(spark, part_filled, "embeddings", "features_srgb16_kernel")
+
+
+def test_literal_neighbours_of_part_filled_blocks(spark, part_filled):
+    same_as_sql(spark, part_filled, "embeddings", "neighbor_kernel_literal")
