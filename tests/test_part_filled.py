@@ -31,3 +31,8 @@ def test_features_of_part_filled_blocks(spark, part_filled):
 
 def test_literal_neighbours_of_part_filled_blocks(spark, part_filled):
     same_as_sql(spark, part_filled, "embeddings", "neighbor_kernel_literal")
+
+
+def test_training_neighbours_of_part_filled_blocks(spark, part_filled):
+    same_as_sql(spark, part_filled, "embeddings", "neighbor_kernel_training")
+    same_as_sql(spark, part_filled, "embeddings", "neighbor_kernel_clean")
