@@ -128,12 +128,11 @@ def thresholds(histogram: DataFrame, peak_ends: DataFrame, keys: list[str], src_
 
     upper: from the last peak in steps of two bins to the first with at most ``top`` of its count, or the last bin. lower: from
     the first peak down to the first bin with at most ``bottom`` of its count, or the first bin; then, where the low peak is wide or the peaks
-    lie close, at most 8 % of the sensor's range. white and black keep the cuts as found. Null without peaks.
+    lie close, at most 8 % of the sensor's range. white and black keep the cuts as found. A band without peaks is cut at its last and its first bin.
     """
     full = 2047 if src_dtype > 8 else 255
-    on = [F.col(f"e.{k}") == F.col(f"g.{k}") for k in keys]
-    ends = peak_ends.alias("e")
-    joined = histogram.alias("g").join(ends, on) if keys else histogram.alias("g").join(ends)
+    on = [F.col(f"e.{k}") == F.col(f"g.{k}") for k in keys] or [F.lit(True)]
+    joined = histogram.alias("g").join(peak_ends.alias("e"), on, "left")
     rows = joined.select(*[F.col(f"g.{k}") for k in keys], F.col("g.i"), F.col("g.dn"), F.col("g.h"), F.col("e.low"), F.col("e.high"))
     at = lambda value: F.max(F.when(F.col("dn") == F.col(value), F.col("h"))).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
     rows = rows.withColumns({"h_low": at("low"), "h_high": at("high")})

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tessera.operators import radiometry
 from tessera.plans import catalogue
 from tests.test_catalogue import rows
 
@@ -36,3 +37,15 @@ def test_literal_neighbours_of_part_filled_blocks(spark, part_filled):
 def test_training_neighbours_of_part_filled_blocks(spark, part_filled):
     same_as_sql(spark, part_filled, "embeddings", "neighbor_kernel_training")
     same_as_sql(spark, part_filled, "embeddings", "neighbor_kernel_clean")
+
+
+def test_thresholds_without_peaks_are_the_ends(spark, tmp_path):
+    duckdb.sql(f"copy (select i as event_id, i % 7 as user_id, cast(i as double) as value from range(1000) t(i)) to '{tmp_path}/events.parquet' (format parquet)")
+    same_as_sql(spark, tmp_path, "events", "hist_thresholds")
+
+
+def test_thresholds_of_one_histogram_without_keys(spark):
+    histogram = spark.createDataFrame([(i, i + 4, 5) for i in range(6)], "i long, dn long, h long")
+    ends = spark.createDataFrame([(5, 8)], "low long, high long")
+    assert tuple(radiometry.thresholds(histogram, ends, []).first()) == (4, 9, 9, 4)
+    assert tuple(radiometry.thresholds(histogram, ends.where("low < 0"), []).first()) == (4, 9, 9, 4)
