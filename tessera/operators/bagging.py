@@ -23,6 +23,11 @@ def bag_weight(key: Column, tree: int, seed: int) -> Column:
     return sum((F.when(draw >= int(p * _DRAWS), 1).otherwise(0) for p in below[1:]), F.when(draw >= int(below[0] * _DRAWS), 1).otherwise(0))
 
 
+def _most_voted() -> Column:
+    """The class of the largest share, the least of equals."""
+    return (F.array_position("_shares", F.array_max("_shares")) - 1).cast("int")
+
+
 @dataclass(frozen=True)
 class Bagged:
     """Trees by number, fitted on rows weighted by ``bag_weight`` of ``key``."""
@@ -56,8 +61,7 @@ class Bagged:
 
     @staticmethod
     def _decided(votes: DataFrame, columns: list) -> DataFrame:
-        top = F.array_max("_shares")
-        return votes.select(*columns, (F.array_position("_shares", top) - 1).cast("int").alias("cls"), (top / F.col("_trees")).alias("confidence"))
+        return votes.select(*columns, _most_voted().alias("cls"), (F.array_max("_shares") / F.col("_trees")).alias("confidence"))
 
 
 def fit_bagged(rows: DataFrame, key: str, features: str, label: str = "label", *, trees: int = 100, depth: int = 12, seed: int = 17) -> Bagged:
@@ -80,8 +84,8 @@ def fit_bagged(rows: DataFrame, key: str, features: str, label: str = "label", *
 
 
 def oob_score(forest: Bagged, rows: DataFrame, label: str = "label") -> DataFrame:
-    """(n, judged, right, score): labelled rows, those that some tree did not see, those that such trees get right, and their share."""
+    """(n, judged, right, score): labelled rows, those that some tree did not see, those that such trees get right, and their share. One pass over the rows."""
     labelled = rows.where(F.col(label).isNotNull() & F.col(forest.features).isNotNull())
-    judged = forest.out_of_bag(labelled).agg(F.count("*").alias("judged"), F.count_if(F.col("cls") == F.col(label)).alias("right"))
-    counted = labelled.agg(F.count("*").alias("n"))  # a row of either
-    return counted.join(F.broadcast(judged)).withColumn("score", F.try_divide("right", "judged"))
+    judged = F.col("_trees") > 0
+    counted = forest._votes(labelled, unseen=True).agg(F.count("*").alias("n"), F.count_if(judged).alias("judged"), F.count_if(judged & (_most_voted() == F.col(label))).alias("right"))
+    return counted.withColumn("score", F.try_divide("right", "judged"))

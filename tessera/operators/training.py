@@ -11,8 +11,11 @@ from tessera.operators.ordered import with_next
 
 
 def zip_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Feature rows and labels with the same position; what one side has more of is left out."""
-    return features.join(labels, "pos")
+    """Feature rows and labels with the same position; what one side has more of is left out.
+
+    Both grow with the input, and an array's size is estimated as that of one element, so neither is ever broadcast: a merge of both by position.
+    """
+    return features.join(labels.hint("merge"), "pos")
 
 
 def usable_labels(rows: DataFrame, label_set: str = "label_set", sensor: str = "srgb") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tessera.operators import bagging, classify, segments
+from tessera.operators import bagging, classify, segments, training
 from tessera.streaming import drop_folder, label_log
 
 
@@ -55,6 +55,16 @@ def test_prediction_and_empty_tables(forest):
     assert (none.n, none.judged, none.score) == (0, 0, None)
 
 
+def test_forests_send_no_rows_to_the_driver(spark):
+    features = spark.range(40).select(F.col("id").alias("pos"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("features"))
+    labels = spark.range(5, 50).select(F.col("id").alias("pos"), (F.col("id") % 2).cast("int").alias("label"))
+    labelled = training.zip_labels(features, labels)
+    score = bagging.oob_score(bagging.fit_bagged(labelled, "pos", "features", trees=2, depth=2), labelled)
+    for frame in (labelled, score):
+        assert frame.count() and "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert labelled.count() == score.first().n == 35
+
+
 def _replay(events, every=10):
     labels, trained, last, out = defaultdict(list), defaultdict(int), defaultdict(lambda: -1), []
     for name, seq, action, pos, label in sorted(events, key=lambda e: e[1]):
