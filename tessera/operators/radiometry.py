@@ -181,11 +181,12 @@ def stretch_from_histogram(values: DataFrame, keys: list[str], src_dtype: int =
 
 def corrected(pixels: DataFrame, params: DataFrame, keys: list[str], bands: list[str], balance: bool) -> DataFrame:
     """``pixels`` stretched to 8 bits, and balanced if asked, by the parameters of their image (a row an image)."""
-    joined = per_scene(pixels, params.select(*keys, "lower", "upper", "white"), keys)
-    out = {b: stretch(F.col(b), F.col("lower"), F.col("upper")) for b in bands}
-    if balance:
-        out = {b: white_balance(v, F.get("white", F.lit(i)), F.array_max("white")) for i, (b, v) in enumerate(out.items())}
-    return joined.withColumns(out).select(*pixels.columns)
+    references = {f"_white{i}": F.get("white", F.lit(i)) for i in range(len(bands))} | {"_largest": F.array_max("white")}
+    joined = per_scene(pixels, params.select(*keys, "lower", "upper", *(v.alias(k) for k, v in references.items())), keys)
+    out = joined.withColumns({b: stretch(F.col(b), F.col("lower"), F.col("upper")) for b in bands})
+    if balance:  # a step of its own: in one expression, stretched values would be written out wherever they are named, in code that is too long to be compiled
+        out = out.withColumns({b: white_balance(F.col(b), F.col(f"_white{i}"), F.col("_largest")) for i, b in enumerate(bands)})
+    return out.select(*pixels.columns)
 
 
 def display_histogram(values: DataFrame, bins: int = 1000) -> DataFrame:

@@ -12,6 +12,7 @@ from tessera.model import SENSORS, classes
 from tessera.operators import bagging, classify, kernels, radiometry, run, scene, segments, stencils, tiling, training
 from tessera.plans import fixtures as fx
 from tessera.sources import images, sinks
+from tessera.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -816,9 +817,9 @@ def segments_scene(spark, d):
     return scene.segments_scene(_one_scene(spark, d), ["scene"], ["b0", "b1", "b2"], size=128, halo=32).select("x", "y", "seg")
 
 
-def _images(spark, d):
-    """The scene as images of 100 rows, with a day of the year for each."""
-    pixels = fx.scene(spark, d).select(F.format_string("scene_%03d", "block").alias("image_id"), (F.col("x") % 100).alias("x"), "y", "b0", "b1", "b2")
+def _images(whole):
+    """A scene as images of 100 rows, with a day of the year for each."""
+    pixels = whole.select(F.format_string("scene_%03d", "block").alias("image_id"), (F.col("x") % 100).alias("x"), "y", "b0", "b1", "b2")
     days = pixels.select("image_id").distinct().withColumn("day", F.when(F.substring("image_id", -1, 1).cast("int") % 2 == 0, 120).otherwise(200))
     return pixels, days
 
@@ -842,7 +843,7 @@ _CUTS = f""", dns as (select block*3+band g, dn from ({_LONG})), counts as (sele
 
 @_query()
 def stretch_hist_image(spark, d):
-    pixels, _ = _images(spark, d)
+    pixels, _ = _images(fx.scene(spark, d))
     return radiometry.stretch_from_histogram(radiometry.unpivot_bands(pixels, ["image_id"], ["b0", "b1", "b2"]), ["image_id"]).select("image_id", "lower", "upper", F.posexplode("white").alias("band", "white"), "black").select(
         "image_id", "band", "lower", "upper", "white", F.get("black", "band").alias("black")
     )
@@ -858,7 +859,7 @@ _SQL["stretch_hist_image"] = _recursive(fx.sql(
 @_query()
 def corrected_pixels(spark, d):
     """Pixels stretched by the cuts of their image's histograms, and balanced by its bands' references."""
-    pixels, _ = _images(spark, d)
+    pixels, _ = _images(fx.scene(spark, d))
     params = run.stretch_params(pixels, run.Options())
     return radiometry.corrected(pixels, params, ["image_id"], ["b0", "b1", "b2"], True).select("image_id", "x", "y", "b0", "b1", "b2")
 
@@ -878,8 +879,9 @@ _SQL["corrected_pixels"] = _recursive(fx.sql(
 @_query()
 def batch_run_report(spark, d):
     """A whole run: from pixels to the report of each image. Training rows are made of the features and a rule, as there are no labelled scenes."""
-    pixels, days = _images(spark, d)
-    rows = segments.features_srgb(fx.scene(spark, d), HEIGHT, WIDTH).join(fx.pred(spark, d), ["block", "seg"])
+    whole = staged(fx.scene(spark, d), "scene")  # read by every step up to segmentation
+    pixels, days = _images(whole)
+    rows = segments.features_srgb(whole, HEIGHT, WIDTH, around=kernels.neighbour_counts(whole, height=HEIGHT)).join(fx.pred_of(whole), ["block", "seg"])
     rows = rows.select(F.when(F.col("seg") % 2 == 0, "spring").otherwise("summer").alias("label_set"), (F.col("block") * 1000 + F.col("seg")).cast("long").alias("pos"), F.col("cls").alias("label"), F.array(*(F.coalesce(F.col(f"f{k}"), F.lit(0.0)) for k in range(16))).alias("features"))
     return run.classify_scenes(pixels, days, rows, run.Options(block=64, trees=20, depth=6)).report
 

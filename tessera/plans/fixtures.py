@@ -85,10 +85,14 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A class for each segment, by a rule on the mean of band 1."""
+    return pred_of(scene(spark, sf_dir))
+
+
+def pred_of(pixels: DataFrame) -> DataFrame:
+    """A class for each segment of a scene, by a rule on the mean of band 1."""
     total, n = F.sum("b1"), F.count("*")
     cls = F.when(total < 118 * n, 4).when(total < 124 * n, 3).when(total < 128 * n, 2).when(total < 134 * n, 1).otherwise(5)
-    return scene(spark, sf_dir).where("b0 <> 0").groupBy("block", "seg").agg(cls.alias("cls"))
+    return pixels.where("b0 <> 0").groupBy("block", "seg").agg(cls.alias("cls"))
 
 
 def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
