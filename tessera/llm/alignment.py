@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -10,12 +11,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.numbered import lists
 from tessera.llm.shared import staged, text_batches
-from tessera.llm.trigrams import bound
 
 #: A text is split by tiktoken, whose pattern steps once for each character, up to this many characters; longer ones go to the tokenizers library.
 _SPLIT_CHARACTERS = 200_000
@@ -98,103 +98,99 @@ def _pieces(path: str) -> Encoder:
     return Encoder(lambda text: model.encode(text, num_threads=1), [of(i) for i in range(model.vocab_size())], False)
 
 
-def _tokens(docs: DataFrame, first: ByteLevel, second: Pieces, id_col: str, text_col: str) -> DataFrame:
-    """(id, a_ids, a_ends, b_ids, b_ends): ids and the byte offsets where their tokens end, of a space and the text. Empty where there is no text, or where tokens do not join to just that."""
+@dataclass(frozen=True)
+class Vocabularies:
+    """Both vocabularies' ids: the bytes of each, and each as it is written, before a comma and as a group's last (``|`` behind the first, ``;`` behind the second)."""
+
+    sizes: tuple[np.ndarray, np.ndarray]
+    written: pa.Array
+
+    @classmethod
+    def of(cls, pieces: tuple[list[bytes], list[bytes]]) -> Vocabularies:
+        written = [f"{i}{end}".encode() for own, last in zip(pieces, "|;") for i in range(len(own)) for end in (",", last)]
+        return cls(tuple(np.array([len(p) for p in own], np.int64) for own in pieces), pa.array(written, pa.large_binary()))
+
+
+def _digest(a_rows: list[np.ndarray], b_rows: list[np.ndarray], known: Vocabularies, crowd: int, pair: pa.DataType) -> list[pa.Array]:
+    """n_a, n_b, n_groups, n_links, groups_sha256, pairs, times and crowded of rows of ids, all rows of a batch at once.
+
+    A group ends where tokens of both do. A pair of ids is one number, first * (ids of the second) + second; a row has its different ones, ascending, and how often each
+    is linked. Rows with a group of more than ``crowd`` links keep their groups as they are instead (``crowded``).
+    """
+    n, (many, width) = len(a_rows), map(len, known.sizes)
+    none = np.zeros(0, np.int64)
+    (a, n_a, row_a, ends_a), (b, n_b, row_b, ends_b) = (
+        (ids := np.concatenate([none, *rows]), count := np.fromiter(map(len, rows), np.int64, n), row := np.repeat(np.arange(n), count), np.cumsum(sizes[ids]) + row)  # a byte between rows
+        for rows, sizes in zip((a_rows, b_rows), known.sizes)
+    )
+    reached = np.zeros(int(ends_a[-1]) + 1 if len(a) else 0, bool)
+    reached[ends_a] = True
+    cuts = ends_b[reached[ends_b]]
+    cuts = cuts[np.diff(cuts, prepend=-1) > 0]
+    x, y = np.searchsorted(ends_a, cuts, "right"), np.searchsorted(ends_b, cuts, "right")
+    own_a, own_b = np.diff(x, prepend=0), np.diff(y, prepend=0)
+    first_a, first_b, row, linked = x - own_a, y - own_b, row_a[x - 1], own_a * own_b
+
+    code = np.empty(len(a) + len(b), np.int64)
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[x - 1] = last_b[y - 1] = 1
+    code[np.arange(len(a)) + np.repeat(first_b, own_a)] = 2 * a + last_a
+    code[np.arange(len(b)) + np.repeat(x, own_b)] = 2 * (many + b) + last_b
+    written = known.written.take(pa.array(code))
+    at = np.frombuffer(written.buffers()[1], np.int64, len(code) + 1)[np.cumsum([0, *(n_a + n_b)])].tolist() if len(code) else [0] * (n + 1)
+    data = memoryview(written.buffers()[2] or b"")
+    hashes = [hashlib.sha256(data[low : high - 1]).hexdigest() if high > low else "" for low, high in zip(at, at[1:])]
+
+    crowded = np.zeros(n, bool)
+    crowded[row[linked > crowd]] = True
+    whole = crowded[row]
+    fa, fb, ob, links = (of[~whole] for of in (first_a, first_b, own_b, linked))
+    group = np.repeat(np.arange(len(links)), links)
+    within = np.arange(len(group)) - (np.cumsum(links) - links)[group]
+    down = within // ob[group]
+    span = many * width
+    key = row[~whole][group] * span + a[fa[group] + down] * width + b[fb[group] + within - down * ob[group]]
+    key.sort()
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    rows = key[starts] // span
+    offsets = np.searchsorted(rows, np.arange(n + 1))
+    pairs, times = pa.array(key[starts] - rows * span).cast(pair), pa.array(np.diff(starts, append=len(key)).astype(np.int32))
+    sides = [lists(np.cumsum([0, *own[whole]]), pa.array(ids[crowded[of]].astype(np.int32))) for own, ids, of in ((own_a, a, row_a), (own_b, b, row_b))]
+    kept = lists(np.cumsum([0, *np.bincount(row[whole], minlength=n)]), pa.StructArray.from_arrays(sides, ["a", "b"]))
+    counts = n_a, n_b, np.bincount(row, minlength=n), np.bincount(row, linked, n).astype(np.int64)
+    return [*map(pa.array, counts), pa.array(hashes, pa.string()), lists(offsets, pairs), lists(offsets, times), kept]
+
+
+def _aligned(docs: DataFrame, first: ByteLevel, second: Pieces, pair: str, crowd: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, and what ``_digest`` gives) of a space and the text. Empty where there is no text, or where tokens do not join to just that."""
     text_batches(docs.sparkSession, 2)
+    names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times", "crowded"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = first.load(), second.load()
-        sizes = [np.array([len(p) for p in coder.pieces], np.int32) for coder in coders]
-        none = np.zeros(0, np.int32)
+        known, none = Vocabularies.of((coders[0].pieces, coders[1].pieces)), np.zeros(0, np.int64)
         for batch in batches:
-            rows: tuple[list[np.ndarray], ...] = ([], [], [], [])
+            rows: tuple[list[np.ndarray], ...] = ([], [])
             for value in batch.column("text"):
                 text = value.as_py() or ""
                 whole = (" " + text).encode() if text else b""
                 found = (coders[0].ids(" " + text), coders[1].ids(text)) if text else ([], [])
-                ids = [np.asarray(f, np.int32) for f in found]
-                ends = [np.cumsum(size[i], dtype=np.int32) for size, i in zip(sizes, ids)]
-                if not all(coder.whole(f, int(e[-1]) if len(e) else 0, whole) for coder, f, e in zip(coders, found, ends)):
-                    ids = ends = [none, none]
-                for at in (0, 1):
-                    rows[2 * at].append(ids[at])
-                    rows[2 * at + 1].append(ends[at])
-            columns = [lists(np.cumsum([0, *map(len, r)]), pa.array(np.concatenate([none, *r]))) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                ids = [np.asarray(f, np.int64) for f in found]
+                if not all(coder.whole(f, int(size[i].sum()), whole) for coder, f, i, size in zip(coders, found, ids, known.sizes)):
+                    ids = [none, none]
+                for side, i in zip(rows, ids):
+                    side.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *_digest(*rows, known, crowd, pa.int32() if pair == "int" else pa.int64())], ["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, f"id {kind}, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
-
-
-def _each(low: int, n: Column) -> Column:
-    """low, low + 1, ... below n; none where there are none."""
-    return F.when(n > low, F.sequence(F.lit(low), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def _cuts(ends: Column, common: Column) -> Column:
-    """How many tokens there are up to each of the ``common`` ends, which are among ``ends``; both ascend.
-
-    Sorted together, a common end stands twice; the place of its second, less the common ends before it, counts the tokens.
-    """
-    again = lambda merged: F.filter(_each(1, F.size(merged)), lambda i: F.get(merged, i) == F.get(merged, i - 1))
-    return F.transform(bound(F.sort_array(F.concat(ends, common)), again), lambda i, k: i - k)
-
-
-def _runs(ordered: Column) -> Column:
-    """struct<pairs, times>: the different values of an ascending array, and how often each occurs."""
-    starts = F.filter(_each(0, F.size(ordered)), lambda i: (i == 0) | (F.get(ordered, i - 1) != F.get(ordered, i)))
-    times = lambda s: F.transform(s, lambda i, k: F.coalesce(F.get(s, k + 1), F.size(ordered)) - i)
-    return F.struct(F.array_distinct(ordered).alias("pairs"), bound(starts, times).alias("times"))
-
-
-def _digest(width: int, pair: str, crowd: int) -> Column:
-    """What a row (a_ids, a_ends, b_ids, b_ends) comes to: groups between the ends that both have, and links within them.
-
-    A pair of ids is one number, first * ``width`` + second. Texts with a group of more than ``crowd`` links keep their groups as they are instead (``crowded``).
-    Most groups are a token of either: these, and the others, are gone through by themselves.
-    """
-    a, b = F.col("a_ids"), F.col("b_ids")
-    number = lambda x, y: (x * F.lit(width).cast(pair) + y).cast(pair)
-    written = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    none = F.array().cast("array<struct<a:array<int>,b:array<int>>>")
-
-    def of_cuts(c: Column) -> Column:
-        """``c``: tokens of either up to each group's end (x, y), from which a group k is known."""
-        low = lambda cuts, k: F.when(k > 0, F.get(cuts, k - 1)).otherwise(0)
-        own = lambda cuts, k: F.get(cuts, k) - low(cuts, k)
-        single = lambda k: (own(c["x"], k) == 1) & (own(c["y"], k) == 1)
-        linked = lambda k: own(c["x"], k) * own(c["y"], k).cast("bigint")
-        part = lambda ids, cuts, k: F.slice(ids, low(cuts, k) + 1, own(cuts, k))
-        last = lambda ids, cuts, k: F.get(ids, F.get(cuts, k) - 1)
-        text = lambda k: F.when(single(k), F.concat(last(a, c["x"], k).cast("string"), F.lit("|"), last(b, c["y"], k).cast("string"))).otherwise(
-            F.concat(written(part(a, c["x"], k)), F.lit("|"), written(part(b, c["y"], k)))
-        )
-        every = _each(0, F.size(c["x"]))
-        groups_sha256 = F.when(F.size(c["x"]) > 0, F.sha2(F.array_join(F.transform(every, text), ";"), 256)).otherwise("")
-
-        def of_larger(larger: Column) -> Column:
-            """``larger``: the groups of more tokens than one of either."""
-            crowded = F.exists(larger, lambda k: linked(k) > crowd)
-            one = F.transform(F.filter(every, single), lambda k: number(last(a, c["x"], k), last(b, c["y"], k)))
-            product = lambda k: bound(part(b, c["y"], k), lambda two: F.flatten(F.transform(part(a, c["x"], k), lambda x: F.transform(two, lambda y: number(x, y)))))
-            links = F.sort_array(F.concat(one, F.flatten(F.transform(larger, product))))
-            whole = F.transform(every, lambda k: F.struct(part(a, c["x"], k).alias("a"), part(b, c["y"], k).alias("b")))
-            return F.struct(
-                F.size(c["x"]).cast("bigint").alias("n_groups"),
-                F.aggregate(larger, (F.size(c["x"]) - F.size(larger)).cast("bigint"), lambda s, k: s + linked(k)).alias("n_links"), groups_sha256.alias("groups_sha256"),
-                bound(F.when(crowded, F.array().cast(f"array<{pair}>")).otherwise(links), _runs).alias("links"), F.when(crowded, whole).otherwise(none).alias("crowded"),
-            )
-
-        return bound(F.filter(every, lambda k: ~single(k)), of_larger)
-
-    cuts = lambda common: F.struct(_cuts(F.col("a_ends"), common).alias("x"), _cuts(F.col("b_ends"), common).alias("y"))
-    return bound(F.array_intersect("a_ends", "b_ends"), lambda common: bound(cuts(common), of_cuts))
+    counts = ", ".join(f"{c} bigint" for c in names[:4])
+    return rows.mapInArrow(encode, f"id {kind}, {counts}, groups_sha256 string, pairs array<{pair}>, times array<int>, crowded array<struct<a:array<int>,b:array<int>>>")
 
 
 def _linked_pairs(coded: DataFrame, width: int, pair: str) -> DataFrame:
     """(row, pair, times): the pairs that each text links, once each. Crowded texts count ids within each group first, so a group's links are never listed."""
-    few = coded.select("row", F.inline(F.arrays_zip(F.col("links.pairs").alias("pair"), F.col("links.times").alias("times"))))
+    few = coded.select("row", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), "times")))
     groups = coded.where(F.size("crowded") > 0).select("row", F.posexplode("crowded").alias("group", "g"))
     counted = lambda side: groups.select("row", "group", F.explode(f"g.{side}").alias(side)).groupBy("row", "group", side).agg(F.count("*").alias(f"n_{side}"))
     met = counted("a").join(counted("b"), ["row", "group"])
@@ -210,7 +206,7 @@ def align(
     Texts, after a space, are tokenised by both; byte offsets where tokens of both end cut them into groups, and all tokens of a group are linked with each other. A pair of ids counts in how many
     rows of the corpus it is linked. n_best: links whose count is the highest of their first id's; count_sum: of all links. groups_sha256 is of the groups' ids, ``a1,a2|b1;a3|b2,b3``.
 
-    Only tokenising is Python. Groups and links are made by higher-order functions within a row, and staged with each row's different pairs. Their counts, one row for each pair, are then met with
+    Texts are tokenised, and their groups and links made, in batches of Arrow by numpy (``_digest``), and staged with each row's different pairs. Their counts, one row for each pair, are then met with
     the pairs of all rows: pairs that are among 1 / ``frequent`` or more of all (row, pair) - so at most ``frequent`` pairs, whatever the corpus - are broadcast, and take most rows
     without a shuffle; the others, of which none is frequent, are joined by a shuffle. A text with a group of more than ``crowd`` links (one without common ends
     for long) is counted by joins instead of arrays.
@@ -220,11 +216,9 @@ def align(
     """
     width, many = len(second.load().pieces), len(first.load().pieces)
     pair = "int" if width * many < 2**31 else "bigint"
-    coded = _tokens(docs, first, second, id_col, text_col).select(
-        F.monotonically_increasing_id().alias("row"), "id", F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), _digest(width, pair, crowd).alias("d")
-    )
+    coded = _aligned(docs, first, second, pair, crowd, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     # numbered where it is written, so that the numbers stay; ascending pairs are small as differences
-    coded = staged(coded.select("row", "id", "n_a", "n_b", "d.*"), "aligned", **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"})
+    coded = staged(coded, "aligned", **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"})
     linked = _linked_pairs(coded, width, pair)
     counts = staged(linked.groupBy("pair").agg(F.count("*").alias("n")), "pair-counts")
     best = counts.groupBy(F.floor(F.col("pair") / width).cast("int").alias("a")).agg(F.max("n").alias("most"))  # a row for each id of the first vocabulary

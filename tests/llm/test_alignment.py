@@ -4,11 +4,13 @@ import hashlib
 import json
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.alignment import ByteLevel, Pieces, _byte_alphabet, _is_plain, align
+from tessera.llm.alignment import ByteLevel, Pieces, Vocabularies, _byte_alphabet, _digest, _is_plain, align
 
 FIRST, SECOND = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -94,3 +96,30 @@ def test_frequent_pairs_are_bounded_and_others_not_lost(spark):
     plain = align(frame, ByteLevel(FIRST, public_tokenizers.PATTERN), Pieces(SECOND))
     few = align(frame, ByteLevel(FIRST, public_tokenizers.PATTERN), Pieces(SECOND), frequent=2)
     assert plain.exceptAll(few).count() == 0 and plain.where(F.col("n_links") > 0).count() == 40
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 64])
+def test_rows_of_a_batch_are_digested_as_each_alone(crowd):
+    coders = ByteLevel(FIRST, public_tokenizers.PATTERN).load(), Pieces(SECOND).load()
+    known = Vocabularies.of((coders[0].pieces, coders[1].pieces))
+    texts = [t for t in TEXTS if not t or "▁" not in t]  # whose tokens join to just them
+    rows = [[np.array(coder.ids(before + t) if t else [], np.int64) for t in texts] for coder, before in zip(coders, (" ", ""))]
+    columns = lambda found: list(zip(*(c.to_pylist() for c in found)))
+    alone = [columns(_digest([a], [b], known, crowd, pa.int64()))[0] for a, b in zip(*rows)]
+    assert columns(_digest(*rows, known, crowd, pa.int64())) == alone
+    assert columns(_digest([], [], known, crowd, pa.int32())) == []
+    kept = lambda r: sum(len(g["a"]) * len(g["b"]) for g in r[7])
+    assert all(sum(r[6]) + kept(r) == r[3] and r[5] == sorted(set(r[5])) for r in alone)
+
+
+def test_groups_are_not_made_by_interpreted_lambdas(spark):
+    frame = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    staged = []
+    from tessera.llm import alignment
+
+    keep, alignment.staged = alignment.staged, lambda df, name, **options: staged.append(df) or keep(df, name, **options)
+    try:
+        align(frame, ByteLevel(FIRST, public_tokenizers.PATTERN), Pieces(SECOND))
+    finally:
+        alignment.staged = keep
+    assert "lambda" not in staged[0]._jdf.queryExecution().executedPlan().toString()
