@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -67,6 +70,18 @@ def _tokenizer(path: str):
     return tokenizer, regex.compile(pattern).findall, letters
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without the search for cycles, which would go through all known words again and again, and finds none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class WordEncoder(dict):
     """Encodes whole texts by a tokenizer file whose tokens never span white space: every different word by the library, once.
 
@@ -81,50 +96,59 @@ class WordEncoder(dict):
         self.remember, self.keep = remember, keep
         self.tokenizer, self.find, self.letters = _tokenizer(path)
         self.model = self.tokenizer.model
-        self.ids, self.made = NumberedIds(), []
+        self.none_of = re.compile(f"[^{_NO_SPACE}]*").fullmatch
+        # how many words have ids; what those after them are made of (None: one of the lower-case letters' words, which are in order)
+        self.ids, self.known, self.made, self.lower = NumberedIds(), 0, [], []
 
     def _forget(self) -> None:
         kept = {word: number for word, number in self.items() if number < self.keep}
         self.clear()
         self.update(kept)
         self.ids.forget(self.keep)
+        self.known = len(self.ids.lengths)
 
     def __missing__(self, word: str) -> int:
-        if (word.isascii() or max(word) < _LATIN_END) and _SPECIAL not in word:
-            low = word.lower()
-            if low != word:
-                number = self[word] = self[low]
-                return number
-            if not word.isalpha() and not any(c in word for c in _NO_SPACE):
-                pieces = self.find(word)
-                if pieces != [word]:
-                    return self._number(word, tuple(map(self.__getitem__, pieces)))
+        plain = word.isascii()
+        if plain or max(word) < _LATIN_END:
+            letters = word.isalpha()
+            if letters or _SPECIAL not in word:
+                low = word.lower()
+                if low != word:
+                    number = self[word] = self[low]
+                    return number
+                if letters:
+                    self.lower.append(word if plain else word.translate(self.letters))
+                    return self._number(word, None)
+                if self.none_of(word):
+                    pieces = self.find(word)
+                    if pieces != [word]:
+                        return self._number(word, tuple(map(self.__getitem__, pieces)))
         return self._number(word, word)
 
     def _number(self, word: str, made_of) -> int:
-        number = self[word] = len(self.ids.lengths) + len(self.made)
+        number = self[word] = self.known + len(self.made)
         self.made.append(made_of)
         return number
 
-    def _encoded(self, words: list[str]) -> list[list[int]]:
-        letters = [w.isalpha() and (w.isascii() or max(w) < _LATIN_END) for w in words]  # in lower case: __missing__ sees to that
-        others = iter(self.tokenizer.encode_batch_fast([w for w, own in zip(words, letters) if not own], add_special_tokens=False))
-        tokenize = self.model.tokenize
-        return [[t.id for t in tokenize(w if w.isascii() else w.translate(self.letters))] if own else next(others).ids for w, own in zip(words, letters)]
-
     def _learn(self) -> None:
-        encoded = iter(self._encoded([m for m in self.made if isinstance(m, str)]))
-        before, new = len(self.ids.lengths), []
+        tokenize = self.model.tokenize
+        lower = iter([[t.id for t in tokenize(w)] for w in self.lower])
+        others = iter(self.tokenizer.encode_batch_fast([m for m in self.made if isinstance(m, str)], add_special_tokens=False))
+        before, new = self.known, []
         of = lambda n: new[n - before] if n >= before else self.ids.flat[(at := self.ids.starts[n]) : at + self.ids.lengths[n]].tolist()
         for m in self.made:
-            new.append(next(encoded) if isinstance(m, str) else [x for n in m for x in of(n)])
+            new.append(next(lower) if m is None else next(others).ids if isinstance(m, str) else list(chain.from_iterable(map(of, m))))
         self.ids.add(np.fromiter(chain.from_iterable(new), np.int32), np.fromiter(map(len, new), np.int64, len(new)))
-        self.made = []
+        self.made, self.lower, self.known = [], [], len(self.ids.lengths)
 
     def encode_flat(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's end."""
         if len(self) > self.remember:
             self._forget()
+        with no_cycles():
+            return self._encode_flat(texts)
+
+    def _encode_flat(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         numbers, ends = array("i"), [0]
         for text in texts:
             text = text or ""

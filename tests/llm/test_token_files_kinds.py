@@ -1,5 +1,6 @@
 """Tokenizer files of other kinds go through the library; very long texts have the library's ids."""
 
+import gc
 import json
 
 import public_tokenizers
@@ -37,3 +38,18 @@ def test_a_long_text_has_the_librarys_ids():
     library = Tokenizer.from_file(PATH)
     assert ids[: ends[0]].tolist() == library.encode(text, add_special_tokens=False).ids and ends[1] == ends[0]
     assert ids[ends[1] :].tolist() == library.encode("x" * 300_000, add_special_tokens=False).ids
+
+
+def test_known_words_are_not_searched_for_cycles():
+    encoder, searches = token_files.WordEncoder(PATH), []
+    texts = [" ".join(f"wörd{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} Mixed{i}, x{i}" for i in range(k, 20_000, 7)) for k in range(7)]
+    seen = lambda phase, _: searches.append(phase)
+    gc.collect()
+    gc.callbacks.append(seen)
+    try:
+        ids, ends = encoder.encode_flat(texts)
+    finally:
+        gc.callbacks.remove(seen)
+    assert len(searches) <= 4 and gc.isenabled()  # it may begin when it may again
+    library = Tokenizer.from_file(PATH)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
