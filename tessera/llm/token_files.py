@@ -92,7 +92,7 @@ class WordEncoder(dict):
     whole library. When over ``remember`` words are known, only the first ``keep`` numbers stay: words that occur early are those that occur often.
     """
 
-    def __init__(self, path: str, remember: int = 400_000, keep: int = 200_000):
+    def __init__(self, path: str, remember: int = 700_000, keep: int = 350_000):
         self.remember, self.keep = remember, keep
         self.tokenizer, self.find, self.letters = _tokenizer(path)
         self.model = self.tokenizer.model
