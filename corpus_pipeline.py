@@ -14,7 +14,7 @@ from tessera.llm.line_dedup import remove_boilerplate
 from tessera.llm.mixing import mix_sources
 from tessera.llm.quality_rules import keep_good
 from tessera.llm.queries import tokenizer_file
-from tessera.llm.shared import WORD_PATTERN, staged, table
+from tessera.llm.shared import WORD_PATTERN, pooled, staged, table
 from tessera.llm.simhash import drop_near_copies
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -49,7 +49,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every piece, and proof that they decode to it: (doc_id, source, n_tokens, ids, decoded_sha256)."""
     import public_tokenizers
 
-    docs = docs.select(*COLUMNS).withColumn("key", F.struct("doc_id", "source"))
+    docs = pooled(docs.select(*COLUMNS)).withColumn("key", F.struct("doc_id", "source"))
     coded = encode_and_decode(docs, read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, id_col="key")
     return coded.select("key.doc_id", "key.source", "n_tokens", F.col("tokens").alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

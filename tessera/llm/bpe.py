@@ -288,7 +288,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str,
 
 
 def encode_documents(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 18, fold_bytes: int = 256
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 20, fold_bytes: int = 256
 ) -> DataFrame:
     """One row for each row of ``docs``: (``id_col``, ids: string, the decimal ids joined by one space; tokens: the same as array<int>).
 
@@ -309,7 +309,7 @@ def _joined(tokens: str) -> Column:
 
 
 def encode_and_decode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 18, fold_bytes: int = 256
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, dictionary_words: int = 1 << 20, fold_bytes: int = 256
 ) -> DataFrame:
     """``encode_documents``, and back from the ids: (``id_col``, ids: string, n_tokens: long, decoded: binary, tokens: array<int>); nulls and empty texts alike."""
     coded = _coded(docs, ranks, pattern, id_col, text_col, dictionary_words, fold_bytes, True)

@@ -17,7 +17,7 @@ from tessera.llm.nbsvm import classify_quality
 from tessera.llm.quality_rules import assess
 from tessera.llm.secrets import OP13_SQL, secret_report
 from tessera.llm.sharding import assign_shards
-from tessera.llm.shared import table
+from tessera.llm.shared import pooled, table
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_files import tokenize_to_files
 from tessera.llm.toxicity import score_toxicity
@@ -37,7 +37,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    coded = encode_and_decode(table(spark, sf_dir, "documents"), read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    coded = encode_and_decode(pooled(table(spark, sf_dir, "documents")), read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -77,5 +77,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pooled(rows: DataFrame, mb: int = 128) -> DataFrame:
+    """``rows``, read from files, with so many splits to a task that it has some ``mb`` MB; no fewer tasks than run at once.
+
+    For work that each task remembers, as the encoding of words: the more a task reads, the fewer are new to it. Nothing is shuffled.
+    """
+    spark = rows.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    splits, most = rows.rdd.getNumPartitions(), max(1, (mb << 20) // split)
+    return rows.coalesce(max(1, spark.sparkContext.defaultParallelism, -(-splits // most)))
+
+
 def text_or_empty(text_col: str = "text"):
     return F.coalesce(F.col(text_col), F.lit(""))
